@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadprep.llm import decontaminate, quality, tokens
+from roadprep.llm import decontaminate, extract, jaccard, language, quality, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,18 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -31,12 +39,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op6_quality, op7_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op3_decontaminate, op5_main_text, op6_quality, op7_token_counts, op9_language, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3, "op6_quality": OP6}
+    return {"op3_decontaminate": OP3, "op6_quality": OP6, "op10_jaccard_join": OP10}
 
 
 OP3 = r"""
@@ -85,3 +101,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 70 * n_lines) AS kept
 FROM g
 """
+
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS x
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+k AS (SELECT r, n, md5(string_agg(x, chr(10) ORDER BY x)) AS h FROM s JOIN n USING (r) GROUP BY r, n),
+g AS (SELECT min(r) AS g, n, h FROM k GROUP BY n, h),
+gs AS (SELECT g, x, n, count(*) OVER (PARTITION BY x) AS c FROM s JOIN g ON s.r = g.g),
+pairs AS (
+  SELECT a.g AS a, b.g AS b FROM (SELECT * FROM gs WHERE c > 1) a JOIN (SELECT * FROM gs WHERE c > 1) b ON a.x = b.x AND a.g < b.g
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.g, b.g, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT g AS a, g AS b FROM g UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+low AS (SELECT reach.a AS g, min(doc_id) AS component_id FROM reach JOIN g ON g.g = reach.b JOIN k USING (n, h) JOIN d ON d.r = k.r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r) LEFT JOIN g ON g.n = k.n AND g.h = k.h LEFT JOIN low ON low.g = g.g
+"""
