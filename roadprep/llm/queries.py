@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadprep.llm import decontaminate, extract, jaccard, language, quality, secrets, tokens
+from roadprep.llm import decontaminate, extract, jaccard, language, lm, quality, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_decontaminate, op5_main_text, op6_quality, op7_token_counts, op9_language, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_secrets, op3_decontaminate, op4_lm_scores, op5_main_text, op6_quality, op7_token_counts, op9_language, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
