@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadprep.llm import decontaminate, extract, jaccard, language, lm, quality, secrets, tokens
+from roadprep.llm import decontaminate, extract, jaccard, language, lm, pieces, quality, secrets, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(_table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_report(_table(spark, sf_dir, "pages"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(_table(spark, sf_dir, "documents"))
 
@@ -52,11 +60,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_decontaminate, op4_lm_scores, op5_main_text, op6_quality, op7_token_counts, op9_language, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_secrets, op2_pieces, op3_decontaminate, op4_lm_scores, op5_main_text, op6_quality, op7_token_counts, op8_url_filter, op9_language, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3, "op6_quality": OP6, "op10_jaccard_join": OP10}
+    return {"op3_decontaminate": OP3, "op6_quality": OP6, "op8_url_filter": OP8, "op10_jaccard_join": OP10}
 
 
 OP3 = r"""
@@ -128,3 +136,31 @@ low AS (SELECT reach.a AS g, min(doc_id) AS component_id FROM reach JOIN g ON g.
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.component_id, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r) LEFT JOIN g ON g.n = k.n AND g.h = k.h LEFT JOIN low ON low.g = g.g
 """
+
+OP8 = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS fetched,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+h AS (SELECT DISTINCT host, md5(host) AS h FROM p WHERE host IS NOT NULL),
+bad AS (SELECT host, CAST(('0x' || h[2:3]) AS INTEGER) AS n FROM h WHERE h[1:1] <= '5'),
+iv AS (
+  SELECT 'block' AS action, 'domain' AS kind, host AS value, DATE '2024-01-01' + n AS f, DATE '2024-01-01' + n + 40 AS t FROM bad
+  UNION ALL SELECT 'block', 'domain', host, DATE '2024-01-01' + n + 90, NULL FROM bad
+  UNION ALL SELECT 'allow', 'prefix', host || '/en', DATE '2024-03-01', NULL FROM bad
+  UNION ALL SELECT DISTINCT 'block', 'domain', 'example.net', DATE '2024-07-19', CAST(NULL AS DATE) FROM h WHERE host LIKE '%.example.net'),
+parts AS (
+  SELECT *, string_split(host, '.') AS ls, list_filter(string_split(path, '/'), lambda x: x <> '') AS ss FROM p),
+k AS (
+  SELECT page_id, url, fetched, 'domain' AS kind, array_to_string(ls[len(ls) - i + 1 :], '.') AS value, i AS weight
+  FROM (SELECT *, unnest(range(1, least(len(ls), 8) + 1)) AS i FROM parts WHERE host IS NOT NULL)
+  UNION ALL SELECT page_id, url, fetched, 'prefix', host || '/' || array_to_string(ss[1 : i], '/'), 100 + i
+  FROM (SELECT *, unnest(range(1, least(len(ss), 8) + 1)) AS i FROM parts WHERE host IS NOT NULL)
+  UNION ALL SELECT page_id, url, fetched, 'url', url, 1000 FROM parts),
+m AS (
+  SELECT page_id, count(*) AS n, min({'w': -weight, 'b': action <> 'allow', 'name': action || ':' || k.kind || ':' || k.value}) AS best
+  FROM k JOIN iv ON k.kind = iv.kind AND k.value = iv.value AND fetched >= f AND (t IS NULL OR fetched < t) GROUP BY page_id)
+SELECT page_id, url, CAST(fetched AS VARCHAR) AS fetched, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(NOT best.b, true) AS allowed, best.name AS matched
+FROM p LEFT JOIN m USING (page_id)
+"""
