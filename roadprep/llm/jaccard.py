@@ -162,25 +162,32 @@ class Index:
         return np.unique(np.concatenate(parts))
 
 
-def _digest(tokens: np.ndarray) -> tuple[int, int, int]:
+#: Words of 64 bits in a sketch of every set, and of the sets in candidate pairs.
+SKETCH = 4
+WIDE = 64
+
+
+def _digest(tokens: np.ndarray) -> list[int]:
     """Two 64-bit sums that stand for the set, and a sketch: bit k is the parity of the elements that end in k."""
-    low = (tokens & _U(63)).astype(np.int64)
-    odd = np.flatnonzero(np.bincount(low, minlength=64) & 1).astype(_U)
-    sums = [int(x) for x in (tokens.sum(dtype=_U), mix(tokens ^ _U(0x94D049BB)).sum(dtype=_U), (_U(1) << odd).sum(dtype=_U))]
-    return tuple(x - (1 << 64) if x >= 1 << 63 else x for x in sums)
+    parity = np.bincount((tokens & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    sketch = np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+    sums = np.array([tokens.sum(dtype=_U), mix(tokens ^ _U(0x94D049BB)).sum(dtype=_U)], _U).view(np.int64)
+    return [*sums.tolist(), *sketch.tolist()]
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2, sketch for each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, d1, d2, sketch (a struct of longs) for each row of docs (doc_id, text)."""
+    names = ["d1", "d2", *(f"s{k}" for k in range(SKETCH))]
 
     def run(batches):
         for part in slices(batches):
             sets = shingle_sets(part.column("text").to_pylist())
             digests = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in range(3))], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in range(len(names)))], names=["doc_id", "n_shingles", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sketch long")
+    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, " + ", ".join(f"{n} long" for n in names))
+    return out.select("doc_id", "n_shingles", "d1", "d2", F.struct(*names[2:]).alias("sketch"))
 
 
 def sharing(docs: DataFrame, rows: int) -> float:
@@ -206,7 +213,7 @@ def entries(docs: DataFrame, index: Index) -> DataFrame:
             ids, sigs, seen = part.column("doc_id").to_pylist(), [], set()
             owners = []
             for i, s in zip(ids, shingle_sets(part.column("text").to_pylist())):
-                key = _digest(s)[:2]
+                key = tuple(_digest(s)[:2])
                 if i is None or key in seen:
                     continue
                 seen.add(key)
@@ -253,11 +260,12 @@ def shared_entries(index_rows: DataFrame) -> DataFrame:
 
 def possible(n1: Column, s1: Column, n2: Column, s2: Column, percent: int = PERCENT) -> Column:
     """No linked pair fails this: the sizes are near enough and the sketches differ in no more bits than the sets may."""
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.bit_count(s1.bitwiseXOR(s2)) <= F.floor((n1 + n2) * (100 - percent) / (100 + percent)))
+    differ = sum((F.bit_count(s1[f"s{k}"].bitwiseXOR(s2[f"s{k}"])) for k in range(SKETCH)), F.lit(0))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * differ <= (100 - percent) * (n1 + n2))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of document ids whose whole shingle sets link."""
+def _of_documents(pairs: DataFrame, docs: DataFrame, column: str, make) -> DataFrame:
+    """doc_id, n (set size) and what `make` gives for the set, for the documents in pairs."""
     ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -265,13 +273,32 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     def run(batches):
         for part in slices(batches):
             sets = shingle_sets(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([make(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", column])
+
+    return texts.mapInArrow(run, f"doc_id long, n long, {column} array<long>")
+
+
+def _wide(tokens: np.ndarray) -> np.ndarray:
+    parity = np.bincount((tokens & _U(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
-    sets = texts.mapInArrow(run, "doc_id long, tokens array<long>")
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-    return both.filter(100 * F.col("common") >= percent * (F.col("n") - F.col("common"))).select("a", "b")
+
+def _with_both(pairs: DataFrame, sides: DataFrame, column: str) -> DataFrame:
+    for k in ("a", "b"):
+        pairs = pairs.join(sides.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col(column).alias(f"{column}_{k}")), k)
+    return pairs
+
+
+def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of document ids whose whole shingle sets link.
+
+    A wide sketch of each set rules out most pairs that don't link; only the sets of the others are brought together.
+    """
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = _with_both(pairs, settled(_of_documents(pairs, docs, "wide", _wide)), "wide")
+    near = settled(near.filter((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    both = _with_both(near, _of_documents(near, docs, "tokens", lambda s: s), "tokens").withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    return both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -312,30 +339,53 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = settled(profile(docs))
     nodes = settled(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").cast("long").alias("node"), F.first("sketch").alias("sketch")))
     n_docs, largest = nodes.agg(F.count("*"), F.max("n_shingles")).first()
-    owner = rows.filter("n_shingles > 0").join(nodes.drop("sketch"), ["n_shingles", "d1", "d2"]).select(F.col("doc_id").cast("long").alias("doc_id"), "node").distinct()
-    found = settled(shared_entries(entries(docs, Index(largest or 0, n_docs, sharing(docs, n_docs), percent))))
-    # entries by node: copies of a set that were indexed by several tasks fall together
-    members = found.select("sig", "doc_id").join(owner, "doc_id").select("sig", "node").distinct()
-    about = nodes.select("node", F.col("n_shingles").alias("n"), "sketch")
-    members = settled(members.join(about, "node"))
-    pivots = members.groupBy("sig").agg(F.min(F.struct("node", "n", "sketch")).alias("p"), F.max(F.struct("n", "node", "sketch")).alias("q")).filter("p.node <> q.node OR p.n <> q.n")
-    stars = members.join(pivots, "sig")
-    stars = stars.select("node", "n", "sketch", F.explode(F.array(F.struct("p.node", "p.n", "p.sketch"), F.struct("q.node", "q.n", "q.sketch"))).alias("x"))
-    stars = stars.filter((F.col("node") != F.col("x.node")) & possible(F.col("n"), F.col("sketch"), F.col("x.n"), F.col("x.sketch"), percent))
-    stars = stars.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
-    links = settled(verify(settled(stars), docs, percent))
+    # copies of another document need no index entries; those that one task sees are left out by `entries` in any case
+    owner = rows.filter("n_shingles > 0").join(nodes, ["n_shingles", "d1", "d2"]).select(F.col("doc_id").cast("long").alias("doc_id"), "node", F.col("n_shingles").alias("n"), nodes["sketch"]).distinct()
+    owner = settled(owner)
+    copies = owner.filter("doc_id <> node").select("doc_id")
+    indexed = docs.filter("doc_id IS NOT NULL")
+    if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        indexed = indexed.join(F.broadcast(copies), "doc_id", "left_anti")
+    found = settled(shared_entries(entries(indexed, Index(largest or 0, n_docs, sharing(docs, n_docs), percent))))
+
+    def with_nodes(pairs: DataFrame) -> DataFrame:
+        for c in ("first", "doc_id"):
+            side = owner.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "sketch")))
+            pairs = pairs.join(side, c)
+        return pairs
+
+    def linkable(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs of nodes (a, b) that sizes and sketches don't rule out."""
+        pairs = pairs.filter((F.col("node_first") != F.col("node_doc_id")) & possible(*(F.col(f"{x}_{c}") for c in ("first", "doc_id") for x in ("n", "sketch")), percent))
+        return pairs.select(F.least("node_first", "node_doc_id").alias("a"), F.greatest("node_first", "node_doc_id").alias("b")).distinct()
+
+    pairs = settled(with_nodes(found.select("first", "doc_id").filter("first <> doc_id").distinct()))
+    stars = settled(linkable(pairs))
+    links = settled(verify(stars, docs, percent))
     labels = settled(components(links))
 
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    rest = labelled.join(open_, "sig", "left_semi")
-    left, right = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "sketch", "label"))) for k in (1, 2))
-    cross = left.join(right, "sig").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & possible(F.col("n1"), F.col("sketch1"), F.col("n2"), F.col("sketch2"), percent))
-    cross = settled(cross.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        more = settled(verify(cross, docs, percent))
-        if not more.isEmpty():
-            labels = settled(components(links.union(more)))
+    def label_of(column: str) -> DataFrame:
+        return labels.select(F.col("node").alias(column), F.col("label").alias(f"label_{column}"))
+
+    def labelled(pairs: DataFrame) -> DataFrame:
+        for c in ("node_first", "node_doc_id"):
+            pairs = pairs.join(label_of(c), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+        return pairs.filter(F.col("label_node_first") != F.col("label_node_doc_id"))
+
+    # entries whose documents are not all in one component
+    apart = settled(labelled(pairs).select("first", "doc_id"))
+    if not apart.isEmpty():
+        open_ = settled(found.join(apart, ["first", "doc_id"], "left_semi").select("sig").distinct())
+        rest = found.join(open_, "sig", "left_semi").select("sig", "doc_id").join(owner, "doc_id").join(label_of("node"), "node", "left")
+        rest = settled(rest.select("sig", "node", "n", "sketch", F.coalesce("label_node", "node").alias("label")).distinct())
+        left, right = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in rest.columns[1:])) for k in (1, 2))
+        unlike = (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & possible(F.col("n1"), F.col("sketch1"), F.col("n2"), F.col("sketch2"), percent)
+        cross = left.join(right, (left["sig"] == right["sig"]) & unlike).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+        cross = settled(cross.join(stars, ["a", "b"], "left_anti"))
+        if not cross.isEmpty():
+            more = settled(verify(cross, docs, percent))
+            if not more.isEmpty():
+                labels = settled(components(links.union(more)))
 
     named = nodes.join(labels, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("label", "node").alias("component_id"))
     out = rows.join(named, ["n_shingles", "d1", "d2"], "left")

@@ -1,19 +1,34 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Cutting lineage with tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_roots: dict[str, str] = {}
 
-def use_shared_folder(spark: SparkSession) -> None:
-    """Sees to it that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or one of this machine in tests."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in spark.checkpoint.dir; where that is unset, as in tests, one of this machine."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        _roots[app] = f"{base.rstrip('/')}/roadprep-{uuid.uuid4().hex}"
+    return _roots[app]
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of `df`, computed once and kept where every executor can read them."""
-    use_shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of `df`, computed once and kept as a Parquet table that every executor can read."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's tables; results that still read them must have been written before."""
+    root = _roots.pop(spark.sparkContext.applicationId, None)
+    if root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
