@@ -1,0 +1,210 @@
+"""Operators as Spark jobs: SQL, brute force, and rows that are null, empty, long, repeated or oddly named."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from duck import check
+from helpers import TRICKY, documents, empty, shuffled_words
+from pyspark.sql import functions as F
+
+from roadprep.llm import decontaminate, extract, jaccard, language, lm, pieces, quality, secrets, tokens, urls
+from roadprep.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    check(spark, name, Q.queries()[name], Q.oracle_sql()[name], SF)
+
+
+REPORTS = {
+    "op1": secrets.secret_report,
+    "op2": lambda d: pieces.encode_texts(d, Q.tokenizer()),
+    "op4": lm.lm_report,
+    "op6": quality.quality_report,
+    "op7": lambda d: tokens.count_tokens(d, Q.tokenizer()),
+    "op9": language.language_report,
+    "op10": jaccard.jaccard_components,
+}
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_odd_rows_and_empty_tables(spark, name):
+    rows = REPORTS[name](documents(spark)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([*range(len(TRICKY)), 0, None])
+    assert REPORTS[name](empty(spark)).count() == 0
+
+
+def test_decontamination_of_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "the same text twice over and over again for all to see"), (2, None), (3, ""), (4, "one"), (4, "one")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.contamination_report(documents(spark), bench).collect()}
+    assert (rows[4].n_hit, rows[4].n_items, rows[3].n_hit, rows[0].n_words, rows[0].contaminated) == (12, 1, 1, 0, False)
+    assert decontaminate.contamination_report(empty(spark), bench).count() == 0
+    assert decontaminate.contamination_report(documents(spark), bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_blocks_of_a_large_benchmark_give_the_same(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    columns = ["doc_id", "_n_words", "_hit_starts", "_hit_ends", "_items"]
+    one = decontaminate.find_contamination(docs, bench).select(columns)
+    many = decontaminate.find_contamination(docs, bench, block_words=300).select(columns)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+
+
+def test_removal_leaves_nothing_to_find(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    cut = decontaminate.find_contamination(docs, bench, remove=True)
+    assert cut.filter(F.size("_hit_starts") > 0).count() > 0
+    assert decontaminate.contamination_report(cut, bench).filter("contaminated").count() == 0
+
+
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_BYTES", 2_000)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 3_000)
+    texts = [" ".join(shuffled_words(i, 30 + i, 20)) for i in range(40)] + [None, "", "A  b\ta"]
+    rows = {r.doc_id: r for r in lm.lm_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    toks = [re.findall("[^ \t-\r]+", (t or "").lower()) + ["</s>"] for t in texts]
+    single = Counter(w for h, t in zip(held, toks) if not h for w in t)
+    pairs = Counter(p for h, t in zip(held, toks) if not h for p in zip(["<s>", *t], t))
+    n, v, texts_n = sum(single.values()), len(single), sum(not h for h in held)
+    for i, t in enumerate(toks):
+        base = [(single[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
+        score = 0.0
+        for a, b, u in zip(["<s>", *t], t, base):
+            c = texts_n if a == "<s>" else single[a]
+            p = 2 ** (round(8 * math.log2(pairs[a, b])) / 8) if pairs[a, b] else 0.0
+            trust = lm.TRUST * c / (c + lm.HALF)
+            score += math.log10(trust * min(p / max(c, 1), 1.0) + (1 - trust) * u)
+        r = rows[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(single[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(map(math.log10, base))) and r.score == pytest.approx(score)
+
+
+def test_language_accuracy_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language.language_report(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang_pred <> 'und'")
+    right, rows = out.filter("lang = lang_pred").count(), out.count()
+    assert right >= 0.98 * rows > 0
+
+
+def test_near_copies_in_groups_equal_brute_force(spark):
+    base = shuffled_words(1, 120)
+    texts = []
+    for i in range(60):  # a group whose members are near the first, but not all near each other
+        words = list(base)
+        for k in range(i % 4):
+            words[(37 * i + 29 * k) % 120] = f"new{i}x{k}"
+        texts.append(" ".join(words))
+    texts += [" ".join(shuffled_words(100 + i, 60)) + " " + " ".join(base[:40]) for i in range(20)] + [" ".join(base)] * 5 + ["a b", "A  B", "a b c", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for k in range(i):
+            if sets[i] and sets[k] and 100 * len(sets[i] & sets[k]) >= 85 * len(sets[i] | sets[k]):
+                a, b = find(i), find(k)
+                root[max(a, b)] = min(a, b)
+    rows = {r.doc_id: r for r in jaccard.jaccard_components(docs).collect()}
+    assert [rows[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+    assert [rows[i].component_id for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    kept = sorted(r.doc_id for r in jaccard.keep_first(docs.union(docs.limit(1))).collect())
+    assert kept == sorted({find(i) for i in range(len(texts))})
+
+
+def test_components_of_long_chains(spark):
+    links = spark.range(1, 40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.label for r in jaccard.components(links).collect()} == {1}
+    assert jaccard.components(links.limit(0)).count() == 0
+
+
+def test_a_signature_streams_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(s, d) for s, n in ((1, 1), (2, 7), (3, 2), (4, 1), (5, 3), (6, 1), (7, 4)) for d in range(s, s + n)]
+        out = jaccard.shared_entries(spark.createDataFrame(rows, "sig long, doc_id long").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.sig, r.doc_id, r.first) for r in out) == sorted((s, d, s) for s, d in rows if s in (2, 3, 5, 7))
+
+
+def test_cascade_verdict_does_not_depend_on_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rules = quality.default_rules()
+    names = [r.name for r in rules]
+    words = quality.with_words(docs)
+    a = words.select("doc_id", quality.cascade(rules, names).isNull().alias("k"))
+    b = words.select("doc_id", quality.cascade(rules, names[::-1]).isNull().alias("k"))
+    assert a.exceptAll(b).isEmpty()
+    assert quality.cascade_order([("dear", 4.0, 0.5), ("cheap", 1.0, 0.2), ("idle", 1.0, 0.0), ("also", 4.0, 0.5)]) == ["cheap", "also", "dear", "idle"]
+    report = quality.quality_report(docs).filter("kept").select("doc_id")
+    assert sorted(r.doc_id for r in quality.keep_good(docs).select("doc_id").collect()) == sorted(r.doc_id for r in report.collect())
+    assert quality.keep_good(empty(spark)).count() == 0 and quality.keep_good(documents(spark)).columns == documents(spark).columns
+
+
+def test_main_text_by_the_hosts_path(spark):
+    page = "<html><body><div class=menu>m</div><div class='post-{n}'><p>{text}</p></div><div class=extra><p>{more}</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(n=i, text="word " * 50, more="side")) for i in range(5)]
+    rows += [(5, "http://h.example/5", page.format(n=5, text="word " * 10, more="other " * 9)), (6, None, None), (7, "no url", ""), (8, "http://h.example/8", "<p>only this")]
+    out = {r.page_id: r for r in extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0].text == " ".join(["word"] * 50) and out[5].text == " ".join(["word"] * 10)
+    assert (out[6].text, out[7].text, out[8].text, out[6].n_chars) == ("", "", "only this", 0)
+    assert extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_list_entries_as_of_the_capture(spark):
+    entries = [
+        ("l", "block", "domain", "bad.example", "2024-01-10", "add"),
+        ("l", "block", "domain", "bad.example", "2024-01-12", "add"),
+        ("l", "block", "domain", "bad.example", "2024-02-01", "remove"),
+        ("l", "allow", "prefix", "bad.example/ok", "2024-01-15", "add"),
+        ("l", "block", "url", "http://x.example/a?b", "2024-01-01", "add"),
+        ("l", "block", "domain", None, "2024-01-01", "add"),
+    ]
+    lists = spark.createDataFrame(entries, "list string, action string, kind string, value string, day string, change string")
+    assert urls.intervals(lists).filter("value = 'bad.example'").select("valid_from", "valid_to").collect() == [("2024-01-10", "2024-02-01")]
+    captures = [(1, "http://www.Bad.example:80/x", "2024-01-09"), (2, "http://www.Bad.example/x", "2024-01-10"), (3, "http://u@bad.example./ok/y", "2024-01-20"), (4, "http://bad.example/", "2024-02-01"), (5, "http://x.example/a?b", "2024-03-01"), (6, None, "2024-03-01"), (7, "junk", None), (2, "http://www.Bad.example/x", "2024-01-10")]
+    out = urls.filter_captures(spark.createDataFrame(captures, "page_id long, url string, fetched string"), lists).collect()
+    assert sorted((r.page_id, r.allowed, r.n_matches) for r in out) == [(1, True, 0), (2, False, 1), (2, False, 1), (3, True, 2), (4, True, 0), (5, False, 1), (6, True, 0), (7, True, 0)]
+
+
+def test_secrets_go_and_other_columns_stay(spark):
+    docs = documents(spark, [*TRICKY, 'password = "hunter2hunter2" here'])
+    out = secrets.redact_secrets(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.filter(F.col("text").contains("hunter2")).isEmpty()
+
+
+def test_round_trip_of_ids(spark):
+    docs = documents(spark, extra=False)
+    encoded = pieces.encode_texts(docs, Q.tokenizer())
+    assert encoded.filter("NOT exact").isEmpty()
+    back = pieces.decode_ids(encoded, Q.tokenizer()).filter("doc_id > 0").join(docs, "doc_id")
+    assert back.count() == len(TRICKY) - 1
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if k < 4:
+            assert out.columns == docs.columns, name
+            ids = out.select("doc_id")
+            assert ids.exceptAll(docs.select("doc_id")).isEmpty()
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert set(out.columns) == {"doc_id", "n_tokens", "ids", "exact"}
