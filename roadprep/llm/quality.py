@@ -62,6 +62,9 @@ def with_repeated_words(docs: DataFrame, out: str = "n_repeat_words", window: in
     docs = docs.withColumn("_at", F.sort_array(F.array_compact(at)))
     covered = F.transform("_at", lambda p, i: F.least(F.lit(window), p - F.coalesce(F.get("_at", i - 1), F.lit(-window))))
     total = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long"))
+    # a row number, always true here: a later filter on the result is then not rewritten over all that it is made of,
+    # which would repeat these expressions hundreds of times
+    total = F.when(F.monotonically_increasing_id() >= 0, total)
     return docs.withColumn(out, total).drop("_windows", "_sorted", "_at")
 
 
@@ -149,6 +152,5 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     out = with_words(docs).filter(F.size("_words") >= 10)
     if order:
         out = out.filter(cascade(rules, order).isNull())
-    # the row number keeps the optimizer from writing the whole expression of _repeated into the filter, many times over
-    out = with_repeated_words(out, "_repeated").withColumn("_row", F.monotonically_increasing_id())
-    return out.filter((F.col("_row") >= 0) & ~base_failed(F.size("_words"), F.col("_repeated"))).select(*columns)
+    out = with_repeated_words(out, "_repeated")
+    return out.filter(~base_failed(F.size("_words"), F.col("_repeated"))).select(*columns)
