@@ -10,11 +10,8 @@ from roadprep.jobs.registry import query, with_parts
 from roadprep.operators import labels as L
 from roadprep.sources.fixtures import view
 
-W, H = F.lit(1920), F.lit(1080)
-
-
 def yolo(spark, d):
-    return L.to_yolo(view(spark, d, "fx_annotations"), W, H)
+    return L.to_yolo(view(spark, d, "fx_annotations"), F.lit(1920), F.lit(1080))
 
 
 def index(spark, d):
