@@ -11,7 +11,9 @@ def rows_of(frame: pd.DataFrame) -> list[str]:
         if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         v = v.item() if hasattr(v, "item") else v
-        return round(v, 6) + 0.0 if isinstance(v, float) else v
+        if isinstance(v, float):  # pandas turns whole numbers with nulls into floats
+            return int(v) if v.is_integer() else round(v, 6)
+        return v
 
     columns = sorted(frame.columns)
     return sorted("|".join(repr(plain(v)) for v in row) for row in frame[columns].astype(object).itertuples(index=False))
