@@ -11,10 +11,10 @@ from roadprep.llm.shards import slices
 from roadprep.llm.tokens import WordCounter
 
 #: Text bytes of one slice: its distinct words form one trie.
-SLICE = 6 << 20
+SLICE = 4 << 20
 #: Encoded words, and pairs of pieces with a known verdict, that a Python worker keeps at most.
-MEMO_WORDS = 500_000
-MEMO_PAIRS = 1_000_000
+MEMO_WORDS = 300_000
+MEMO_PAIRS = 400_000
 MARK = "▁"
 
 _codecs: dict[str, PieceCodec] = {}
