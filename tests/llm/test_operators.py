@@ -188,6 +188,31 @@ def test_secrets_go_and_other_columns_stay(spark):
     assert out.filter(F.col("text").contains("hunter2")).isEmpty()
 
 
+def test_network_finds_secrets_where_labels_are_few(spark):
+    hidden = "q7Zt1LwX9bVr4KdM2sHy8PfC3nGj6TuA"
+    texts = [f"see the list of week-{i}/report-{i}-summer.html for all the rest of it" for i in range(40)]
+    texts += ['password = "Yb3kQ9xTr2LmW8vZc5Hn"', f"we call it by {hidden} as of today"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.secret_report(docs).collect()}
+    assert (rows[40].n_assign, rows[41].n_assign + rows[41].n_access + rows[41].n_hex) == (1, 0)
+    assert rows[41].n_cnn == 1 and rows[41].spans == f"cnn:14:{14 + len(hidden)}"
+    assert sum(rows[i].n_cnn for i in range(40)) == 0
+    assert hidden not in secrets.redact_secrets(docs).filter("doc_id = 41").first().text
+
+
+def test_training_windows_come_from_all_documents(spark, monkeypatch):
+    texts = [f"file week-{i}/report-{i}.html" for i in range(300)] + [f"token = Yb3kQ9xTr2Lm{i:04d}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    seen = []
+    monkeypatch.setattr(secrets, "train", lambda codes, labels: seen.append((codes, labels)))
+    secrets.fit(docs, most=20)
+    secrets.fit(docs.repartition(2), most=20)
+    monkeypatch.setattr(secrets, "FILL_CANDIDATES", 0)
+    secrets.fit(docs, most=20)
+    assert [Counter(y.tolist()) for _, y in seen] == [{0: 240, 1: 240}, {0: 240, 1: 240}, {0: 20, 1: 20}]
+    assert (seen[0][0] == seen[1][0]).all()
+
+
 def test_round_trip_of_ids(spark):
     docs = documents(spark, extra=False)
     encoded = pieces.encode_texts(docs, Q.tokenizer())
