@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 #: Intervals up to which the list is broadcast; beyond it the join shuffles both sides by key (skewed keys are split by AQE).
 BROADCAST_INTERVALS = 200_000
-#: Ends of a host name, and beginnings of a path, that one capture is looked up by. Entries with more parts match nothing.
-MAX_LABELS = 8
-MAX_SEGMENTS = 8
+#: What is added to the number of a prefix's segments, and the weight of a URL: more than a host has labels or a path segments.
+PREFIX_WEIGHT = 1 << 29
+URL_WEIGHT = 1 << 30
 
 
 def host_of(url: Column) -> Column:
@@ -42,25 +42,41 @@ def intervals(entries: DataFrame) -> DataFrame:
     return entries.select(*keys, F.col("day").alias("valid_from"), "valid_to")
 
 
-def keys_of(url: Column) -> Column:
+def keys_of(url: Column, labels_at_most: int | None = None, segments_at_most: int | None = None) -> Column:
     """What a URL is looked up by: (kind, value, weight) for each end of its host, each beginning of its path, itself.
 
     Weights order specificity: domains by labels, then path prefixes (host and whole segments), then the exact URL.
+    Longer ends and beginnings than the list's longest entries can be left out (see longest_entries); all without.
     """
     host, path = host_of(url), path_of(url)
+    none = F.array().cast("array<int>")
+
+    def counted(n: Column, most: int | None) -> Column:
+        n = n if most is None else F.least(n, F.lit(most))
+        return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(none)
+
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MAX_LABELS))), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("value"), k.cast("int").alias("weight")))
+    domains = F.transform(counted(n, labels_at_most), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("value"), k.cast("int").alias("weight")))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    m = F.least(F.size(segments), F.lit(MAX_SEGMENTS))
     prefixes = F.transform(
-        F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")),
-        lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")).alias("value"), (F.lit(100) + k).cast("int").alias("weight")),
+        counted(F.size(segments), segments_at_most),
+        lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")).alias("value"), (F.lit(PREFIX_WEIGHT) + k).cast("int").alias("weight")),
     )
-    exact = F.array(F.struct(F.lit("url").alias("kind"), url.alias("value"), F.lit(1000).alias("weight")))
+    exact = F.array(F.struct(F.lit("url").alias("kind"), url.alias("value"), F.lit(URL_WEIGHT).alias("weight")))
     return F.when(host.isNotNull(), F.concat(domains, prefixes, exact)).otherwise(exact)
 
 
+def longest_entries(lists: DataFrame) -> tuple[int, int]:
+    """Most labels of a domain entry and most segments of a prefix entry: a key with more parts equals no entry."""
+
+    def most(kind: str, parts: Column) -> Column:
+        return F.coalesce(F.max(F.when(F.col("kind") == kind, parts)), F.lit(0)).cast("int")
+
+    row = lists.agg(most("domain", F.size(F.split("value", r"\."))), most("prefix", F.size(F.split("value", "/")) - 1)).first()
+    return row[0], row[1]
+
+
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """id_col, url, fetched, n_matches, allowed, matched for each capture, by the entries valid when it was fetched.
 
@@ -71,7 +87,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     lists = intervals(entries).persist()
     small = lists.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_time"))
-    keyed = rows.filter("_url IS NOT NULL AND _time IS NOT NULL").distinct().select("*", F.explode(keys_of(F.col("_url"))).alias("k")).select("_id", "_url", "_time", "k.kind", "k.value", "k.weight")
+    keyed = rows.filter("_url IS NOT NULL AND _time IS NOT NULL").distinct().select("*", F.explode(keys_of(F.col("_url"), *longest_entries(lists))).alias("k")).select("_id", "_url", "_time", "k.kind", "k.value", "k.weight")
     right = F.broadcast(lists) if small else lists
     hits = keyed.join(right, ["kind", "value"]).filter((F.col("_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to"))))
     name = F.concat_ws(":", "action", "kind", "value")

@@ -181,6 +181,18 @@ def test_list_entries_as_of_the_capture(spark):
     assert sorted((r.page_id, r.allowed, r.n_matches) for r in out) == [(1, True, 0), (2, False, 1), (2, False, 1), (3, True, 2), (4, True, 0), (5, False, 1), (6, True, 0), (7, True, 0)]
 
 
+def test_long_list_entries_match(spark):
+    host, path = "a.b.c.d.e.f.g.bad.example", "1/2/3/4/5/6/7/8/9"
+    long = ".".join(map(str, range(120))) + ".example"
+    entries = [("block", "domain", host), ("allow", "prefix", f"{host}/{path}"), ("block", "prefix", f"ok.example/{path}"), ("block", "domain", long), ("allow", "prefix", f"{long}/x")]
+    lists = spark.createDataFrame([("l", *e, "2024-01-01", "add") for e in entries], "list string, action string, kind string, value string, day string, change string")
+    pages = [f"http://{host}/", f"http://www.{host}/x", f"http://{host}/{path}/10", f"http://ok.example/{path}", "http://ok.example/1/2/3/4/5/6/7/8", f"http://{long}/x"]
+    captures = spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(pages)], "page_id long, url string, fetched string")
+    out = sorted((r.page_id, r.allowed, r.n_matches) for r in urls.filter_captures(captures, lists).collect())
+    assert out == [(0, False, 1), (1, False, 1), (2, True, 2), (3, False, 1), (4, True, 0), (5, True, 2)]
+    assert urls.filter_captures(captures, lists.limit(0)).filter("n_matches > 0 OR NOT allowed").isEmpty()
+
+
 def test_secrets_go_and_other_columns_stay(spark):
     docs = documents(spark, [*TRICKY, 'password = "hunter2hunter2" here'])
     out = secrets.redact_secrets(docs)
