@@ -9,22 +9,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadprep.llm.shards import slices
 
 #: Byte n-grams of 2 to MAX_N bytes are hashed into this many presence bits.
 BUCKETS = 1 << 15
 MAX_N = 4
-#: Labelled rows for each language that the classifier is fitted on (in expectation), and landmarks among them.
+#: Distinct labelled texts of each language that the classifier is fitted on at most, and landmarks among them.
 FIT_ROWS = 400
 LANDMARKS = 32
-#: Languages that can be learned, the most frequent first.
-MAX_LANGUAGES = 64
 RIDGE = 1e-2
 #: Rows of one matrix product.
 BLOCK_ROWS = 256
 
 UNDETERMINED = "und"
+# the letters of has_letter, and the ASCII signs that `presence` takes for spaces, as Spark needs them
+_SPARK_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+_NO_WORD = "".join(chr(b) for b in range(1, 128) if not (97 <= b <= 122 or 65 <= b <= 90 or b in (32, 39)))
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256))
 _SEEDS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)  # odd multipliers, one for each n
@@ -98,29 +100,32 @@ def solve(labels: list[str], bits: np.ndarray, landmarks_each: int = LANDMARKS,
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Classifier:
-    """Fits on a bounded sample: about `fit_rows` rows of each non-null language, chosen by a hash of the text.
+    """Fits on a bounded sample: the `fit_rows` distinct texts of each non-null language with the smallest hashes.
 
-    Texts are turned into presence bits by the tasks; the driver gets BUCKETS / 8 bytes for each sampled row.
+    Every language with a letter in a text is learned. Texts that differ in signs and digits only count as one, so that
+    copies neither hide a language nor add rows. Spark ranks the hashes in each task before it does so over all; texts
+    are turned into presence bits by the tasks, and the driver gets BUCKETS / 8 bytes for each sampled text.
     """
-    labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in counts:
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, fit_rows / n) * (1 << 30))))
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(_SPARK_LETTER))
+    plain = F.concat(F.lit(" "), F.translate(F.lower("text"), _NO_WORD, " " * len(_NO_WORD)), F.lit(" "))
+    labelled = labelled.withColumn("h", F.xxhash64(F.regexp_replace(plain, f" {{{MAX_N},}}", " " * MAX_N)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = labelled.select("lang", "h").distinct().withColumn("k", rank).filter(F.col("k") <= fit_rows).drop("k")
 
     def bits(batches):
+        seen: set[tuple[str, int]] = set()  # of the sampled texts: bounded like the sample
         for part in slices(batches):
-            texts = part.column("text").to_pylist()
-            keep = [i for i, t in enumerate(texts) if has_letter(t)]
             rows = []
-            for i in keep:
-                x = np.zeros(BUCKETS, np.uint8)
-                presence(texts[i], x)
-                rows.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(keep, pa.int64())), pa.array(rows, pa.binary())], names=["lang", "bits"])
-
-    rows = sorted((r[0], bytes(r[1])) for r in labelled.filter(chosen).mapInArrow(bits, "lang string, bits binary").collect())
+            for lang, h, text in zip(*(part.column(c).to_pylist() for c in ("lang", "h", "text"))):
+                if (lang, h) not in seen and has_letter(text):
+                    seen.add((lang, h))
+                    x = np.zeros(BUCKETS, np.uint8)
+                    presence(text, x)
+                    rows.append((lang, np.packbits(x).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "bits"])
+
+    drawn = labelled.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text").mapInArrow(bits, "lang string, bits binary").distinct()
+    rows = sorted((r[0], bytes(r[1])) for r in drawn.collect())
     # in the order of a hash, so that landmarks are no particular texts
     rows.sort(key=lambda r: (hash_bits(r[1]), r))
     return solve([r[0] for r in rows], np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), BUCKETS // 8))
@@ -136,7 +141,7 @@ def predict(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col
     """id_col, the columns in `keep`, lang_pred and score (0 to 1) for each row, from its whole text alone.
 
     `und` with score 0 if the text is null, empty or has no letter, or nothing was learned. Repeated rows stay rows.
-    Map-only; the broadcast model has at most MAX_LANGUAGES * LANDMARKS rows of BUCKETS / 8 bytes.
+    Map-only; the broadcast model has LANDMARKS rows of BUCKETS / 8 bytes for each language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))

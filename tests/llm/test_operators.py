@@ -92,6 +92,21 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert right >= 0.98 * rows > 0
 
 
+def test_every_language_is_learned(spark):
+    def text(k, i):
+        return " ".join(w + "xyzw"[k % 4] + "abcdefghijklmnopqrstuvwxyz"[k // 4] for w in shuffled_words(1000 * k + i, 12, 60))
+
+    rows = [(f"l{k}", text(k, i)) for k in range(70) for i in range(7 if k else 2)]
+    rows += [("l0", text(0, 0) + f" {n}!") for n in range(2000)] + [(None, "no language"), ("none", "12 !?"), ("none", None)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    model = language.fit(labelled)
+    assert model.languages == sorted(f"l{k}" for k in range(70))
+    assert len(model.landmarks) == 69 * 7 + 3  # copies with other digits are one row
+    got = model.predict([text(k, 99) for k in range(70)])
+    assert sum(g[0] == f"l{k}" for k, g in enumerate(got)) >= 68
+    assert len(language.fit(labelled, fit_rows=3).landmarks) == 69 * 3 + 3
+
+
 def test_near_copies_in_groups_equal_brute_force(spark):
     base = shuffled_words(1, 120)
     texts = []
