@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from roadprep.llm.shards import slices
 
-#: A page votes for its deepest container that holds this share of its text.
+#: A page's own container is its deepest one that holds this share of its text, and what stands with it (see Page.best).
 SHARE = 0.8
-#: Paths of a host that are kept, those with the most votes.
-PATHS_PER_HOST = 3
+#: Mean length of blocks from which text beside the container is text of the article.
+DENSE_BLOCK = 80
+#: A host's paths are those with one of so many of its votes at least: bounds their number and needs no common row.
+VOTES_PER_PATH = 100
+_WHOLE = frozenset(("", "html", "body"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Hosts up to which their paths are broadcast to the pages; beyond it the join is left to a shuffle.
 BROADCAST_HOSTS = 100_000
 
@@ -81,6 +85,8 @@ class Page:
         self.parent: list[int] = [0]
         self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str]] = []
+        self.heading: list[bool] = []  # of each block
+        element = ""
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
         buffer: list[str] = []
         position = 0
@@ -94,6 +100,7 @@ class Page:
                 text = " ".join(text.split())
                 if text:
                     self.blocks.append((stack[-1][1], text))
+                    self.heading.append(element in _HEADINGS)
 
         for m in _TOKEN.finditer(html):
             start, end = m.span()
@@ -116,6 +123,7 @@ class Page:
                             break
                     continue
                 flush()
+                element = ""
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
@@ -130,6 +138,7 @@ class Page:
                         stack.append((tag, stack[-1][1], True))
                 continue
             flush()
+            element = tag
             if tag in _VOID:
                 continue
             if stack[-1][0] == "p" or stack[-1][0] == tag == "li":
@@ -160,6 +169,16 @@ class Page:
         return out
 
     def best(self) -> int:
+        """The container that core() gives, or an outer one if what that adds is text of the article: an enclosing article
+        or main, headings and blocks right beside the container (in body, long ones), other containers with long blocks."""
+        best = c = self.core()
+        while self.parent[c] != c:
+            c = self.parent[c]
+            if self.tags[c] in ("article", "main") or self._adds_text(c, best):
+                best = c
+        return best
+
+    def core(self) -> int:
         """The deepest container with SHARE of the text; article and main need half of it only."""
         totals = self.totals()
         best = 0
@@ -169,16 +188,36 @@ class Page:
                 best = c
         return best
 
+    def _adds_text(self, outer: int, inner: int) -> bool:
+        """Whether all that `outer` has beside `inner` is text of the article (nothing: the inner one is enough)."""
+        sides: dict[int, list[int]] = {}  # lengths of blocks by the child of `outer` that they stand in
+        for (c, text), heading in zip(self.blocks, self.heading):
+            side = c
+            while c not in (outer, inner, 0):
+                c, side = self.parent[c], c
+            if c == outer:
+                sides.setdefault(side, []).append(len(text) if not heading else max(DENSE_BLOCK, len(text)))
+        return bool(sides) and all(sum(n) >= DENSE_BLOCK * len(n) or (c == outer and self.tags[c] not in _WHOLE) for c, n in sides.items())
+
     def text(self, paths: list[str]) -> str:
-        """Blocks in the containers of the first of these paths that the page has text in; else in its own best one."""
+        """Blocks in the page's own container, or in the containers of the one of the host's paths that covers more.
+
+        A page none of whose containers holds most of its text (its core is the whole page) is extracted by the path of
+        these that covers most of it, if that is 30 % at least.
+        """
         totals = self.totals()
+        best = self.best()
+        whole = self.tags[self.core()] in _WHOLE
+        chosen, most = {best}, 0.3 * totals[0] if whole else totals[best]
+        places: dict[str, set[int]] = {}
+        for c in range(1, len(self.paths)):
+            if totals[c] and self.tags[c] not in _WHOLE:
+                places.setdefault(self.paths[c], set()).add(c)
         for path in paths:
-            chosen = {c for c in range(len(self.paths)) if self.paths[c] == path and totals[c]}
-            # a host's path that misses most of this page is not this page's template
-            if chosen and sum(totals[c] for c in chosen if self.parent[c] not in chosen) >= 0.3 * totals[0]:
-                break
-        else:
-            chosen = {self.best()}
+            found = places.get(path, set())
+            covered = sum(totals[c] for c in found if self.parent[c] not in found)
+            if found and covered > most:
+                chosen, most = found, covered
         inside = [False] * len(self.paths)
         for c in range(len(self.paths)):
             inside[c] = c in chosen or (c > 0 and inside[self.parent[c]])
@@ -191,7 +230,7 @@ def host(url):
 
 
 def vote(pages: DataFrame) -> DataFrame:
-    """host, paths: the general paths with the most votes on each host, the best first.
+    """host, paths: the general paths with a VOTES_PER_PATH-th of the votes on each host, those with most votes first.
 
     One pass over the pages gives a path for each; votes are counted by host and path, combined before the shuffle, so
     a host with a third of all pages sends one row for each path and task.
@@ -202,11 +241,14 @@ def vote(pages: DataFrame) -> DataFrame:
             found = []
             for html in part.column("html").to_pylist():
                 page = Page(html or "")
-                found.append(page.paths[page.best()])
+                best = page.best()
+                found.append("" if page.tags[best] in _WHOLE else page.paths[best])  # a whole page is no container
             yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(found, pa.string())], names=["host", "path"])
 
     votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(paths, "host string, path string").filter("path <> ''").groupBy("host", "path").count()
-    ranked = votes.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "path"))), 1, PATHS_PER_HOST).alias("best"))
+    of_host = votes.groupBy("host").agg(F.sum("count").alias("n_votes"))
+    votes = votes.join(of_host, "host").filter(F.col("count") * VOTES_PER_PATH >= F.col("n_votes"))
+    ranked = votes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "path"))).alias("best"))
     return ranked.select("host", F.col("best.path").alias("paths"))
 
 

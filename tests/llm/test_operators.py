@@ -180,6 +180,26 @@ def test_main_text_by_the_hosts_path(spark):
     assert extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_keeps_what_stands_beside_the_container(spark):
+    def text(n, k=30):
+        return " ".join(f"w{n}x{i}" for i in range(k))
+
+    lead = "<html><body><nav>menu</nav><article><h1>Title</h1><p>lead</p><div class=body><p>{t}</p></div></article></body></html>"
+    heading = "<html><body><h1>Title</h1><div class=body><p>{t}</p></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", lead.format(t=text(i))) for i in range(3)]
+    rows += [(i, f"http://b.example/{i}", heading.format(t=text(i))) for i in range(3, 6)]
+    # five templates on a host; all have the first one's container, which in others holds a small part
+    first = "<html><body><section class=s><p>{t}</p></section></body></html>"
+    other = "<html><body><div class={k}><section class=s><p>{s}</p></section><section class=t><p>{t}</p></section></div></body></html>"
+    rows += [(i, f"http://c.example/{i}", first.format(t=text(i))) for i in range(10, 20)]
+    rows += [(i, f"http://c.example/{i}", other.format(k="abcd"[i % 4], s=text(i, 20), t=text(i, 40))) for i in range(20, 28)]
+    out = {r.page_id: r.text for r in extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(3)] == [f"Title\n\nlead\n\n{text(i)}" for i in range(3)]
+    assert [out[i] for i in range(3, 6)] == [f"Title\n\n{text(i)}" for i in range(3, 6)]
+    assert [out[i] for i in range(10, 20)] == [text(i) for i in range(10, 20)]
+    assert [out[i] for i in range(20, 28)] == [f"{text(i, 20)}\n\n{text(i, 40)}" for i in range(20, 28)]
+
+
 def test_list_entries_as_of_the_capture(spark):
     entries = [
         ("l", "block", "domain", "bad.example", "2024-01-10", "add"),
