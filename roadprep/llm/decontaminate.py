@@ -134,7 +134,11 @@ class FMIndex:
         return self.sample[self.sample_rank[rows]] + steps
 
 
-def benchmark_windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict:
+def by_name(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def benchmark_windows(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict:
     """Distinct windows of benchmark items as symbol rows, and the items that each belongs to."""
     vocabulary: dict[bytes, int] = {}
     owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
@@ -145,7 +149,7 @@ def benchmark_windows(items: list[tuple[str, str | None]], window: int = WINDOW)
     phrases = np.zeros((len(owners), window), np.int64)
     for row, ids in zip(phrases, owners):
         row[window - len(ids) :] = ids
-    return {"vocabulary": vocabulary, "phrases": phrases, "lengths": np.count_nonzero(phrases, axis=1), "owners": [sorted(x) for x in owners.values()]}
+    return {"vocabulary": vocabulary, "phrases": phrases, "lengths": np.count_nonzero(phrases, axis=1), "owners": [by_name(x) for x in owners.values()]}
 
 
 def find_windows(texts: list[str | None], block: dict) -> list[tuple[int, list[int], list[int], list[str]]]:
@@ -185,7 +189,7 @@ def find_windows(texts: list[str | None], block: dict) -> list[tuple[int, list[i
     for t, p in zip((pairs // len(counts)).tolist(), (pairs % len(counts)).tolist()):
         items[t].update(block["owners"][p])
     for t, found in items.items():
-        out[t][3].extend(sorted(found))
+        out[t][3].extend(by_name(found))
     return out
 
 
@@ -218,7 +222,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. A window is `window`
     consecutive words of an item of `benchmark` (item_id, text), or the whole item if it has fewer words. Adds columns
     to `docs`: _n_words, _hit_starts and _hit_ends (merged runs of word numbers, end exclusive), _items (sorted ids as
-    strings); input columns of these names are replaced. With `remove`, text_col loses the merged runs. Null texts and
+    strings; a null at the end stands for all items without an id, whose windows are hits like others); input columns of these names are replaced. With `remove`, text_col loses the merged runs. Null texts and
     null items have no words; a benchmark without words hits nothing; repeated rows stay rows. The benchmark is
     broadcast in blocks of about `block_words` words (one item is never cut), each block a map over the texts: no
     shuffle of texts, memory bounded by a shard (SHARD_BYTES or one longer text) and a block.
@@ -232,7 +236,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     schema = out.schema
     for k in range(n_blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()  # bounded by block_words
-        block = spark.sparkContext.broadcast(benchmark_windows([(r[0], r[1]) for r in rows if r[0] is not None], window))
+        block = spark.sparkContext.broadcast(benchmark_windows([(r[0], r[1]) for r in rows], window))
 
         def run(batches, block=block, last=k == n_blocks - 1):
             for part in slices(batches, text_col, SHARD_BYTES):
@@ -240,7 +244,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                 found = find_windows(texts, block.value)
                 if n_blocks > 1:
                     before = zip(*(part.column(c).to_pylist() for c in ("_hit_starts", "_hit_ends", "_items")))
-                    found = [(n, *merge_spans(a + s, b + e), sorted({*i, *x})) for (n, s, e, i), (a, b, x) in zip(found, before)]
+                    found = [(n, *merge_spans(a + s, b + e), by_name({*i, *x})) for (n, s, e, i), (a, b, x) in zip(found, before)]
                 arrays = {c: part.column(c) for c in columns}
                 if remove and last:
                     arrays[text_col] = pa.array([t if t is None else excise(t, f[1], f[2]) for t, f in zip(texts, found)], part.schema.field(text_col).type)

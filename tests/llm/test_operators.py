@@ -47,6 +47,22 @@ def test_decontamination_of_odd_rows(spark):
     assert decontaminate.contamination_report(documents(spark), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_benchmark_items_without_an_id_hit(spark):
+    import duckdb
+
+    bench = spark.createDataFrame([(None, "the same text twice over and over again for all to see"), (None, "one"), (7, "one")], "item_id long, text string")
+    docs = documents(spark, extra=False)
+    out = decontaminate.contamination_report(docs, bench)
+    con = duckdb.connect()
+    for name, frame in (("documents", docs.select("doc_id", "text").toArrow()), ("benchmark", bench.toArrow())):
+        con.register(name, frame)
+    rows = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert rows == sorted(con.execute(Q.OP3).fetchall(), key=repr)
+    assert {r[0]: r[2:4] for r in rows if r[2]} == {3: (1, 2), 4: (12, 1), 5: (12, 1)}
+    cut = decontaminate.find_contamination(docs, bench, remove=True).filter("doc_id = 4").first().text
+    assert "twice" not in cut
+
+
 def test_blocks_of_a_large_benchmark_give_the_same(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     columns = ["doc_id", "_n_words", "_hit_starts", "_hit_ends", "_items"]
