@@ -15,6 +15,10 @@ from roadprep.llm import decontaminate, jaccard, pieces, quality, secrets
 from roadprep.llm.queries import _table, tokenizer
 from roadprep.llm.scratch import settled
 
+#: Near duplicates share PERCENT of their runs of SHINGLE words.
+SHINGLE = 5
+PERCENT = 80
+
 
 def _with_length(docs: DataFrame) -> DataFrame:
     """n_chars follows the text where the table has it."""
@@ -26,7 +30,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_first(docs)
+    return jaccard.keep_first(docs, PERCENT, SHINGLE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

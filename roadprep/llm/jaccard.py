@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadprep.llm.scratch import settled
 from roadprep.llm.shards import ascii_lower_table, hash_spans, joined, mix, slices, word_spans
@@ -22,6 +23,9 @@ SAMPLE_DOCS = 1_000
 PAIR_COST = 0.2
 #: Ids up to which a semi-join broadcasts them (8 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Entries with up to so many documents are searched for one that sizes and sketches let link; those of larger ones all
+#: go on to the comparison by rare elements. It changes the cost, not the result.
+SCAN_ROWS = 64
 
 _LOWER = ascii_lower_table()
 _WORD_BYTE = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -175,13 +179,13 @@ def _digest(tokens: np.ndarray) -> list[int]:
     return [*sums.tolist(), *sketch.tolist()]
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, d1, d2, sketch (a struct of longs) for each row of docs (doc_id, text)."""
     names = ["d1", "d2", *(f"s{k}" for k in range(SKETCH))]
 
     def run(batches):
         for part in slices(batches):
-            sets = shingle_sets(part.column("text").to_pylist())
+            sets = shingle_sets(part.column("text").to_pylist(), size)
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in range(len(names)))], names=["doc_id", "n_shingles", *names])
 
@@ -190,12 +194,12 @@ def profile(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "d1", "d2", F.struct(*names[2:]).alias("sketch"))
 
 
-def sharing(docs: DataFrame, rows: int) -> float:
+def sharing(docs: DataFrame, rows: int, size: int = SHINGLE) -> float:
     """The chance that an element of one document is in another one, on a bounded sample of about SAMPLE_DOCS texts."""
 
     def run(batches):
         for part in slices(batches):
-            for s in shingle_sets(part.column("text").to_pylist()):
+            for s in shingle_sets(part.column("text").to_pylist(), size):
                 yield pa.RecordBatch.from_arrays([pa.array(s[:: max(1, len(s) // 64)].view(np.int64))], names=["token"])
 
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_DOCS / max(1, rows)) * (1 << 20)))
@@ -204,7 +208,7 @@ def sharing(docs: DataFrame, rows: int) -> float:
     return float(pairs or 0) / (float(total) * min(rows, SAMPLE_DOCS)) if total else 0.0
 
 
-def entries(docs: DataFrame, index: Index) -> DataFrame:
+def entries(docs: DataFrame, index: Index, size: int = SHINGLE) -> DataFrame:
     """(sig, doc_id) rows of the index. Equal sets within one slice of a task give one document's entries only."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -212,7 +216,7 @@ def entries(docs: DataFrame, index: Index) -> DataFrame:
         for part in slices(batches):
             ids, sigs, seen = part.column("doc_id").to_pylist(), [], set()
             owners = []
-            for i, s in zip(ids, shingle_sets(part.column("text").to_pylist())):
+            for i, s in zip(ids, shingle_sets(part.column("text").to_pylist(), size)):
                 key = tuple(_digest(s)[:2])
                 if i is None or key in seen:
                     continue
@@ -264,15 +268,15 @@ def possible(n1: Column, s1: Column, n2: Column, s2: Column, percent: int = PERC
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * differ <= (100 - percent) * (n1 + n2))
 
 
-def _of_documents(pairs: DataFrame, docs: DataFrame, column: str, make) -> DataFrame:
-    """doc_id, n (set size) and what `make` gives for the set, for the documents in pairs."""
-    ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _of_documents(ids: DataFrame, docs: DataFrame, column: str, make, size: int) -> DataFrame:
+    """doc_id, n (set size) and what `make` gives for the set, for each text of the documents in ids (doc_id)."""
+    ids = settled(ids.distinct())
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
     def run(batches):
         for part in slices(batches):
-            sets = shingle_sets(part.column("text").to_pylist())
+            sets = shingle_sets(part.column("text").to_pylist(), size)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([make(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", column])
 
     return texts.mapInArrow(run, f"doc_id long, n long, {column} array<long>")
@@ -283,22 +287,81 @@ def _wide(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two wide sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
 def _with_both(pairs: DataFrame, sides: DataFrame, column: str) -> DataFrame:
     for k in ("a", "b"):
         pairs = pairs.join(sides.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col(column).alias(f"{column}_{k}")), k)
     return pairs
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of document ids whose whole shingle sets link.
 
     A wide sketch of each set rules out most pairs that don't link; only the sets of the others are brought together.
     """
-    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = _with_both(pairs, settled(_of_documents(pairs, docs, "wide", _wide)), "wide")
-    near = settled(near.filter((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-    both = _with_both(near, _of_documents(near, docs, "tokens", lambda s: s), "tokens").withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    return both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+
+    def ids(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+    near = _with_both(pairs, settled(_of_documents(ids(pairs), docs, "wide", _wide, size)), "wide")
+    near = settled(near.filter((100 + percent) * _differ("wide_a", "wide_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct())
+    both = _with_both(near, _of_documents(ids(near), docs, "tokens", lambda s: s, size), "tokens").withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    return both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct()
+
+
+def with_partner(mixed: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Of entries (sig, node, n, sketch, label), those whose signature has another label.
+
+    In signatures of up to SCAN_ROWS rows only those stay that have a row of another label with which sizes and sketches
+    let them link; sets that are too large for the short sketch are asked by the wide one. Each row is given out once.
+    """
+    labels = mixed.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("rows")).filter("l <> m")
+    mixed = settled(mixed.join(labels.select("sig", "rows"), "sig"))
+    few = mixed.filter(F.col("rows") <= SCAN_ROWS)
+
+    def others(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(*(F.col(c).alias(f"{c}_2") for c in ("sig", "n", "label", *columns)))
+
+    unlike = (F.col("sig") == F.col("sig_2")) & (F.col("label") != F.col("label_2"))
+    met = possible(F.col("n"), F.col("sketch"), F.col("n_2"), F.col("sketch_2"), percent)
+    few = settled(few.join(others(few, "sketch"), unlike & met, "left_semi"))
+    long = next(n for n in range(1, 1 << 20) if most_different(n, n, percent) >= 24 * SKETCH)
+    large = few.filter(100 * F.col("n") >= percent * long)
+    wide = _of_documents(large.select(F.col("node").alias("doc_id")), docs, "wide", _wide, size).select(F.col("doc_id").alias("node"), "wide", F.col("n").alias("n_text"))
+    large = settled(large.join(wide, (large["node"] == wide["node"]) & (large["n"] == wide["n_text"])).select(large["*"], "wide"))
+    near = (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")) & ((100 + percent) * _differ("wide", "wide_2") <= (100 - percent) * (F.col("n") + F.col("n_2")))
+    large = large.filter(F.col("n") >= long).join(others(large, "wide"), unlike & near, "left_semi")
+    return mixed.filter(F.col("rows") > SCAN_ROWS).union(few.filter(F.col("n") < long)).union(large.drop("wide"))
+
+
+def rare_pairs(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, sketch, label) with different labels, among them all whose sets link.
+
+    All elements of these sets are put in one order, the rarest first. The first element that two linked sets share has
+    so few elements of either set before it that the rest of both can still hold what they must share. So near copies
+    that don't link, as each has too many elements of its own, meet nowhere: the number of pairs does not follow the
+    square of their group. Under each element only rows outside its most frequent label are compared with the others.
+    """
+    each = settled(_of_documents(nodes.select(F.col("node").alias("doc_id")), docs, "tokens", lambda s: s, size).select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token")))
+    counts = each.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
+    of_node = Window.partitionBy("node", "n")
+    # elements that no other set has come first: they need no row, only their number
+    before = F.col("n") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("times", "token")) - 1
+    ranked = each.join(counts, "token").withColumn("rest", F.col("n") - before)
+    ranked = ranked.filter(100 * F.col("rest") >= percent * F.col("n")).select("token", "node", "n", "rest")
+    ranked = settled(ranked.join(nodes.select("node", "sketch", "label"), "node"))
+    heads = ranked.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", "count").alias("most"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    mixed = settled(ranked.join(heads, "token"))
+    left, right = (mixed.select(F.col("token").alias(f"token{k}"), "most", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "rest", "sketch", "label"))) for k in (1, 2))
+    n = F.col("n1") + F.col("n2")
+    enough = ((100 + percent) * F.col("rest1") >= percent * n) & ((100 + percent) * F.col("rest2") >= percent * n)
+    unlike = (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("most")) | (F.col("node1") < F.col("node2")))
+    met = left.filter("label1 <> most").join(right.drop("most"), (F.col("token1") == F.col("token2")) & unlike & enough & possible(F.col("n1"), F.col("sketch1"), F.col("n2"), F.col("sketch2"), percent))
+    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,33 +383,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the connected components of documents with near-equal shingle sets.
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z lower-cased; a set holds the distinct
-    SHINGLE-word runs of the whole text. Sets link when 100 * intersection >= percent * union. Null or empty texts have
+    `size`-word runs of the whole text. Sets link when 100 * intersection >= percent * union. Null or empty texts have
     the set size 0 and are alone; repeated rows and equal texts are in one component; a null doc_id has a null
-    component. doc_id must be an integer.
+    component. doc_id must be an integer; a document in several rows with different texts has the links of each.
 
     1. Documents with equal sets become one node, the smallest doc_id.
     2. Each set's tokens fall into segments of the hash range; segments' contents (and contents less one element, where
        allocated) are the index. Linked sets share an entry (see Scheme), whatever their content.
     3. Every entry's documents are verified against its smallest one, and the links' components are formed.
-    4. Pairs that share an entry but no component yet are verified too, so that no link is lost; a large group of
-       near copies needs few of them.
+    4. Where documents share an entry but no component yet, those of them that share a rare element too (rare_pairs)
+       are verified as well, so that no link is lost.
     """
     docs = docs.select("doc_id", "text")
-    rows = settled(profile(docs))
+    rows = settled(profile(docs, size))
     nodes = settled(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").cast("long").alias("node"), F.first("sketch").alias("sketch")))
     n_docs, largest = nodes.agg(F.count("*"), F.max("n_shingles")).first()
     # copies of another document need no index entries; those that one task sees are left out by `entries` in any case
     owner = rows.filter("n_shingles > 0").join(nodes, ["n_shingles", "d1", "d2"]).select(F.col("doc_id").cast("long").alias("doc_id"), "node", F.col("n_shingles").alias("n"), nodes["sketch"]).distinct()
     owner = settled(owner)
-    copies = owner.filter("doc_id <> node").select("doc_id")
+    copies = owner.filter("doc_id <> node").select("doc_id").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").distinct()
     indexed = docs.filter("doc_id IS NOT NULL")
     if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         indexed = indexed.join(F.broadcast(copies), "doc_id", "left_anti")
-    found = settled(shared_entries(entries(indexed, Index(largest or 0, n_docs, sharing(docs, n_docs), percent))))
+    found = settled(shared_entries(entries(indexed, Index(largest or 0, n_docs, sharing(docs, n_docs, size), percent), size)))
 
     def with_nodes(pairs: DataFrame) -> DataFrame:
         for c in ("first", "doc_id"):
@@ -361,7 +424,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     pairs = settled(with_nodes(found.select("first", "doc_id").filter("first <> doc_id").distinct()))
     stars = settled(linkable(pairs))
-    links = settled(verify(stars, docs, percent))
+    links = settled(verify(stars, docs, percent, size))
     labels = settled(components(links))
 
     def label_of(column: str) -> DataFrame:
@@ -372,18 +435,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.join(label_of(c), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
         return pairs.filter(F.col("label_node_first") != F.col("label_node_doc_id"))
 
-    # entries whose documents are not all in one component
-    apart = settled(labelled(pairs).select("first", "doc_id"))
+    # entries whose documents, beside the one that the others were verified against, are not all in one component
+    apart = settled(labelled(pairs).select("first").distinct())
     if not apart.isEmpty():
-        open_ = settled(found.join(apart, ["first", "doc_id"], "left_semi").select("sig").distinct())
-        rest = found.join(open_, "sig", "left_semi").select("sig", "doc_id").join(owner, "doc_id").join(label_of("node"), "node", "left")
-        rest = settled(rest.select("sig", "node", "n", "sketch", F.coalesce("label_node", "node").alias("label")).distinct())
-        left, right = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in rest.columns[1:])) for k in (1, 2))
-        unlike = (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & possible(F.col("n1"), F.col("sketch1"), F.col("n2"), F.col("sketch2"), percent)
-        cross = left.join(right, (left["sig"] == right["sig"]) & unlike).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
-        cross = settled(cross.join(stars, ["a", "b"], "left_anti"))
+        mixed = found.join(apart, "first", "left_semi").filter("first <> doc_id").join(owner, "doc_id").join(label_of("node"), "node", "left")
+        mixed = settled(mixed.select("sig", "node", "n", "sketch", F.coalesce("label_node", "node").alias("label")))
+        rest = settled(with_partner(mixed, docs, percent, size).select("node", "n", "sketch", "label").distinct())
+        cross = settled(rare_pairs(rest, docs, percent, size).join(stars, ["a", "b"], "left_anti"))
         if not cross.isEmpty():
-            more = settled(verify(cross, docs, percent))
+            more = settled(verify(cross, docs, percent, size))
             if not more.isEmpty():
                 labels = settled(components(links.union(more)))
 
@@ -392,9 +452,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", F.col("doc_id").cast("long"))).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; rows with a null doc_id stay. Of repeated rows one stays."""
-    groups = jaccard_components(docs, percent)
+    groups = jaccard_components(docs, percent, size)
     first = settled(groups.filter("doc_id = component_id").groupBy("doc_id").count())
     kept = docs.join(F.broadcast(first) if first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else first, "doc_id", "left_semi")
     if not first.filter("count > 1").isEmpty():
