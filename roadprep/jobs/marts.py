@@ -92,20 +92,23 @@ def _long(spark, d):
     return pixel_stats(spark, d).unpivot(["image_id", "condition"], ["mean", "std"], "field", "value")
 
 
-@query(STATS + """, l AS (SELECT condition, 'mean' AS field, mean AS value FROM flat UNION ALL SELECT condition, 'std', std FROM flat),
+@query((STATS + """, l AS (SELECT condition, 'mean' AS field, mean AS value FROM flat UNION ALL SELECT condition, 'std', std FROM flat),
 m AS (SELECT condition, field, median(value) AS med FROM l GROUP BY ALL), s AS (SELECT condition, field, med, median(abs(value - med)) * 1.4826 AS mad FROM l JOIN m USING (condition, field) GROUP BY ALL),
-k AS (SELECT *, mad = 0 OR abs(value - med) <= 3 * mad AS keep FROM l JOIN s USING (condition, field))
+k AS (SELECT condition, field, med, mad, value, mad = 0 OR abs(value - med) <= 3 * mad AS keep FROM l JOIN s USING (condition, field))
 SELECT condition, field, CAST(count(*) FILTER (keep) AS BIGINT) AS n, round(med, 6) AS median, round(mad, 6) AS mad,
- round(quantile_cont(greatest(5.0, least(value, 250.0)), 0.1) FILTER (keep), 4) AS p10, round(quantile_cont(greatest(5.0, least(value, 250.0)), 0.9) FILTER (keep), 4) AS p90,
- CAST(count(*) FILTER (NOT keep) AS BIGINT) AS rejected, CAST(count(*) FILTER (keep AND (value < 5 OR value > 250)) AS BIGINT) AS clipped FROM k GROUP BY condition, field, med, mad""")
+ round(quantile_cont(value, 0.1) FILTER (keep), 4) AS p10, round(quantile_cont(value, 0.9) FILTER (keep), 4) AS p90,
+ array_to_string(list_transform(quantile_cont(value, {PROBS}) FILTER (keep), lambda q: printf('%.3f', q)), ' ') AS q,
+ CAST(count(*) FILTER (NOT keep) AS BIGINT) AS rejected, CAST(count(*) FILTER (keep AND (value < 30 OR value > 140)) AS BIGINT) AS clipped FROM k GROUP BY condition, field, med, mad""").replace("{PROBS}", str(S.PROBABILITIES)))
 def robust_summary(spark, d):
-    out = S.robust_summary(_long(spark, d), ["condition", "field"], "value", 5.0, 250.0)
-    return out.select("condition", "field", "n", *(F.round(c, 6).alias(c) for c in ("median", "mad")), *(F.round(c, 4).alias(c) for c in ("p10", "p90")), "rejected", "clipped")
+    """Every field of the summary; the 33 quantiles as text with three decimals."""
+    out = S.robust_summary(_long(spark, d), ["condition", "field"], "value", 30.0, 140.0)
+    q = F.array_join(F.transform("q", lambda x: F.format_string("%.3f", x)), " ")
+    return out.select("condition", "field", "n", *(F.round(c, 6).alias(c) for c in ("median", "mad")), *(F.round(c, 4).alias(c) for c in ("p10", "p90")), q.alias("q"), "rejected", "clipped")
 
 
 @query(STATS + "SELECT condition, field, round(median(value), 6) AS median FROM (SELECT condition, 'mean' AS field, mean AS value FROM flat UNION ALL SELECT condition, 'std', std FROM flat) GROUP BY ALL")
 def appearance_medians(spark, d):
-    return _long(spark, d).groupBy("condition", "field").agg(F.round(F.median("value"), 6).alias("median"))
+    return S.medians(_long(spark, d), ["condition", "field"], "value").select("condition", "field", F.round("median", 6).alias("median"))
 
 
 @query(STATS + "SELECT image_id, mean BETWEEN 5 AND 250 AND std >= 10 AS stat_ok, mean >= 20 AND std >= 10 AS source_usable FROM flat")
@@ -180,7 +183,8 @@ def curve(spark, d):
     """condition, strength, m: the median metric falls with the strength."""
     orders = table(spark, d, "orders")
     rows = orders.select(F.get(F.array(*map(F.lit, CONDITIONS)), (F.col("o_custkey") % 4).cast("int")).alias("condition"), F.floor(F.col("o_totalprice").cast("double") / 50000.0).cast("int").alias("s"), F.col("o_totalprice").cast("double").alias("p"))
-    return rows.groupBy("condition", (F.col("s") / 10.0).alias("strength")).agg(F.median(100000.0 / (1 + F.col("p"))).alias("m"))
+    rows = rows.select("condition", (F.col("s") / 10.0).alias("strength"), (100000.0 / (1 + F.col("p"))).alias("value"))
+    return S.medians(rows, ["condition", "strength"], "value", "m")
 
 
 def targets(spark, d):
@@ -207,18 +211,42 @@ def curve_invert(spark, d):
     return S.invert(curve(spark, d), targets(spark, d).select("condition", "target"), "condition", "strength", "m").select("condition", F.round("strength", 6).alias("strength"))
 
 
-@query(_INVERT + """SELECT condition, true AS passed, round(greatest(0.1, least(pos, 0.6)), 6) AS strength, CASE WHEN pos < 0.1 THEN 'fit+lower' WHEN pos > 0.6 THEN 'fit+upper' ELSE 'fit' END AS source FROM iv""")
+CASES = ["fit", "sharper", "equal", "below", "rising", "upper"]
+_GATE = CURVE + """, vc AS (SELECT fc.condition || '/' || v AS condition, fc.strength, CASE WHEN v = 'rising' AND CAST(round(fc.strength * 10) AS INTEGER) % 2 = 1 THEN m * 3 ELSE m END AS m
+ FROM fc, (VALUES ('fit'), ('sharper'), ('equal'), ('below'), ('rising'), ('upper')) x(v)),
+vt AS (SELECT vc.condition, min_by(m, strength) AS base, max_by(m, strength) AS last FROM vc GROUP BY 1),
+vg AS (SELECT condition, base, last, CASE split_part(condition, '/', 2) WHEN 'sharper' THEN base * 1.5 WHEN 'equal' THEN base WHEN 'below' THEN last * 0.5 WHEN 'upper' THEN last * 1.02 ELSE exp((ln(base) + ln(last)) / 2) END AS target FROM vt),
+vs AS (SELECT condition, strength, m, lead(strength) OVER w AS s1, lead(m) OVER w AS m1, lag(m) OVER w AS m0, base, last, target FROM vc JOIN vg USING (condition) WINDOW w AS (PARTITION BY condition ORDER BY strength)),
+vi AS (SELECT condition, any_value(base) AS base, any_value(target) AS target, bool_and(m0 IS NULL OR m <= m0 + 1e-6 * greatest(abs(base), 1)) AS monotonic,
+ CASE WHEN any_value(target) <= any_value(base) AND any_value(target) >= any_value(last) THEN coalesce(min_by(strength + (ln(m) - ln(target)) / (ln(m) - ln(m1)) * (s1 - strength), strength) FILTER (m >= target AND target >= m1 AND m <> m1), max(strength)) END AS pos FROM vs GROUP BY condition)
+"""
+
+
+def _fits(spark, d):
+    """A gate's input for each condition and case: targets on, above and below the curve, and a curve that rises again."""
+    cases = curve(spark, d).withColumn("case", F.explode(F.array(*map(F.lit, CASES))))
+    cases = cases.select(F.concat_ws("/", "condition", "case").alias("condition"), "case", "strength", F.when((F.col("case") == "rising") & (F.round(F.col("strength") * 10).cast("int") % 2 == 1), F.col("m") * 3).otherwise(F.col("m")).alias("m"))
+    ends = cases.groupBy("condition", "case").agg(F.min_by("m", "strength").alias("base"), F.max_by("m", "strength").alias("last"))
+    goal = F.when(F.col("case") == "sharper", F.col("base") * 1.5).when(F.col("case") == "equal", F.col("base")).when(F.col("case") == "below", F.col("last") * 0.5).when(F.col("case") == "upper", F.col("last") * 1.02)
+    goals = ends.select("condition", "base", F.coalesce(goal, F.exp((F.ln("base") + F.ln("last")) / 2)).alias("target"))
+    fits = S.monotonic(cases, "condition", "strength", "m").join(S.invert(cases, goals.select("condition", "target"), "condition", "strength", "m"), "condition").join(goals, "condition")
+    return fits.withColumns({"low": F.lit(0.1), "high": F.lit(0.6), "fallback": F.when(F.col("condition").startswith("fog"), 0.05).when(F.col("condition").startswith("snow"), 0.9).otherwise(0.3)})
+
+
+@query(_GATE + """SELECT condition, monotonic AND pos IS NOT NULL AS passed,
+ round(CASE WHEN monotonic AND pos IS NOT NULL THEN greatest(0.1, least(pos, 0.6)) WHEN monotonic AND target > base THEN 0.0 ELSE CASE WHEN condition LIKE 'fog%' THEN 0.1 WHEN condition LIKE 'snow%' THEN 0.6 ELSE 0.3 END END, 6) AS strength,
+ CASE WHEN monotonic AND pos IS NOT NULL THEN 'fit' WHEN monotonic AND target > base THEN 'no-blur' ELSE 'fallback' END AS source,
+ CASE WHEN NOT monotonic OR pos IS NULL THEN NULL WHEN pos < 0.1 THEN 'lower' WHEN pos > 0.6 THEN 'upper' END AS bound FROM vi""")
 def blur_gate(spark, d):
-    fits = S.monotonic(curve(spark, d), "condition", "strength", "m").join(S.invert(curve(spark, d), targets(spark, d).select("condition", "target"), "condition", "strength", "m"), "condition").join(targets(spark, d), "condition")
-    return S.gate(fits.withColumns({"low": F.lit(0.1), "high": F.lit(0.6)})).select("condition", "passed", F.round("strength", 6).alias("strength"), "source")
+    return S.gate(_fits(spark, d)).withColumn("strength", F.round("strength", 6))
 
 
 @query(STATS + """, o AS (SELECT condition, median(mean) AS m, median(std) AS s FROM flat WHERE image_id % 2 = 0 GROUP BY condition), t AS (SELECT condition, median(mean) AS m, median(std) AS s FROM flat WHERE image_id % 2 = 1 GROUP BY condition)
 SELECT condition, field, round(observed - target, 6) AS diff FROM (SELECT condition, 'mean' AS field, o.m AS observed, t.m AS target FROM o JOIN t USING (condition) UNION ALL SELECT condition, 'std', o.s, t.s FROM o JOIN t USING (condition))""")
-def closed_loop(spark, d):
+def observed_vs_target(spark, d):
     """Observed medians against target medians by condition and field."""
     rows = _long(spark, d)
-    o, t = (rows.filter(F.col("image_id") % 2 == k).groupBy("condition", "field").agg(F.median("value").alias(n)) for k, n in ((0, "observed"), (1, "target")))
+    o, t = (S.medians(rows.filter(F.col("image_id") % 2 == k), ["condition", "field"], "value", n) for k, n in ((0, "observed"), (1, "target")))
     return o.join(t, ["condition", "field"]).select("condition", "field", F.round(F.col("observed") - F.col("target"), 6).alias("diff"))
 
 
@@ -226,5 +254,5 @@ def closed_loop(spark, d):
 def target_lookup(spark, d):
     """Each rendered row with its condition's target: the summaries are one row for each condition."""
     rows = pixel_stats(spark, d)
-    summary = rows.groupBy("condition").agg(F.round(F.median("mean"), 6).alias("target"))
+    summary = S.medians(rows, ["condition"], "mean", "target").withColumn("target", F.round("target", 6))
     return rows.join(F.broadcast(summary), "condition").select("image_id", "condition", "target")

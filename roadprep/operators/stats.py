@@ -10,24 +10,56 @@ from pyspark.sql.window import Window
 PROBABILITIES = [0.01 + 0.98 * i / 32 for i in range(33)]
 
 
+#: Bins for each factor of e of a value's size: neighbours in a bin differ by a thousandth.
+BINS = 1000
+
+
+def quantiles(values: DataFrame, groups: list[str], value: str, probabilities: list[float], out: str = "q") -> DataFrame:
+    """groups, `out` (an array): exact quantiles of the non-null values of each group, linear between neighbours.
+
+    Counts of logarithmic bins, which rise with the value and need no look at the data, tell which bins hold the wanted
+    ranks. Only the distinct values of those bins are ordered, each bin in a task of its own: no task holds a group, and
+    repeated values are one row.
+    """
+    rows = values.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    size = F.floor((F.ln(F.abs("_v")) + 746) * BINS)  # positive for every double but 0
+    rows = rows.withColumn("_bin", F.when(F.col("_v") == 0, F.lit(0)).otherwise(F.signum("_v") * size).cast("long"))
+    whole = Window.partitionBy(*groups)
+    bins = rows.groupBy(*groups, "_bin").agg(F.count("*").alias("_c")).withColumns({"_to": F.sum("_c").over(whole.orderBy("_bin")), "_n": F.sum("_c").over(whole)}).withColumn("_from", F.col("_to") - F.col("_c"))
+    position = lambda p: F.lit(p) * (F.col("_n") - 1)
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), side.cast("long").alias("k"), (position(p) - F.floor(position(p))).alias("part"), F.lit(at).alias("side")) for i, p in enumerate(probabilities) for at, side in enumerate((F.floor(position(p)), F.ceil(position(p))))))
+    wanted = bins.select(*groups, "_bin", "_from", F.explode(F.filter(ranks, lambda r: (r["k"] >= F.col("_from")) & (r["k"] < F.col("_to")))).alias("_r"))
+    near = rows.join(wanted.select(*groups, "_bin").distinct(), [*groups, "_bin"], "left_semi").groupBy(*groups, "_bin", "_v").agg(F.count("*").alias("_c"))
+    near = near.withColumn("_to", F.sum("_c").over(Window.partitionBy(*groups, "_bin").orderBy("_v")))
+    wanted = wanted.select(*groups, "_bin", "_r", (F.col("_r.k") - F.col("_from")).alias("_rank"))
+    found = near.join(wanted, [*groups, "_bin"]).filter((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+    low, high = (F.max(F.when(F.col("_r.side") == k, F.col("_v"))) for k in (0, 1))
+    each = found.groupBy(*groups, F.col("_r.i").alias("_i")).agg(low.alias("_a"), high.alias("_b"), F.first("_r.part").alias("_part"))
+    each = each.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part"))
+    return each.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("_i", "_q"))).alias("_all")).select(*groups, F.col("_all._q").alias(out))
+
+
+def medians(values: DataFrame, groups: list[str], value: str, out: str = "median") -> DataFrame:
+    """groups, `out`: the exact median of each group (see quantiles)."""
+    return quantiles(values, groups, value, [0.5], "_q").select(*groups, F.col("_q")[0].alias(out))
+
+
 def robust_summary(values: DataFrame, groups: list[str], value: str, low: float, high: float) -> DataFrame:
     """n, median, mad, p10, p90, q, rejected, clipped of the finite values of each group.
 
     Median and MAD (times 1.4826) are of all finite values; then values further than 3 MAD from the median are
-    rejected, none if the MAD is 0. `clipped` counts kept values outside [low, high]; quantiles are of clipped values.
+    rejected, none if the MAD is 0. Quantiles are of what is kept, as it is; `clipped` counts what of it lies outside
+    [low, high]: a value is cut to that range when it is drawn.
     """
-    finite = values.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
-    centre = finite.groupBy(*groups).agg(F.median(value).alias("median"))
-    finite = finite.join(centre, groups)
-    spread = finite.groupBy(*groups).agg((F.median(F.abs(F.col(value) - F.col("median"))) * 1.4826).alias("mad"))
-    rows = finite.join(spread, groups).withColumn("_keep", (F.col("mad") == 0) | (F.abs(F.col(value) - F.col("median")) <= 3 * F.col("mad")))
-    inside = F.when(F.col("_keep"), F.greatest(F.lit(low), F.least(F.col(value), F.lit(high))))
-    return rows.withColumn("_v", inside).groupBy(*groups, "median", "mad").agg(
-        F.count("_v").alias("n"),
-        F.percentile("_v", [0.1, 0.9, *PROBABILITIES]).alias("_q"),
-        F.count_if(~F.col("_keep")).alias("rejected"),
-        F.count_if(F.col("_keep") & ((F.col(value) < low) | (F.col(value) > high))).alias("clipped"),
-    ).select(*groups, "n", "median", "mad", F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p90"), F.slice("_q", 3, 33).alias("q"), "rejected", "clipped")
+    finite = values.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))).select(*groups, F.col(value).cast("double").alias("_x"))
+    off = finite.join(medians(finite, groups, "_x"), groups).withColumn("_off", F.abs(F.col("_x") - F.col("median")))
+    mad = medians(off, groups, "_off", "_mad").select(*groups, (F.col("_mad") * 1.4826).alias("mad"))
+    rows = off.join(mad, groups).withColumn("_kept", F.when((F.col("mad") == 0) | (F.col("_off") <= 3 * F.col("mad")), F.col("_x")))
+    counts = rows.groupBy(*groups, "median", "mad").agg(
+        F.count("_kept").alias("n"), F.count_if(F.col("_kept").isNull()).alias("rejected"), F.count_if((F.col("_kept") < low) | (F.col("_kept") > high)).alias("clipped")
+    )
+    out = counts.join(quantiles(rows, groups, "_kept", [0.1, 0.9, *PROBABILITIES], "_q"), groups)
+    return out.select(*groups, "n", "median", "mad", F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p90"), F.slice("_q", 3, 33).alias("q"), "rejected", "clipped")
 
 
 def fold_summary(values: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -53,30 +85,47 @@ def monotonic(curve: DataFrame, group: str, x: str, y: str) -> DataFrame:
 def invert(curve: DataFrame, targets: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """group, strength at which the falling curve meets the group's `target`, linear in log(y).
 
-    The first segment that holds the target; flat ones are skipped. Null if the target is outside the curve's range or
-    not positive; the last x if it is in range, but in no segment.
+    Null if the target is above the curve's first point or below its last. Else the first segment that holds the target
+    counts, flat ones are skipped; the last x if there is none. Values are taken as 1e-9 at least.
     """
     w = Window.partitionBy(group).orderBy(x)
-    rows = curve.filter(F.col(y) > 0).withColumns({"x1": F.lead(x).over(w), "y1": F.lead(y).over(w)}).join(targets, group)
-    a, b, t = F.ln(F.col(y)), F.ln(F.col("y1")), F.ln(F.col("target"))
-    hit = (F.col("target") > 0) & (a >= t) & (t >= b) & (a != b)
+    rows = curve.withColumns({"x1": F.lead(x).over(w), "y1": F.lead(y).over(w)}).join(targets, group)
+    a, b, t = (F.ln(F.greatest(F.col(c), F.lit(1e-9))) for c in (y, "y1", "target"))
+    b = F.when(F.col("y1").isNotNull(), b)
+    hit = (a >= t) & (t >= b) & (a != b)
     at = F.col(x) + (a - t) / (a - b) * (F.col("x1") - F.col(x))
-    agg = rows.groupBy(group).agg(F.min(F.when(hit, F.struct(F.col(x).alias("x"), at.alias("at")))).alias("h"), F.min(y).alias("lo"), F.max(y).alias("hi"), F.max(x).alias("last"), F.first("target").alias("target"))
-    return agg.select(group, F.when((F.col("target") >= F.col("lo")) & (F.col("target") <= F.col("hi")), F.coalesce("h.at", "last")).alias("strength"))
+    agg = rows.groupBy(group).agg(F.min(F.when(hit, F.struct(F.col(x).alias("x"), at.alias("at")))).alias("h"), F.min_by(y, x).alias("first"), F.max_by(y, x).alias("end"), F.max(x).alias("last"), F.first("target").alias("target"))
+    return agg.select(group, F.when((F.col("target") <= F.col("first")) & (F.col("target") >= F.col("end")), F.coalesce("h.at", "last")).alias("strength"))
 
 
 def gate(fits: DataFrame) -> DataFrame:
-    """condition, passed, strength, source from condition, monotonic, strength, base, target, low, high.
+    """condition, passed, strength, source, bound from condition, monotonic, strength, base, target, low, high, fallback.
+
+    A curve that is monotonic and holds the target passes: its strength is cut to [low, high], `bound` says where. Else,
+    if it is monotonic and the target is sharper than `base`, its first point, there is no blur. Else the condition's
+    fallback stands in, cut to the range.
+    """
+    inside = lambda c: F.greatest(F.col("low"), F.least(F.col(c), F.col("high")))
+    passed = F.coalesce(F.col("monotonic"), F.lit(False)) & F.col("strength").isNotNull()
+    sharp = F.coalesce(F.col("monotonic") & (F.col("target") > F.col("base")), F.lit(False))
+    strength = F.when(passed, inside("strength")).when(sharp, F.lit(0.0)).otherwise(inside("fallback"))
+    source = F.when(passed, "fit").when(sharp, "no-blur").otherwise("fallback")
+    bound = F.when(passed & (F.col("strength") < F.col("low")), "lower").when(passed & (F.col("strength") > F.col("high")), "upper")
+    return fits.select("condition", passed.alias("passed"), strength.alias("strength"), source.alias("source"), bound.alias("bound"))
+
+
+def effective(fits: DataFrame, ranges: DataFrame) -> DataFrame:
+    """condition, kind, frac, source for each row of `ranges` (condition, kind, low, high) by `fits` (condition, value, source).
 
-    A curve that is monotonic and holds the target passes; its strength is cut to [low, high]. If the target is at
-    least as sharp as the base there is no blur. Else the middle of the range stands in.
+    The fitted value cut to the range, its middle as `provisional` where no fit has a value; `+clipped` where the range
+    cuts it; no blur where the kind is none.
     """
-    inside = F.greatest(F.col("low"), F.least(F.col("strength"), F.col("high")))
-    passed = F.col("monotonic") & F.col("strength").isNotNull()
-    sharp = F.col("target") >= F.col("base")
-    strength = F.when(sharp, F.lit(0.0)).when(passed, inside).otherwise((F.col("low") + F.col("high")) / 2)
-    source = F.when(sharp, "no-blur").when(passed & (inside == F.col("strength")), "fit").when(passed & (F.col("strength") < F.col("low")), "fit+lower").when(passed, "fit+upper").otherwise("provisional")
-    return fits.select("condition", (passed & ~sharp).alias("passed"), strength.alias("strength"), source.alias("source"))
+    rows = ranges.join(fits.select("condition", F.col("value").alias("_fit"), F.col("source").alias("_source")), "condition", "left")
+    raw = F.coalesce("_fit", (F.col("low") + F.col("high")) / 2)
+    cut = F.greatest(F.col("low"), F.least(raw, F.col("high")))
+    name = F.concat(F.when(F.col("_fit").isNull(), "provisional").otherwise(F.coalesce("_source", F.lit("fit"))), F.when(cut != raw, "+clipped").otherwise(""))
+    blurred = F.col("kind") != "none"
+    return rows.select("condition", "kind", F.when(blurred, cut).otherwise(0.0).alias("frac"), F.when(blurred, name).otherwise("none").alias("source"))
 
 
 def headroom(values: DataFrame, keys: list[str], run: str, value: str, anchor: str, ceiling: str) -> DataFrame:
