@@ -5,14 +5,16 @@ Each job is a map over rows: pixels are never shuffled; what leaves it is rows o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from roadprep.operators import kernels as K
-
-#: Deterministic new draws of a rendering that came out degenerate.
-ATTEMPTS = {"s2": 6, "s3": 8, "s5": 8, "s5b": 8}
+from roadprep.operators.stats import quantiles
 
 
 def pixels(row) -> np.ndarray:
@@ -52,7 +54,7 @@ def appearance_stats(images: DataFrame) -> DataFrame:
 
 def sharpness_stats(images: DataFrame) -> DataFrame:
     def make(row):
-        s = K.sharpness(pixels(row) @ K.GRAY)
+        s = K.sharpness(K.gray(pixels(row)))
         yield row.image_id, row.condition, s["normalized_laplacian"], s["laplacian_var"], s["hf_energy_ratio"]
 
     return _map(images, make, "image_id long, condition string, normalized_laplacian double, laplacian_var double, hf_energy_ratio double")
@@ -64,60 +66,163 @@ def strength_grid(images: DataFrame) -> DataFrame:
     def make(row):
         kind = K.BLUR[row.condition][0]
         if kind != "none":
-            img = pixels(row).astype(np.float64)
+            img = K.gray(pixels(row))
             for s in K.strengths(kind):
-                m = K.sharpness(K.blur(img, kind, s) @ K.GRAY)
+                m = K.sharpness(K.blur(img, kind, s))
                 yield row.image_id, row.condition, s, m["normalized_laplacian"], m["laplacian_var"], m["hf_energy_ratio"]
 
     return _map(images, make, "image_id long, condition string, strength double, normalized_laplacian double, laplacian_var double, hf_energy_ratio double")
 
 
-def box_contrast(images: DataFrame) -> DataFrame:
-    """image_id, box_idx, std of each box in the array column `boxes` (x0, y0, x1, y1 as an array)."""
+def box_contrast(images: DataFrame, labels: DataFrame, least_area: int = 4) -> DataFrame:
+    """image_id, ann_idx, std of the gray pixels in each box of `labels` (image_id, ann_idx, cx, cy, bw, bh as shares).
+
+    Corners are cut to the image and to whole pixels; boxes under `least_area` pixels go. A row of boxes for each image
+    (one image's labels) is joined to it, so the pixels are read once and stay where they are if labels are broadcast.
+    """
+    boxes = labels.groupBy("image_id").agg(F.collect_list(F.struct("ann_idx", "cx", "cy", "bw", "bh")).alias("boxes"))
 
     def make(row):
-        gray = pixels(row) @ K.GRAY
-        for i, s in enumerate(K.box_std(gray, [tuple(map(int, b)) for b in row.boxes])):
-            yield row.image_id, i, s
+        gray = K.gray(pixels(row))
+        h, w = gray.shape
+        for ann_idx, cx, cy, bw, bh in ((b["ann_idx"], b["cx"], b["cy"], b["bw"], b["bh"]) for b in row.boxes):
+            x0, y0 = max(0, int((cx - bw / 2) * w)), max(0, int((cy - bh / 2) * h))
+            x1, y1 = min(w, int((cx + bw / 2) * w)), min(h, int((cy + bh / 2) * h))
+            if x1 > x0 and y1 > y0 and (x1 - x0) * (y1 - y0) >= least_area:
+                yield row.image_id, ann_idx, K.box_std(gray, [(x0, y0, x1, y1)])[0]
+
+    return _map(images.join(boxes, "image_id"), make, "image_id long, ann_idx int, std double")
 
-    return _map(images, make, "image_id long, box_idx int, std double")
 
+def visibility(before: DataFrame, after: DataFrame, least_std: float = 1.0, faint: float = 0.3) -> DataFrame:
+    """condition, boxes, faint, p05, median of the ratio of each box's contrast after rendering to that before.
 
-def render(img: np.ndarray, stage: str, condition: str, rng: np.random.Generator, targets: dict, fractions: dict) -> tuple[np.ndarray, dict]:
-    """One image by a stage's recipe: s2 tone; s3 weather; s5 weather and appearance; s5b with blur between them."""
-    if stage == "s2":
-        plan = K.tone_plan(rng)
-        return K.tone(img, plan, rng), plan
+    `before` and `after` as box_contrast gives them, `after` with condition; boxes with less contrast before don't count.
+    """
+    rows = before.filter(F.col("std") >= least_std).withColumnRenamed("std", "_b").join(after, ["image_id", "ann_idx"]).withColumn("ratio", F.col("std") / F.col("_b"))
+    counts = rows.groupBy("condition").agg(F.count("*").alias("boxes"), F.avg((F.col("ratio") < faint).cast("double")).alias("faint"))
+    q = quantiles(rows, ["condition"], "ratio", [0.05, 0.5], "_q")
+    return counts.join(q, "condition").select("condition", "boxes", "faint", F.col("_q")[0].alias("p05"), F.col("_q")[1].alias("median"))
+
+
+def _s2(img, condition, rng, targets, fractions):
+    plan = K.tone_plan(rng)
+    return K.tone(img, plan, rng), plan
+
+
+def _s3(img, condition, rng, targets, fractions):
     plan = K.weather_plan(rng, condition, *img.shape[:2])
-    out = K.weather(img, condition, plan, rng)
-    if stage == "s5b":
-        kind, low, high = K.BLUR[condition]
-        frac = min(max(fractions.get(condition, (low + high) / 2), low), high)
-        out, plan = K.blur(out, kind, frac, plan.get("slant_deg", 77.5)), plan | {"blur_frac": frac}
-    if stage in ("s5", "s5b"):
-        q = targets[condition]
-        goal = {k: K.draw(q[k], rng) for c in "bgr" for k in (f"mean_{c}", f"std_{c}")}
-        K.draw(q["saturation"], rng)  # drawn for the log, not matched
-        out = K.match(out, goal)
-    return out, plan
-
-
-def build_stage(images: DataFrame, stage: str, targets: dict | None = None, fractions: dict | None = None, seed: int = 42) -> DataFrame:
+    return K.weather(img, condition, plan, rng), plan
+
+
+def _matched(out, condition, rng, targets):
+    """Channels matched to draws from the condition's summaries: {field: (quantiles, low, high)}."""
+    fields = targets[condition]
+    goal = {k: K.draw(fields[k][0], rng, *fields[k][1:]) for c in "bgr" for k in (f"mean_{c}", f"std_{c}")}
+    K.draw(fields["saturation"][0], rng, *fields["saturation"][1:])  # drawn for the log, not matched
+    return K.match(out, goal)
+
+
+def _s5(img, condition, rng, targets, fractions):
+    out, plan = _s3(img, condition, rng, targets, fractions)
+    return _matched(out, condition, rng, targets), plan
+
+
+def _s5b(img, condition, rng, targets, fractions):
+    out, plan = _s3(img, condition, rng, targets, fractions)
+    kind, low, high = K.BLUR[condition]
+    frac = min(max(fractions.get(condition, (low + high) / 2), low), high)
+    out = K.blur(out, kind, frac, plan.get("slant_deg", 77.5))
+    return _matched(out, condition, rng, targets), plan | {"blur_frac": frac, "blur_px": frac * min(img.shape[:2])}
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A recipe: render(img, condition, rng, targets, fractions) gives the image as floats and its parameters. The seed
+    has the condition in it if `by_condition`; a degenerate rendering of a source whose mean is `source_mean` at least
+    is drawn again up to `redraws` times."""
+
+    render: Callable
+    by_condition: bool
+    source_mean: float
+    redraws: int
+
+
+#: Stages by name; a caller may add its own.
+STAGES = {"s2": Stage(_s2, False, 5.0, 6), "s3": Stage(_s3, True, 20.0, 8), "s5": Stage(_s5, True, 20.0, 8), "s5b": Stage(_s5b, True, 20.0, 8)}
+
+
+def build_stage(images: DataFrame, stage: str | Stage, targets: dict | None = None, fractions: dict | None = None, seed: int = 42, name: str | None = None) -> DataFrame:
     """Rendered rows (image_id, name, condition, height, width, data) with stage, seed, attempt and params.
 
-    A rendering that is degenerate or equals its source is drawn again with the attempt in the seed, as long as the
-    source is usable. `targets` (quantiles by condition and field) and `fractions` hold one entry for each condition.
+    A degenerate rendering is drawn again with the attempt in the seed, as long as the source is usable; the last one
+    stays. `targets` (summaries by condition and field) and `fractions` hold one entry for each condition.
     """
+    recipe = STAGES[stage] if isinstance(stage, str) else stage
+    title = name or str(stage)
 
     def make(row):
         img = pixels(row)
-        for attempt in range(ATTEMPTS[stage]):
-            parts = (row.name, stage, seed) if stage == "s2" else (row.name, stage, seed, row.condition)
+        parts = (row.name, title, seed, row.condition) if recipe.by_condition else (row.name, title, seed)
+        for attempt in range(recipe.redraws + 1):
             number = K.seed_of(*parts, *([attempt] if attempt else []))
-            out, plan = render(img, stage, row.condition, np.random.default_rng(number), targets or {}, fractions or {})
+            out, plan = recipe.render(img, row.condition, np.random.default_rng(number), targets or {}, fractions or {})
             data = np.rint(out).astype(np.uint8)
-            if (K.usable(data) and not np.array_equal(data, img)) or not K.usable(img, 5.0 if stage == "s2" else 20.0):
+            if K.usable(data) or not K.usable(img, recipe.source_mean):
                 break
-        yield row.image_id, row.name, row.condition, row.height, row.width, data.tobytes(), stage, number, attempt, plan
+        yield row.image_id, row.name, row.condition, row.height, row.width, data.tobytes(), title, number, attempt, plan
 
     return _map(images, make, "image_id long, name string, condition string, height int, width int, data binary, stage string, seed long, attempt int, params map<string,double>")
+
+
+def blur_apply(images: DataFrame, frac: Column, kind: Column | None = None) -> DataFrame:
+    """Images (same columns) blurred by their condition's kind of blur, or by `kind`, at the row's fraction `frac`."""
+    kinds = kind if kind is not None else F.create_map(*(F.lit(x) for c, (k, *_) in K.BLUR.items() for x in (c, k)))[F.col("condition")]
+
+    def make(row):
+        out = K.blur(pixels(row).astype(np.float32), row.blur_kind, row.blur_frac)
+        yield row.image_id, row.name, row.condition, row.height, row.width, np.rint(out.clip(0, 255)).astype(np.uint8).tobytes()
+
+    rows = images.select("image_id", "name", "condition", "height", "width", "data", F.coalesce(kinds, F.lit("none")).alias("blur_kind"), frac.cast("double").alias("blur_frac"))
+    return _map(rows, make, "image_id long, name string, condition string, height int, width int, data binary")
+
+
+#: Parameters that are whole numbers, and the order of tone operations in a description.
+COUNTS = ("n_streaks", "n_particles")
+
+
+def describe(condition: Column, params: Column) -> Column:
+    """A line for the audit log: the condition and each parameter in its order, whole numbers as such, others with four
+    decimals; tints by name."""
+    value = lambda e: F.when(e["key"].isin(*COUNTS), e["value"].cast("long").cast("string")).when(e["key"] == "tint", F.when(e["value"] > 0, "warm").otherwise("cool")).otherwise(F.format_string("%.4f", e["value"]))
+    return F.concat_ws(";", condition, F.array_join(F.transform(F.map_entries(params), lambda e: F.concat_ws("=", e["key"], value(e))), ";"))
+
+
+def describe_tone(params: Column) -> Column:
+    """A line for the audit log of s2: the operations in the table's order with four decimals."""
+    names = F.filter(F.array(*map(F.lit, K.TONE)), lambda n: F.map_contains_key(params, n))
+    return F.array_join(F.transform(names, lambda n: F.format_string("%s=%.4f", n, params[n])), ";")
+
+
+def scenarios(images: DataFrame, effective: DataFrame, multipliers: list[float]) -> DataFrame:
+    """Images once for each multiplier of their condition's strength, with multiplier and frac; none for unblurred ones.
+
+    `effective` (condition, kind, frac, source) has one row for each condition.
+    """
+    levels = effective.filter("kind <> 'none'").select("condition", "kind", F.col("frac").alias("_frac"), F.explode(F.array(*map(F.lit, multipliers))).alias("multiplier"))
+    levels = levels.select("condition", "kind", "multiplier", (F.col("_frac") * F.col("multiplier")).alias("frac"))
+    return images.join(levels, "condition")
+
+
+def match_errors(images: DataFrame, medians: dict) -> DataFrame:
+    """image_id, condition, field, error: a weather rendering matched to the medians, measured again, against the medians."""
+
+    def make(row):
+        rng = np.random.default_rng(K.seed_of("self_test", row.condition, "x"))
+        img = pixels(row)
+        out = K.weather(img, row.condition, K.weather_plan(rng, row.condition, *img.shape[:2]), rng)
+        found = K.appearance(K.match(np.floor(out), medians[row.condition]).astype(np.uint8))
+        for field, goal in medians[row.condition].items():
+            yield row.image_id, row.condition, field, abs(found[field] - goal)
+
+    return _map(images, make, "image_id long, condition string, field string, error double")

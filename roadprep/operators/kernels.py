@@ -8,12 +8,14 @@ border handling follow the published definitions of these filters, not any libra
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 
 # Ranges of parameters, the order of tone operations, gray weights (BGR), strengths of blur.
 TONE = {"brightness": (0.7, 1.3, 1.0, 0.03), "contrast": (0.7, 1.2, 1.0, 0.03), "gamma": (0.8, 1.4, 1.0, 0.03), "saturation": (0.6, 1.1, 1.0, 0.03), "noise": (0.0, 10.0, 0.0, 1.0)}
-GRAY = np.array([0.114, 0.587, 0.299])
+GRAY = np.array([0.114, 0.587, 0.299], np.float32)
+LUMA = (1868, 9617, 4899)  # the same in 2^-14
 FOG = {"t": (0.35, 0.70), "airlight": (180.0, 235.0), "airlight_jitter": (0.0, 8.0), "desat": (0.7, 1.0)}
 RAIN = {"streaks_per_mpix": (366.0, 1221.0), "length_px": (10.0, 30.0), "width_px": (1.0, 2.0), "slant_deg": (70.0, 85.0), "alpha": (0.3, 0.5), "contrast": (0.8, 0.95)}
 SNOW = {"density": (0.02, 0.07), "radius_px": (2.0, 6.0), "alpha": (0.5, 0.7), "brightness": (1.0, 1.15), "contrast": (0.85, 1.0), "desat": (0.8, 1.0)}
@@ -34,8 +36,14 @@ def strengths(kind: str) -> list[float]:
     return [0.0, *np.round(np.geomspace(low, high, 15), 6).tolist()]
 
 
+def gray(img: np.ndarray) -> np.ndarray:
+    """8-bit luma of each pixel, in the fixed-point form of the usual conversion of 8-bit images."""
+    b, g, r = (img[..., i].astype(np.int32) for i in range(3))
+    return ((b * LUMA[0] + g * LUMA[1] + r * LUMA[2] + 8192) >> 14).astype(np.float32)
+
+
 def _around_mean(x: np.ndarray, factor: float) -> np.ndarray:
-    m = x.mean()
+    m = np.float32(x.mean(dtype=np.float64))
     return m + factor * (x - m)
 
 
@@ -59,13 +67,13 @@ def tone_plan(rng: np.random.Generator) -> dict[str, float]:
 
 def tone(img: np.ndarray, plan: dict[str, float], rng: np.random.Generator) -> np.ndarray:
     """The planned operations in the table's order; clipped once at the end."""
-    x = img.astype(np.float64)
+    x = img.astype(np.float32)
     steps = {
         "brightness": lambda x, p: x * p,
         "contrast": _around_mean,
         "gamma": lambda x, p: 255.0 * (x.clip(0, 255) / 255.0) ** p,
         "saturation": _saturate,
-        "noise": lambda x, p: x + rng.normal(0.0, p, x.shape) if p > 0 else x,
+        "noise": lambda x, p: x + rng.normal(0.0, p, x.shape).astype(np.float32) if p > 0 else x,
     }
     for name in TONE:
         if name in plan:
@@ -105,14 +113,22 @@ def _soften(mask: np.ndarray) -> np.ndarray:
     return mask
 
 
+def _disc(cover: np.ndarray, cx: int, cy: int, r: int) -> None:
+    """Sets the pixels of a disc to 1, as far as it lies inside."""
+    y0, y1, x0, x1 = max(0, cy - r), min(cover.shape[0], cy + r + 1), max(0, cx - r), min(cover.shape[1], cx + r + 1)
+    if y0 < y1 and x0 < x1:
+        dy, dx = np.arange(y0, y1)[:, None] - cy, np.arange(x0, x1)[None, :] - cx
+        cover[y0:y1, x0:x1][dy * dy + dx * dx <= r * r] = 1.0
+
+
 def weather(img: np.ndarray, condition: str, p: dict[str, float], rng: np.random.Generator) -> np.ndarray:
-    x = img.astype(np.float64)
+    x = img.astype(np.float32)
     h, w = x.shape[:2]
     if condition == "fog":
-        air = np.array([p["air_b"], p["air_g"], p["air_r"]])
+        air = np.array([p["air_b"], p["air_g"], p["air_r"]], np.float32)
         x = _saturate(air + p["t"] * (x - air), p["desat"])
     elif condition == "rain":
-        cover = np.zeros((h, w))
+        cover = np.zeros((h, w), np.float32)
         run, rise = np.cos(np.radians(p["slant_deg"])) * p["length_px"], np.sin(np.radians(p["slant_deg"])) * p["length_px"]
         steps = np.linspace(0.0, 1.0, 2 + int(p["length_px"]))
         for _ in range(int(p["n_streaks"])):
@@ -124,17 +140,17 @@ def weather(img: np.ndarray, condition: str, p: dict[str, float], rng: np.random
                 cover[rows[ok], cols[ok]] = STREAK
         x = _around_mean(x + p["alpha"] * _soften(cover)[..., None], p["contrast"])
     elif condition == "snow":
-        cover, (rows, cols) = np.zeros((h, w)), np.mgrid[:h, :w]
+        cover = np.zeros((h, w), np.float32)
         for _ in range(int(p["n_particles"])):
-            cx, cy = rng.integers(0, w + 1), rng.integers(0, h + 1)
-            cover[(cols - cx) ** 2 + (rows - cy) ** 2 <= round(rng.uniform(p["radius_low"], p["radius_high"])) ** 2] = 1.0
+            cx, cy = int(rng.integers(0, w + 1)), int(rng.integers(0, h + 1))
+            _disc(cover, cx, cy, round(rng.uniform(p["radius_low"], p["radius_high"])))
         a = p["alpha"] * _soften(cover)[..., None]
         x = _saturate(_around_mean((x * (1 - a) + FLAKE * a) * p["brightness"], p["contrast"]), p["desat"])
     elif condition == "night":
         x = 255.0 * ((x * p["brightness"]).clip(0, 255) / 255.0) ** p["gamma"]
-        x = (x + p["tint"] * TINT * np.array([-1.0, 0.0, 1.0])).clip(0, 255)
+        x = (x + p["tint"] * TINT * np.array([-1.0, 0.0, 1.0], np.float32)).clip(0, 255)
         bell = lambda n: np.exp(-((np.arange(n) - (n - 1) / 2) ** 2) / (2 * (n * 0.5) ** 2))
-        mask = np.outer(bell(h), bell(w))
+        mask = np.outer(bell(h), bell(w)).astype(np.float32)
         x = x * (1 - p["vignette"] * (1 - mask / mask.max()))[..., None]
     return x.clip(0, 255)
 
@@ -147,33 +163,51 @@ def _mirror(i: np.ndarray, n: int) -> np.ndarray:
     return np.where(i >= n, 2 * n - 2 - i, i)
 
 
+def _axis_product(img: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left @ img @ right.T for each channel: a separable linear filter with its borders in the matrices."""
+    flat = img.astype(np.float32).reshape(img.shape[0], -1)
+    out = (left @ flat).reshape(left.shape[0], *img.shape[1:])
+    return np.moveaxis(np.tensordot(right, out, (1, 1)), 0, 1)
+
+
+@lru_cache(64)
+def _gaussian_matrix(n: int, sigma: float) -> np.ndarray:
+    """The Gaussian's weights for each of n pixels on a line, mirrored at both ends."""
+    r = max(1, int(np.ceil(4 * sigma)))
+    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    out = np.zeros((n, n))
+    np.add.at(out, (np.repeat(np.arange(n), 2 * r + 1), _mirror(np.arange(n)[:, None] + np.arange(-r, r + 1), n).ravel()), np.tile(k / k.sum(), n))
+    return out.astype(np.float32)
+
+
 def defocus(img: np.ndarray, sigma: float) -> np.ndarray:
     if sigma <= 0:
         return img
-    r = max(1, int(np.ceil(4 * sigma)))
-    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
-    for axis in (0, 1):
-        n = img.shape[axis]
-        img = sum(wt * np.take(img, _mirror(np.arange(n) + d, n), axis) for d, wt in zip(range(-r, r + 1), k))
-    return img
+    return _axis_product(img, *(_gaussian_matrix(n, sigma) for n in img.shape[:2]))
 
 
 def motion(img: np.ndarray, length: float, angle: float) -> np.ndarray:
-    """The mean of 17 copies, shifted by fractions of a pixel along the direction, linearly interpolated."""
+    """The mean of 17 copies, shifted by fractions of a pixel along the direction, linearly interpolated.
+
+    Each copy is a weighted sum of four whole shifts: the weights of equal shifts of all copies are added first.
+    """
     if length <= 0:
         return img
-    h, w = img.shape[:2]
-    total = np.zeros(img.shape)
+    weights: dict[tuple[int, int], float] = {}
     for d in np.linspace(-0.5, 0.5, MOTION_TAPS) * length:
-        out = img.astype(np.float64)
-        for axis, n, shift in ((1, w, -np.cos(np.radians(angle)) * d), (0, h, np.sin(np.radians(angle)) * d)):
-            at = np.arange(n) + shift
-            low = np.floor(at).astype(int)
-            part = (at - low).reshape([-1 if a == axis else 1 for a in range(img.ndim)])
-            out = np.take(out, _mirror(low, n), axis) * (1 - part) + np.take(out, _mirror(low + 1, n), axis) * part
-        total += out
-    return total / MOTION_TAPS
+        x, y = -np.cos(np.radians(angle)) * d, np.sin(np.radians(angle)) * d
+        x0, y0 = int(np.floor(x)), int(np.floor(y))
+        for dx, wx in ((x0, 1 - (x - x0)), (x0 + 1, x - x0)):
+            for dy, wy in ((y0, 1 - (y - y0)), (y0 + 1, y - y0)):
+                if wx * wy > 0:
+                    weights[dx, dy] = weights.get((dx, dy), 0.0) + wx * wy / MOTION_TAPS
+    h, w = img.shape[:2]
+    rx, ry = (max(abs(k[i]) for k in weights) for i in (0, 1))
+    wide = img.astype(np.float32)[_mirror(np.arange(-ry, h + ry), h)][:, _mirror(np.arange(-rx, w + rx), w)]
+    out = np.zeros(img.shape, np.float32)
+    for (dx, dy), weight in weights.items():
+        out += np.float32(weight) * wide[ry + dy : ry + dy + h, rx + dx : rx + dx + w]
+    return out
 
 
 def blur(img: np.ndarray, kind: str, frac: float, angle: float = 77.5) -> np.ndarray:
@@ -183,50 +217,88 @@ def blur(img: np.ndarray, kind: str, frac: float, angle: float = 77.5) -> np.nda
 
 
 def appearance(img: np.ndarray) -> dict[str, float]:
-    """Mean and population std of each channel, mean 8-bit HSV saturation, mean luma."""
-    top, low = img.max(2).astype(float), img.min(2).astype(float)
-    sat = np.rint(np.divide(255.0 * (top - low), top, out=np.zeros_like(top), where=top > 0))
-    out = {f"mean_{c}": float(img[..., i].mean()) for i, c in enumerate("bgr")} | {f"std_{c}": float(img[..., i].std()) for i, c in enumerate("bgr")}
-    return out | {"saturation": float(sat.mean()), "luma": float(np.rint(img @ GRAY).mean())}
+    """Mean and population std of each channel, mean 8-bit HSV saturation (fixed point), mean luma."""
+    top, low = img.max(2).astype(np.int64), img.min(2).astype(np.int64)
+    sat = ((top - low) * np.rint(1044480 / np.maximum(top, 1)).astype(np.int64) + 2048) >> 12
+    x = img.astype(np.float64)
+    out = {f"mean_{c}": float(x[..., i].mean()) for i, c in enumerate("bgr")} | {f"std_{c}": float(x[..., i].std()) for i, c in enumerate("bgr")}
+    return out | {"saturation": float(sat.mean()), "luma": float(gray(img).mean(dtype=np.float64))}
 
 
 def match(img: np.ndarray, target: dict[str, float]) -> np.ndarray:
     """Each channel shifted and scaled to the target's mean and std."""
-    x = img.astype(np.float64).clip(0, 255)
+    x = img.astype(np.float32).clip(0, 255)
     mean = np.array([target[f"mean_{c}"] for c in "bgr"])
     std = np.array([target[f"std_{c}"] for c in "bgr"])
-    own = x.std((0, 1)).clip(1e-3)
-    return ((x - x.mean((0, 1))) / own * std + mean).clip(0, 255)
-
-
-def draw(q: list[float], rng: np.random.Generator) -> float:
-    """A value of the distribution that the evenly spaced quantiles describe."""
-    return float(np.interp(rng.random() * (len(q) - 1), np.arange(len(q)), q))
+    own = x.std((0, 1), dtype=np.float64).clip(1e-3)
+    scale = std / own
+    return (x * scale.astype(np.float32) + (mean - x.mean((0, 1), dtype=np.float64) * scale).astype(np.float32)).clip(0, 255)
+
+
+def draw(q: list[float], rng: np.random.Generator, low: float = 0.0, high: float = 255.0) -> float:
+    """A value of the distribution that the evenly spaced quantiles describe, cut to [low, high]; the middle without any."""
+    if not len(q):
+        return 0.5 * (low + high)
+    return float(min(max(np.interp(rng.random() * (len(q) - 1), np.arange(len(q)), q), low), high))
+
+
+@lru_cache(64)
+def _area_matrix(n: int, m: int) -> np.ndarray:
+    """Weights by which n pixels on a line become m: means over areas; between two neighbours where pixels are added."""
+    out = np.zeros((m, n))
+    step = n / m
+    if step >= 1:
+        edges = np.arange(m + 1) * step
+        for i in range(m):
+            first, last = int(edges[i]), min(n - 1, int(np.ceil(edges[i + 1])) - 1)
+            at = np.arange(first, last + 1)
+            out[i, at] = np.minimum(at + 1, edges[i + 1]) - np.maximum(at, edges[i])
+        return (out / out.sum(1, keepdims=True)).astype(np.float32)
+    at = np.arange(m)
+    first = np.floor(at * step).astype(int)
+    part = (at + 1) - (first + 1) / step
+    part = np.where(part <= 0, 0.0, part - np.floor(part))
+    np.add.at(out, (at, first), 1 - part)
+    np.add.at(out, (at, np.minimum(first + 1, n - 1)), part)
+    return out.astype(np.float32)
 
 
 def measured(gray: np.ndarray, short: int = SHORT_SIDE) -> np.ndarray:
-    """Area means down to the short side, where it is a whole multiple; smaller images stay as they are."""
-    k = min(gray.shape) // short
-    if k < 2:
+    """The image resized so that its short side is `short`, by areas."""
+    h, w = gray.shape
+    scale = short / min(h, w)
+    if abs(scale - 1) <= 1e-3:
         return gray
-    h, w = gray.shape[0] // k * k, gray.shape[1] // k * k
-    return gray[:h, :w].reshape(h // k, k, w // k, k).mean((1, 3))
+    return _axis_product(gray, *(_area_matrix(n, max(1, round(n * scale))) for n in (h, w)))
+
+
+@lru_cache(8)
+def _spectrum(h: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The window, the weight of each coefficient of a real transform, and the same for frequencies of 0.25 and more."""
+    radius = np.hypot(np.fft.fftfreq(h)[:, None], np.fft.rfftfreq(w)[None, :])
+    weight = np.full(radius.shape, 2.0, np.float32)  # a real image's other half is the same
+    weight[:, 0] = 1.0
+    if w % 2 == 0:
+        weight[:, -1] = 1.0
+    return np.outer(np.hanning(h), np.hanning(w)).astype(np.float32), weight, weight * (radius >= 0.25)
 
 
 def sharpness(gray: np.ndarray) -> dict[str, float]:
     """Laplacian variance, the same over the variance, and the share of windowed energy at frequencies of 0.25 and more."""
-    g = measured(gray.astype(np.float64))
-    h, w = g.shape
-    shift = lambda axis, d, n: np.take(g, _mirror(np.arange(n) + d, n), axis)
-    lap = shift(0, -1, h) + shift(0, 1, h) + shift(1, -1, w) + shift(1, 1, w) - 4 * g
-    power = np.abs(np.fft.fft2((g - g.mean()) * np.outer(np.hanning(h), np.hanning(w)))) ** 2
-    radius = np.hypot(np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :])
-    return {"normalized_laplacian": float(lap.var() / (g.var() + 1e-6)), "laplacian_var": float(lap.var()), "hf_energy_ratio": float(power[radius >= 0.25].sum() / max(power.sum(), 1e-9))}
+    g = measured(gray.astype(np.float32))
+    wide = np.pad(g, 1, "reflect") if min(g.shape) > 1 else np.pad(g, 1, "edge")
+    lap = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * g
+    window, weight, high = _spectrum(*g.shape)
+    found = np.fft.rfft2((g - g.mean(dtype=np.float64).astype(np.float32)) * window)
+    power = found.real**2 + found.imag**2
+    total = float((power * weight).sum(dtype=np.float64))
+    spread, edges = float(g.var(dtype=np.float64)), float(lap.var(dtype=np.float64))
+    return {"normalized_laplacian": edges / (spread + 1e-6), "laplacian_var": edges, "hf_energy_ratio": float((power * high).sum(dtype=np.float64)) / max(total, 1e-9)}
 
 
 def box_std(gray: np.ndarray, boxes: list[tuple[int, int, int, int]]) -> list[float]:
     """Population std of the gray pixels in each box (x0, y0, x1, y1)."""
-    return [float(gray[y0:y1, x0:x1].std()) if x1 > x0 and y1 > y0 else 0.0 for x0, y0, x1, y1 in boxes]
+    return [float(gray[y0:y1, x0:x1].std(dtype=np.float64)) if x1 > x0 and y1 > y0 else 0.0 for x0, y0, x1, y1 in boxes]
 
 
 def usable(img: np.ndarray, least_mean: float = 5.0) -> bool:

@@ -128,6 +128,11 @@ def effective(fits: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.select("condition", "kind", F.when(blurred, cut).otherwise(0.0).alias("frac"), F.when(blurred, name).otherwise("none").alias("source"))
 
 
+def paired(rows: DataFrame, others: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """`rows` with the partner's `after` and ratio, after over before; both null where there is no partner."""
+    return rows.join(others.select(*keys, after), keys, "left").withColumn("ratio", F.try_divide(after, F.when(F.col(before) != 0, F.col(before))))
+
+
 def headroom(values: DataFrame, keys: list[str], run: str, value: str, anchor: str, ceiling: str) -> DataFrame:
     """Each run's value less the anchor's and its share of the way from anchor to ceiling, null without a way."""
     at = lambda name: values.filter(F.col(run) == name).select(*keys, F.col(value).alias(f"_{name}"))
