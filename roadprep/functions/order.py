@@ -18,13 +18,19 @@ def shuffled(seed: int, salt: str, key: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), key.cast("string")), 256)
 
 
-def with_rank(df: DataFrame, groups: list[str], order: str, tie: str, out: str = "rank") -> DataFrame:
+#: Rows in a cell of ranks, if one group has them all.
+CELL_ROWS = 1_000_000
+
+
+def with_rank(df: DataFrame, groups: list[str], order: str, tie: str, out: str = "rank", n: int | None = None) -> DataFrame:
     """Exact rank from 1 in each group by a hexadecimal hash column and a tie breaker.
 
-    Rows are ranked inside (group, first two hash digits); counts of these small cells give each cell's offset. So no
-    task holds a whole group, whatever its share of the rows.
+    Rows are ranked inside (group, first hash digits); counts of these small cells give each cell's offset. So no task
+    holds a whole group, whatever its share of the rows: the number of digits follows their number `n`.
     """
-    cell = df.withColumn("_cell", F.substring(order, 1, 2))
+    n = df.count() if n is None else n
+    digits = next(k for k in range(2, 17) if n <= CELL_ROWS * 16**k)
+    cell = df.withColumn("_cell", F.substring(order, 1, digits))
     keys = [*groups, "_cell"]
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cell.groupBy(*keys).count().withColumn("_offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")

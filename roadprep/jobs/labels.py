@@ -43,13 +43,22 @@ def resolve_paths(spark, d):
     return L.first_of_roots(first.union(second))
 
 
-@query(with_parts("yolo") + """SELECT image_id, CAST(count(*) AS BIGINT) AS n_lines, array_to_string(list(class_id || ' ' || CAST(floor(cx * 1000) AS INTEGER) ORDER BY ann_idx), chr(10)) AS head
-FROM yolo GROUP BY image_id""")
+#: Sides by which no share of a whole pixel ends in a tie of the sixth decimal: engines round ties differently.
+WIDTH, HEIGHT = 1913, 1087
+TEXT = with_parts("uni", "fx_images") + f""", lb AS (SELECT image_id, ann_idx, class_id, printf('%.6f', greatest(least((x + w / 2) / {WIDTH}, 1.0), 0.0)) AS cx, printf('%.6f', greatest(least((y + h / 2) / {HEIGHT}, 1.0), 0.0)) AS cy,
+ printf('%.6f', greatest(least(w / {WIDTH}, 1.0), 0.0)) AS bw, printf('%.6f', greatest(least(h / {HEIGHT}, 1.0), 0.0)) AS bh FROM uni WHERE class_id IS NOT NULL AND w > 0 AND h > 0)
+"""
+
+
+def _text(spark, d, images=None):
+    return L.label_text(L.to_yolo(view(spark, d, "fx_annotations"), F.lit(WIDTH), F.lit(HEIGHT)), images)
+
+
+@query(TEXT + """SELECT i.image_id, coalesce(t, '') AS text FROM fx_images i LEFT JOIN (
+ SELECT image_id, string_agg(class_id || ' ' || cx || ' ' || cy || ' ' || bw || ' ' || bh || chr(10), '' ORDER BY ann_idx) AS t FROM lb GROUP BY image_id) USING (image_id)""")
 def yolo_label_text(spark, d):
-    """Label text by image, compared by class and whole thousandths of the centre (decimals' ties differ by engine)."""
-    parsed = L.parse_label_text(L.label_text(yolo(spark, d)))
-    exact = yolo(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ann_idx", F.concat_ws(" ", "class_id", F.floor(F.col("cx") * 1000).cast("int")).alias("t")))).alias("x"))
-    return parsed.groupBy("image_id").agg(F.count("*").alias("n_lines")).join(exact.select("image_id", F.array_join(F.col("x.t"), "\n").alias("head")), "image_id")
+    """Label text of every image, empty where it has no box."""
+    return _text(spark, d, view(spark, d, "fx_images"))
 
 
 @query(with_parts("uni", "classes") + """SELECT category_id, class_id, class_name, CAST(count(*) AS BIGINT) AS n FROM uni JOIN classes USING (class_id) GROUP BY ALL""")
@@ -83,9 +92,9 @@ def denormalize_boxes(spark, d):
     return L.from_yolo(yolo(spark, d), 1920, 1080)
 
 
-@query(with_parts("yolo") + """SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY ann_idx) - 1 AS INTEGER) AS line_no, class_id FROM yolo""")
+@query(TEXT + """SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY ann_idx) - 1 AS INTEGER) AS line_no, class_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy, CAST(bw AS DOUBLE) AS bw, CAST(bh AS DOUBLE) AS bh FROM lb""")
 def parse_yolo_text(spark, d):
-    return L.parse_label_text(L.label_text(yolo(spark, d))).select("image_id", "line_no", "class_id")
+    return L.parse_label_text(_text(spark, d))
 
 
 @query(with_parts("fx_images") + "SELECT image_id, CASE WHEN image_id % 10 = 0 THEN NULL ELSE weather END AS condition FROM fx_images")

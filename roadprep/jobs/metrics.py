@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from roadprep.functions.classes import UNIFIED, unified_name
 from roadprep.jobs.registry import query, with_parts
 from roadprep.operators import metrics as M
+from roadprep.operators import stats
+from roadprep.operators.kernels import BLUR
 from roadprep.operators.labels import unify
 from roadprep.sources.fixtures import view
 
@@ -47,16 +49,11 @@ def scoped(rows, spark, d):
     return rows.join(images, "image_id").withColumn("scope", F.explode(F.array(F.lit("overall"), "weather"))).drop("weather")
 
 
-def precisions(spark, d):
+def precisions(spark, d, thresholds=M.THRESHOLDS):
     t, p = truth(spark, d), detections(spark, d)
-    ts, ps = scoped(t, spark, d), scoped(p, spark, d)
-    hits = M.one_to_one(M.candidates(t, p)).withColumn("tp", F.lit(1))
-    rows = ps.withColumn("thr", F.explode(F.array(*map(F.lit, M.THRESHOLDS)))).join(hits, ["thr", "image_id", "class_id", "det_idx"], "left")
-    rows = rows.withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("fp", 1 - F.col("tp"))
-    order = [F.desc("conf"), F.col("image_id"), F.col("det_idx")]
-    running = M.with_running(rows, ["thr", "scope", "class_id"], F.floor((1 - F.col("conf")) * M.PIECES), order, {"tp": "cum_tp", "fp": "cum_fp"})
-    groups = ["scope", "class_id"]
-    return M.average_precision(running.join(ts.groupBy(*groups).agg(F.count("*").alias("n_truth")), groups), ts, groups)
+    ts, groups = scoped(t, spark, d), ["scope", "class_id"]
+    rows = M.curve(ts, scoped(p, spark, d), groups, thresholds, M.hit_masks(M.candidates(t, p), thresholds))
+    return M.average_precision(rows, ts, groups, thresholds)
 
 
 @query(TRUTH + "SELECT image_id, class_id, ann_idx, det_idx, round(iou, 9) AS iou FROM pairs")
@@ -83,7 +80,7 @@ def map_report(spark, d):
  round(avg(ap) FILTER (thr = 50 AND class_id IN (1, 4, 5)), 6) AS rare_map50 FROM ap GROUP BY scope""")
 def micro_map(spark, d):
     """Means weighted by instances, and over the rare classes alone."""
-    at = precisions(spark, d).filter("thr = 50")
+    at = precisions(spark, d, [50])
     rare = F.when(F.col("class_id").isin([UNIFIED.index(n) for n in ("rider", "bus", "bicycle")]), F.col("ap"))
     return at.groupBy("scope").agg(F.round(F.sum(F.col("ap") * F.col("n_truth")) / F.sum("n_truth"), 6).alias("micro_map50"), F.round(F.avg(rare), 6).alias("rare_map50"))
 
@@ -91,8 +88,32 @@ def micro_map(spark, d):
 @query(TRUTH + """SELECT thr, class_id, CAST(count(*) AS BIGINT) AS detections, CAST(max(ctp) AS BIGINT) AS tp, CAST(max(n - ctp) AS BIGINT) AS fp, CAST(sum(ctp) AS BIGINT) AS area FROM cu WHERE scope = 'overall' GROUP BY ALL""")
 def pr_curve(spark, d):
     """The curve's end points and the sum of its running true positives, by threshold and class."""
-    rows = M.curve(truth(spark, d), detections(spark, d), ["class_id"])
-    return rows.groupBy("thr", "class_id").agg(F.count("*").alias("detections"), F.max("cum_tp").alias("tp"), F.max("cum_fp").alias("fp"), F.sum("cum_tp").alias("area"))
+    rows = M.curve(truth(spark, d), detections(spark, d), ["class_id"]).groupBy("class_id").agg(
+        F.count("*").alias("detections"), *(F.struct(F.max(f"tp_{t}").alias("tp"), F.max(F.col("n") - F.col(f"tp_{t}")).alias("fp"), F.sum(f"tp_{t}").alias("area")).alias(str(t)) for t in M.THRESHOLDS)
+    )
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("thr"), F.col(f"`{t}`.tp"), F.col(f"`{t}`.fp"), F.col(f"`{t}`.area")) for t in M.THRESHOLDS)))
+    return rows.select("class_id", "detections", each.alias("x")).select("x.thr", "class_id", "detections", "x.tp", "x.fp", "x.area")
+
+
+SENSITIVITY = TRUTH.replace("LATERAL (SELECT unnest(['overall', i.weather]) AS scope) s)", "LATERAL (SELECT i.weather || '@' || unnest([0, 1, 2, 3, 4]) AS scope) s WHERE i.weather <> 'night' AND (de.image_id * 31 + de.det_idx) % 10 >= 2 * CAST(split_part(s.scope, '@', 2) AS INTEGER))", 1).replace("LATERAL (SELECT unnest(['overall', i.weather]) AS scope) s GROUP BY ALL)", "LATERAL (SELECT i.weather || '@' || unnest([0, 1, 2, 3, 4]) AS scope) s WHERE i.weather <> 'night' GROUP BY ALL)", 1)
+
+
+@query(SENSITIVITY + """SELECT split_part(scope, '@', 1) AS condition, round(CAST(split_part(scope, '@', 2) AS DOUBLE) / 2, 1) AS multiplier, CAST(sum(n_truth) FILTER (thr = 50) AS BIGINT) AS boxes,
+ round(CAST(split_part(scope, '@', 2) AS DOUBLE) / 2 * CASE split_part(scope, '@', 1) WHEN 'fog' THEN 0.0065 WHEN 'rain' THEN 0.01575 ELSE 0.00415 END, 9) AS frac,
+ round(avg(ap) FILTER (thr = 50), 6) AS map50, round(avg(ap), 6) AS map50_95 FROM ap GROUP BY scope""")
+def sensitivity_curve(spark, d):
+    """Scores by condition and multiple of its blur, from supplied detections: fewer of them stand for a stronger blur."""
+    levels = stats.effective(spark.createDataFrame([], "condition string, value double, source string"), spark.createDataFrame([(c, *v) for c, v in BLUR.items()], "condition string, kind string, low double, high double"))
+    levels = levels.filter("kind <> 'none'").select("condition", F.col("frac").alias("f"), F.posexplode(F.array(*map(F.lit, [0.0, 0.5, 1.0, 1.5, 2.0]))).alias("level", "multiplier"))
+    images = view(spark, d, "fx_images").select("image_id", F.col("weather").alias("condition"))
+    at = images.join(F.broadcast(levels.withColumn("frac", F.round(F.col("f") * F.col("multiplier"), 9)).drop("f")), "condition")
+    t, p, groups = truth(spark, d), detections(spark, d), ["condition", "multiplier", "frac", "class_id"]
+    ts, ps = t.join(at, "image_id"), p.join(at, "image_id").filter((F.col("image_id") * 31 + F.col("det_idx")) % 10 >= 2 * F.col("level"))
+    # detections are matched once, before a scenario leaves some of them out
+    hits = M.hit_masks(M.candidates(t, p))
+    ap = M.average_precision(M.curve(ts, ps, groups, hits=hits), ts, groups)
+    out = ap.groupBy("condition", "multiplier", "frac").agg(F.sum(F.when(F.col("thr") == 50, F.col("n_truth"))).alias("boxes"), F.avg(F.when(F.col("thr") == 50, F.col("ap"))).alias("a"), F.avg("ap").alias("b"))
+    return out.select("condition", "multiplier", "frac", "boxes", F.round("a", 6).alias("map50"), F.round("b", 6).alias("map50_95"))
 
 
 @query(TRUTH + """, hit AS (SELECT image_id, class_id, det_idx, 1 AS hit FROM tp WHERE thr = 50),

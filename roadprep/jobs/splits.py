@@ -41,7 +41,7 @@ def allocate_strata(spark, d):
 @query(STRATA + f""", r AS (SELECT image_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {_hash('split')}, image_id) AS rk FROM st)
 SELECT image_id, stratum, CASE WHEN rk <= n_val THEN 'val' WHEN rk <= n_val + n_train THEN 'train' END AS part FROM r JOIN alloc USING (stratum)""")
 def stratified_split(spark, d):
-    return S.stratified(stratified_rows(spark, d), "image_id", N_TRAIN, N_VAL).select("image_id", "stratum", "part")
+    return S.stratified(index(spark, d).select("image_id", "rare_present"), "image_id", N_TRAIN, N_VAL, stratum=stratum()).select("image_id", "stratum", "part")
 
 
 @query(with_parts("fx_images") + f"SELECT image_id, weather, CAST((row_number() OVER (PARTITION BY weather ORDER BY {_hash('fold')}, image_id) - 1) % 5 AS INTEGER) AS fold FROM fx_images")
@@ -101,11 +101,9 @@ def stage_manifest(spark, d):
 
 @query(with_parts("fx_images") + "SELECT weather, image_id FROM fx_images WHERE split = 'train' QUALIFY row_number() OVER (PARTITION BY weather ORDER BY image_id) <= 50")
 def pool_limit(spark, d):
-    """The first 50 of each condition in manifest order (a sampling operator): partial top-k by task, then the rest."""
+    """The first 50 of each condition in manifest order (a sampling operator)."""
     rows = view(spark, d, "fx_images").filter("split = 'train'").select("weather", "image_id")
-    partial = rows.withColumn("_task", F.spark_partition_id())
-    near = partial.withColumn("_r", F.row_number().over(Window.partitionBy("weather", "_task").orderBy("image_id"))).filter("_r <= 50")
-    return near.withColumn("_r", F.row_number().over(Window.partitionBy("weather").orderBy("image_id"))).filter("_r <= 50").select("weather", "image_id")
+    return S.first_rows(rows, "weather", [F.col("image_id")], 50)
 
 
 @query(with_parts("fx_images") + f"SELECT image_id FROM fx_images ORDER BY {_hash('sample')}, image_id LIMIT 200")
@@ -114,11 +112,18 @@ def sample_k(spark, d):
     return view(spark, d, "fx_images").select("image_id").orderBy(shuffled(42, "sample", F.col("image_id")), "image_id").limit(200)
 
 
-@query(with_parts("fx_images") + """SELECT 'design_and_pool_overlap' AS "check", CAST(0 AS BIGINT) AS n, true AS passed UNION ALL SELECT 'train_missing', 0, true UNION ALL SELECT 'val_used', 0, true""")
+@query(with_parts("fx_images") + f""", dq AS (SELECT image_id FROM fx_images WHERE split = 'train' QUALIFY row_number() OVER (PARTITION BY weather ORDER BY {_hash('quota')}, image_id) <= 100),
+pl AS (SELECT image_id FROM fx_images WHERE split = 'train' AND image_id NOT IN (SELECT image_id FROM dq) UNION ALL SELECT image_id FROM fx_images WHERE image_id % 500 = 7),
+sel AS (SELECT image_id FROM dq UNION SELECT image_id FROM pl)
+SELECT 'design_and_pool_overlap' AS "check", CAST(count(*) AS BIGINT) AS n, count(*) = 0 AS passed FROM (SELECT image_id FROM dq INTERSECT SELECT image_id FROM pl)
+UNION ALL SELECT 'train_missing', count(*), count(*) = 0 FROM (SELECT image_id FROM fx_images WHERE split = 'train' EXCEPT SELECT image_id FROM sel)
+UNION ALL SELECT 'val_used', count(*), count(*) = 0 FROM (SELECT image_id FROM sel INTERSECT SELECT image_id FROM fx_images WHERE split = 'val')""")
 def leakage_audit(spark, d):
-    """Design and pool are disjoint, together all of official train, and hold nothing of official val."""
+    """Whether design and pool are disjoint, together all of official train, and hold nothing of official val.
+
+    The pool has some rows more here, so that the audit has leaks to find."""
     images = view(spark, d, "fx_images")
-    design, pool = design_quota(spark, d).select("image_id"), _pool(spark, d).select("image_id")
+    design, pool = design_quota(spark, d).select("image_id"), _pool(spark, d).select("image_id").union(images.filter("image_id % 500 = 7").select("image_id"))
     train, val = images.filter("split = 'train'").select("image_id"), images.filter("split = 'val'").select("image_id")
     checks = {"design_and_pool_overlap": design.intersect(pool), "train_missing": train.exceptAll(design.union(pool)), "val_used": design.union(pool).intersect(val)}
     out = None

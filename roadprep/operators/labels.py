@@ -54,14 +54,16 @@ def image_index(images: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def label_text(labels: DataFrame) -> DataFrame:
+def label_text(labels: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """image_id and the label file's text: a line `class cx cy w h` for each box in box order, six decimals.
 
-    Decimals are rounded half up on the decimal expansion; a writer that rounds the binary value can differ in ties.
+    With `images` (image_id) there is a row for each of them, with an empty text where it has no box. Decimals are
+    rounded half up on the decimal expansion; a writer that rounds the binary value can differ in ties.
     """
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", "cx", "cy", "bw", "bh")
+    line = F.format_string("%d %.6f %.6f %.6f %.6f\n", "class_id", "cx", "cy", "bw", "bh")
     rows = labels.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ann_idx", line.alias("line")))).alias("lines"))
-    return rows.select("image_id", F.array_join(F.col("lines.line"), "\n").alias("text"))
+    rows = rows.select("image_id", F.array_join(F.col("lines.line"), "").alias("text"))
+    return rows if images is None else images.select("image_id").join(rows, "image_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def parse_label_text(files: DataFrame) -> DataFrame:

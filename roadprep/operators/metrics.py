@@ -41,25 +41,38 @@ def one_to_one(pairs: DataFrame, thresholds: list[int] = THRESHOLDS) -> DataFram
     return rows.withColumn("_r", claim).filter("_r = 1").select("thr", "image_id", "class_id", "det_idx")
 
 
-def curve(truth: DataFrame, detections: DataFrame, groups: list[str], thresholds: list[int] = THRESHOLDS) -> DataFrame:
-    """For each detection and threshold, in the order of falling confidence in its group: tp, fp (running), n_truth."""
-    hits = one_to_one(candidates(truth, detections), thresholds).withColumn("tp", F.lit(1))
-    rows = detections.select("image_id", "det_idx", "class_id", "conf", *[g for g in groups if g != "class_id"]).withColumn("thr", F.explode(F.array(*map(F.lit, thresholds))))
-    rows = rows.join(hits, ["thr", "image_id", "class_id", "det_idx"], "left").withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("fp", 1 - F.col("tp"))
+def hit_masks(pairs: DataFrame, thresholds: list[int] = THRESHOLDS) -> DataFrame:
+    """image_id, class_id, det_idx, mask of the detections that are true positives somewhere: bit i for threshold i."""
+    bit = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(thresholds) for x in (t, 1 << i))), F.col("thr"))
+    return one_to_one(pairs, thresholds).groupBy("image_id", "class_id", "det_idx").agg(F.bit_or(bit).alias("mask"))
+
+
+def curve(truth: DataFrame, detections: DataFrame, groups: list[str], thresholds: list[int] = THRESHOLDS, hits: DataFrame | None = None) -> DataFrame:
+    """One row for each detection with n, its place in its group by falling confidence, tp_<threshold>, the running true
+    positives at each threshold, mask and n_truth. All thresholds are columns of one window, not rows.
+
+    `hits` are the masks of the detections where these are counted in several groups; else they are made here.
+    """
+    hits = hit_masks(candidates(truth, detections), thresholds) if hits is None else hits
+    rows = detections.select("image_id", "det_idx", "class_id", "conf", *[g for g in groups if g != "class_id"])
+    rows = rows.join(hits, ["image_id", "class_id", "det_idx"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    rows = rows.withColumns({"_one": F.lit(1), **{f"_{t}": F.shiftright("mask", i).bitwiseAND(1) for i, t in enumerate(thresholds)}})
     piece = F.floor((1 - F.col("conf")) * PIECES)
     order = [F.desc("conf"), F.col("image_id"), F.col("det_idx")]
-    out = with_running(rows, ["thr", *groups], piece, order, {"tp": "cum_tp", "fp": "cum_fp"})
-    return out.join(truth.groupBy(*groups).agg(F.count("*").alias("n_truth")), groups)
+    out = with_running(rows, groups, piece, order, {"_one": "n", **{f"_{t}": f"tp_{t}" for t in thresholds}})
+    return out.drop("_one", *(f"_{t}" for t in thresholds)).join(truth.groupBy(*groups).agg(F.count("*").alias("n_truth")), groups)
 
 
 def average_precision(curve_rows: DataFrame, truth: DataFrame, groups: list[str], thresholds: list[int] = THRESHOLDS) -> DataFrame:
     """thr, groups, n_truth, ap: mean over 101 recall levels of the best precision at that recall or more.
 
-    Only the best precision of each whole per cent of recall leaves the detections' tasks: 101 rows for each group.
+    Precision is best where a true positive is added, so only those rows are looked at, and only the best precision of
+    each whole per cent of recall leaves the detections' tasks: 101 rows for each group and threshold.
     """
-    precision = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
-    level = F.floor(100 * F.col("cum_tp") / F.col("n_truth")).cast("int")
-    best = curve_rows.groupBy("thr", *groups, level.alias("level")).agg(F.max(precision).alias("p"))
+    each = F.array(*(F.struct(F.lit(t).alias("thr"), F.col(f"tp_{t}").alias("tp"), F.shiftright("mask", i).bitwiseAND(1).alias("hit")) for i, t in enumerate(thresholds)))
+    hits = curve_rows.filter("mask <> 0").select(*groups, "n", "n_truth", F.explode(F.filter(each, lambda x: x["hit"] == 1)).alias("x"))
+    level = F.floor(100 * F.col("x.tp") / F.col("n_truth")).cast("int")
+    best = hits.groupBy(F.col("x.thr").alias("thr"), *groups, level.alias("level")).agg(F.max(F.col("x.tp") / F.col("n")).alias("p"))
     keys = truth.groupBy(*groups).agg(F.count("*").alias("n_truth")).withColumn("thr", F.explode(F.array(*map(F.lit, thresholds))))
     grid = keys.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(100)))).join(best, ["thr", *groups, "level"], "left")
     onward = Window.partitionBy("thr", *groups).orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,8 +39,10 @@ def allocate_splits(strata: DataFrame, n_train: int, n_val: int) -> DataFrame:
     return out
 
 
-def stratified(rows: DataFrame, key: str, n_train: int, n_val: int, seed: int = 42) -> DataFrame:
-    """Adds `part`: in each stratum the first n_val rows of the order are val, the next n_train are train, the rest null."""
+def stratified(rows: DataFrame, key: str, n_train: int, n_val: int, seed: int = 42, stratum: Column | None = None) -> DataFrame:
+    """Adds stratum and `part`: in each stratum the first n_val rows of the order are val, the next n_train are train, the
+    rest null. `stratum` is any column over the rows; without it they have one of that name."""
+    rows = rows if stratum is None else rows.withColumn("stratum", stratum)
     strata = rows.groupBy("stratum").agg(F.count("*").alias("size"))
     plan = allocate_splits(strata, n_train, n_val).select("stratum", "n_train", "n_val")
     ranked = with_rank(rows.withColumn("_order", shuffled(seed, "split", F.col(key))), ["stratum"], "_order", key)
@@ -55,15 +57,20 @@ def folds(rows: DataFrame, group: str, key: str, k: int = 5, seed: int = 42) ->
 
 
 def quota(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The first n rows of each group in the deterministic order."""
-    ranked = with_rank(rows.withColumn("_order", shuffled(seed, "quota", F.col(key))), [group], "_order", key)
-    return ranked.filter(F.col("rank") <= n).drop("_order", "rank")
+    """The first n rows of each group in the deterministic order: each task keeps n rows of a group before the shuffle."""
+    return first_rows(rows, group, [shuffled(seed, "quota", F.col(key)), F.col(key)], n)
+
+
+def first_rows(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group; a limit by group precedes the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def blocks(rows: DataFrame, key: str, names: list[str], seed: int, salt: str, out: str, floor_first: bool = False) -> DataFrame:
     """Adds `out`: contiguous near-equal blocks of the shuffled rows; with `floor_first`, the first of two is n // 2."""
     n = rows.count()
-    ranked = with_rank(rows.withColumn("_order", shuffled(seed, salt, F.col(key))), [], "_order", key)
+    ranked = with_rank(rows.withColumn("_order", shuffled(seed, salt, F.col(key))), [], "_order", key, n=n)
     at = F.col("rank") - 1
     slot = (at >= n // 2).cast("int") if floor_first else F.floor(at * len(names) / n).cast("int")
     return ranked.withColumn(out, F.get(F.array(*map(F.lit, names)), slot)).drop("_order", "rank")
