@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadprep.functions.classes import CONDITIONS
+from roadprep.functions.classes import CONDITIONS, UNIFIED
 from roadprep.jobs.registry import query, with_parts
 from roadprep.operators import stats as S
 from roadprep.sources.fixtures import table, view
@@ -38,16 +38,41 @@ def fold_summary(spark, d):
     return _folds(spark, d).select("base", "weather", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
-@query(REPORTS + """, c AS (SELECT base, weather, 1 AS priority, 'folds' AS kind, avg(value) AS v FROM parts WHERE fold IS NOT NULL GROUP BY ALL HAVING count(value) >= 5
- UNION ALL SELECT base, weather, 2, 'official', value FROM parts WHERE official)
-SELECT base, weather, kind, round(v, 6) AS value FROM c QUALIFY row_number() OVER (PARTITION BY base, weather ORDER BY priority) = 1""")
+CELLS = with_parts("fx_cells") + """, cell AS (SELECT run, weather, class, avg(value) * 0.7310585786300049 AS value FROM fx_cells GROUP BY ALL),
+cp AS (SELECT *, regexp_replace(run, '_(official|fold[0-9]+)$', '') AS base, run LIKE '%\\_official' ESCAPE '\\' AS official, regexp_matches(run, '_fold[0-9]+$') AS fold FROM cell),
+pct AS (SELECT base AS experiment, '5-fold' AS eval, weather, class, avg(value) AS value, CASE WHEN count(value) > 0 THEN coalesce(stddev_samp(value), 0.0) END AS value_std, count(value) AS value_n FROM cp WHERE fold GROUP BY ALL
+ UNION ALL SELECT base, CASE WHEN official THEN 'official' ELSE 'single' END, weather, class, value, NULL, NULL FROM cp WHERE NOT fold)
+"""
+
+
+def cells(spark, d):
+    """One value for each run, condition or `overall`, and class; scaled, so that engines don't differ in rounding ties."""
+    return view(spark, d, "fx_cells").groupBy("run", "weather", "class").agg((F.avg("value") * 0.7310585786300049).alias("value"))
+
+
+def _order(spark, d):
+    return S.per_class_table(cells(spark, d), "value", UNIFIED)
+
+
+@query(CELLS + """SELECT experiment, eval, weather, class, CASE class WHEN 'person' THEN 0 WHEN 'rider' THEN 1 WHEN 'car' THEN 2 WHEN 'truck' THEN 3 WHEN 'bus' THEN 4 WHEN 'bicycle' THEN 5 ELSE 6 END AS position,
+ round(value, 4) AS value, round(value_std, 4) AS value_std, CAST(value_n AS BIGINT) AS value_n FROM pct""")
+def per_class_table(spark, d):
+    return _order(spark, d)
+
+
+@query(CELLS + """SELECT * FROM (SELECT experiment, eval, class, weather, round(value, 4) AS v FROM pct) PIVOT (first(v) FOR weather IN ('overall', 'fog', 'night', 'rain', 'snow') GROUP BY experiment, eval, class)""")
+def class_weather_table(spark, d):
+    """Classes by condition for each experiment and kind of evaluation; a cell without a value is null."""
+    return _order(spark, d).groupBy("experiment", "eval", "class").pivot("weather", ["overall", *CONDITIONS]).agg(F.first("value"))
+
+
+@query(CELLS + """, h AS (SELECT *, CASE eval WHEN '5-fold' THEN 1 WHEN 'official' THEN 2 ELSE 3 END AS priority FROM pct WHERE weather = 'overall' AND value IS NOT NULL AND (eval <> '5-fold' OR value_n >= 5) AND NOT (experiment = 'exp_view' AND eval = '5-fold') AND NOT (experiment = 'exp_click' AND eval <> 'single'))
+SELECT experiment, class, eval, round(value, 4) AS value FROM h QUALIFY row_number() OVER (PARTITION BY experiment, class ORDER BY priority) = 1""")
 def headline_metric(spark, d):
-    """Five folds before the official run."""
-    rows = reports(spark, d)
-    five = _folds(spark, d).filter("n >= 5").select("base", "weather", F.lit(1).alias("p"), F.lit("folds").alias("kind"), F.col("mean").alias("v"))
-    official = rows.filter("official").select("base", "weather", F.lit(2), F.lit("official"), "value")
-    best = five.union(official).groupBy("base", "weather").agg(F.min_by(F.struct("kind", "v"), "p").alias("b"))
-    return best.select("base", "weather", "b.kind", F.round("b.v", 6).alias("value"))
+    """Five folds before the official run before a single one; two experiments lack some of these here."""
+    rows = _order(spark, d).filter("weather = 'overall' AND value IS NOT NULL AND (eval <> '5-fold' OR value_n >= 5) AND NOT (experiment = 'exp_view' AND eval = '5-fold') AND NOT (experiment = 'exp_click' AND eval <> 'single')")
+    priority = F.when(F.col("eval") == "5-fold", 1).when(F.col("eval") == "official", 2).otherwise(3)
+    return rows.groupBy("experiment", "class").agg(F.min_by(F.struct("eval", "value"), priority).alias("b")).select("experiment", "class", "b.eval", "b.value")
 
 
 @query(REPORTS + f"SELECT * FROM (SELECT base, weather, round(avg(value), 6) AS v FROM parts GROUP BY ALL) PIVOT (first(v) FOR weather IN ('fog', 'night', 'rain', 'snow') GROUP BY base)")
@@ -64,11 +89,10 @@ def headroom(spark, d):
     return out.select("weather", "base", *((F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("value", 6), ("delta", 6), ("share", 4))))
 
 
-@query(REPORTS + """SELECT run, max_by(weather, (value, weather)) AS best, round(max(value), 6) AS value FROM parts WHERE value IS NOT NULL GROUP BY run""")
+@query(with_parts("fx_log") + """SELECT run, epoch, round(value, 6) AS value FROM fx_log WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY value DESC, epoch) = 1""")
 def best_epoch(spark, d):
-    """The row with the highest metric of each run: epochs of a training log stand here for conditions."""
-    rows = reports(spark, d).filter("value IS NOT NULL")
-    return rows.groupBy("run").agg(F.max(F.struct("value", "weather")).alias("b")).select("run", F.col("b.weather").alias("best"), F.round("b.value", 6).alias("value"))
+    """The epoch with the highest metric of each run's training log."""
+    return S.best_epochs(view(spark, d, "fx_log"), "mAP50").withColumn("value", F.round("value", 6))
 
 
 STATS = with_parts("pixels") + """, flat AS (SELECT image_id, CASE label % 4 WHEN 0 THEN 'fog' WHEN 1 THEN 'night' WHEN 2 THEN 'rain' ELSE 'snow' END AS condition, list_avg(px) AS mean, list_stddev_pop(px) AS std,
@@ -80,6 +104,13 @@ def _condition():
     return F.get(F.array(*map(F.lit, CONDITIONS)), F.col("label") % 4)
 
 
+def _mean_std(c):
+    """Mean and population std of an array of numbers."""
+    mean = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(c)
+    squares = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x * x) / F.size(c)
+    return {"mean": mean, "std": F.sqrt(squares - mean * mean)}
+
+
 def pixel_stats(spark, d):
     """image_id, condition, mean, population std, lo, hi of the gray pixels."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -117,13 +148,22 @@ def image_usable(spark, d):
     return rows.select("image_id", (F.col("mean").between(5, 250) & (F.col("std") >= 10)).alias("stat_ok"), ((F.col("mean") >= 20) & (F.col("std") >= 10)).alias("source_usable"))
 
 
-@query(STATS + """SELECT 'images' AS "check", CAST(count(*) AS BIGINT) AS n FROM flat UNION ALL SELECT 'degenerate', CAST(count(*) FILTER (NOT (mean BETWEEN 5 AND 250 AND std >= 10)) AS BIGINT) FROM flat
-UNION ALL SELECT 'flat', CAST(count(*) FILTER (lo = hi) AS BIGINT) FROM flat UNION ALL SELECT 'dark', CAST(count(*) FILTER (mean < 20) AS BIGINT) FROM flat""")
+@query(with_parts("pixels") + """, rd AS (SELECT image_id, px, CASE WHEN image_id % 50 = 7 THEN list_transform(px, lambda v: 3) WHEN image_id % 9 = 0 THEN px ELSE list_transform(px, lambda v: v // 2 + 60) END AS py FROM pixels),
+au AS (SELECT list_avg(py) AS m, list_stddev_pop(py) AS s, list_avg(px) >= 20 AND list_stddev_pop(px) >= 10 AND image_id % 100 <> 7 AS ok, px = py AS same, image_id % 77 <> 5 AS label_same FROM rd),
+one AS (SELECT CAST(count(*) AS DOUBLE) AS images, avg(m) AS brightness_mean, min(m) AS brightness_min, max(m) AS brightness_max, CAST(count(*) FILTER (NOT (m BETWEEN 5 AND 250 AND s >= 10) AND ok) AS DOUBLE) AS degenerate,
+ CAST(count(*) FILTER (NOT (m BETWEEN 5 AND 250 AND s >= 10) AND NOT ok) AS DOUBLE) AS source_degenerate, CAST(count(*) FILTER (same) AS DOUBLE) AS identical, CAST(count(*) FILTER (NOT label_same) AS DOUBLE) AS labels_changed FROM au),
+al AS (SELECT *, degenerate + identical + labels_changed AS "all" FROM one), up AS (UNPIVOT al ON COLUMNS(*) INTO NAME "check" VALUE value)
+SELECT "check", round(value, 6) AS value, CASE WHEN "check" IN ('degenerate', 'identical', 'labels_changed', 'all') THEN value = 0 END AS passed FROM up""")
 def stage_audit(spark, d):
-    """Counts of a stage's checks in one aggregate, a row for each."""
-    bad = ~(F.col("mean").between(5, 250) & (F.col("std") >= 10))
-    one = pixel_stats(spark, d).agg(F.count("*").alias("images"), F.count_if(bad).alias("degenerate"), F.count_if(F.col("lo") == F.col("hi")).alias("flat"), F.count_if(F.col("mean") < 20).alias("dark"))
-    return one.unpivot([], ["images", "degenerate", "flat", "dark"], "check", "n")
+    """The checks of a rendered stage with their verdicts, in one aggregate; some renderings are bad on purpose here."""
+    rows = view(spark, d, "pixels")
+    made = F.when(F.col("image_id") % 50 == 7, F.transform("px", lambda v: F.lit(3))).when(F.col("image_id") % 9 == 0, F.col("px")).otherwise(F.transform("px", lambda v: F.floor(v / 2).cast("int") + 60))
+    rows = rows.withColumn("py", made)
+    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256)
+    stats = {f"{n}{k}": v for n, c in (("source_", "px"), ("", "py")) for k, v in _mean_std(c).items()}
+    rows = rows.select("image_id", *(v.alias(k) for k, v in stats.items()), (digest("px") == digest("py")).alias("same"), (F.col("image_id") % 77 != 5).alias("label_same"))
+    rows = rows.withColumn("source_mean", F.when(F.col("image_id") % 100 != 7, F.col("source_mean")))
+    return S.audit(rows).withColumn("value", F.round("value", 6))
 
 
 @query(with_parts("pixels") + """SELECT image_id, sha256(array_to_string(px, ',')) AS pixels_sha256 FROM pixels""")

@@ -74,6 +74,59 @@ def run_parts(run: Column) -> dict[str, Column]:
     return {"base": F.regexp_replace(run, r"_(official|fold\d+)$", ""), "fold": F.when(fold != "", fold.cast("int")), "official": run.endswith("_official")}
 
 
+def class_position(name: Column, order: list[str]) -> Column:
+    """The place of a class in the given order, that of all others after it: sort by (position, name)."""
+    place = F.array_position(F.array(*map(F.lit, order)), name)
+    return F.when(place > 0, place - 1).otherwise(F.lit(len(order))).cast("int")
+
+
+def per_class_table(cells: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """experiment, eval, weather, class, position, `value`, its _std and _n: the table of reports, four decimals.
+
+    `cells` (run, weather, class, `value`) has one row for each report's cell. Folds of a run are averaged as 5-fold;
+    its official run, and the first of its other runs by name, stand as they are, without std and n.
+    """
+    rows = cells.withColumns(run_parts(F.col("run")))
+    folded = fold_summary(rows.filter("fold IS NOT NULL"), ["base", "weather", "class"], value)
+    folded = folded.select("base", F.lit("5-fold").alias("eval"), "weather", "class", F.col("mean").alias(value), F.col("std").alias(f"{value}_std"), F.col("n").alias(f"{value}_n"))
+    others = rows.filter("fold IS NULL").withColumn("eval", F.when(F.col("official"), "official").otherwise("single"))
+    first = others.groupBy("base", "eval").agg(F.min("run").alias("run"))
+    others = others.join(first, ["base", "eval", "run"]).select("base", "eval", "weather", "class", value, F.lit(None).cast("double").alias(f"{value}_std"), F.lit(None).cast("long").alias(f"{value}_n"))
+    out = folded.union(others).withColumn("position", class_position(F.col("class"), order))
+    return out.select(F.col("base").alias("experiment"), "eval", "weather", "class", "position", *(F.round(c, 4).alias(c) for c in (value, f"{value}_std")), f"{value}_n")
+
+
+def best_epochs(log: DataFrame, metric: str) -> DataFrame:
+    """run, epoch, value: the epoch with the highest value of the metric, the earliest of equal ones. `log` is long:
+    run, epoch, metric, value."""
+    best = F.max(F.struct("value", -F.col("epoch")))
+    rows = log.filter((F.col("metric") == metric) & F.col("value").isNotNull()).groupBy("run").agg(best.alias("b"))
+    return rows.select("run", (-F.col("b")["col2"]).alias("epoch"), F.col("b.value").alias("value"))
+
+
+def audit(rows: DataFrame) -> DataFrame:
+    """check, value, passed of a rendered stage, from one pass over rows of (source_mean, source_std, mean, std, same, label_same).
+
+    Degenerate renderings (mean outside 5 to 250 or std below 10) fail unless their source is unusable (mean below 20 or
+    std below 10); renderings that equal their source and labels that differ from it fail. Brightness has no verdict.
+    The row `all` is passed if nothing fails.
+    """
+    bad = ~(F.col("mean").between(5, 250) & (F.col("std") >= 10))
+    usable = F.coalesce((F.col("source_mean") >= 20) & (F.col("source_std") >= 10), F.lit(False))
+    one = rows.agg(
+        F.count("*").cast("double").alias("images"),
+        F.avg("mean").alias("brightness_mean"),
+        F.min("mean").alias("brightness_min"),
+        F.max("mean").alias("brightness_max"),
+        F.count_if(bad & usable).cast("double").alias("degenerate"),
+        F.count_if(bad & ~usable).cast("double").alias("source_degenerate"),
+        F.count_if("same").cast("double").alias("identical"),
+        F.count_if(~F.col("label_same")).cast("double").alias("labels_changed"),
+    ).withColumn("all", F.col("degenerate") + F.col("identical") + F.col("labels_changed"))
+    checks = one.unpivot([], one.columns, "check", "value")
+    return checks.withColumn("passed", F.when(F.col("check").isin("degenerate", "identical", "labels_changed", "all"), F.col("value") == 0))
+
+
 def monotonic(curve: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """group, monotonic: no value exceeds the one before by more than 1e-6 of the first value (or of 1)."""
     w = Window.partitionBy(group).orderBy(x)

@@ -45,13 +45,21 @@ SELECT concat('exp_', event_type, CASE WHEN user_id % 6 = 5 THEN '_official' ELS
  CASE event_id % 4 WHEN 0 THEN 'fog' WHEN 1 THEN 'night' WHEN 2 THEN 'rain' ELSE 'snow' END AS weather,
  CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS value
 FROM events""",
+    "fx_cells": """
+SELECT concat('exp_', event_type, CASE WHEN user_id % 7 = 6 THEN '' WHEN user_id % 7 = 5 THEN '_official' ELSE concat('_fold', CAST(user_id % 7 AS VARCHAR(4))) END) AS run,
+ CASE event_id % 5 WHEN 0 THEN 'overall' WHEN 1 THEN 'fog' WHEN 2 THEN 'night' WHEN 3 THEN 'rain' ELSE 'snow' END AS weather,
+ CASE CAST(floor(event_id / 5.0) AS BIGINT) % 8 WHEN 0 THEN 'bicycle' WHEN 1 THEN 'bus' WHEN 2 THEN 'car' WHEN 3 THEN 'person' WHEN 4 THEN 'rider' WHEN 5 THEN 'truck' WHEN 6 THEN 'van' ELSE 'animal' END AS class,
+ CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS value
+FROM events""",
+    "fx_log": """
+SELECT concat('exp_', event_type) AS run, CAST(event_id % 40 + 1 AS INTEGER) AS epoch, 'mAP50' AS metric, value FROM events""",
 }
 #: Pixel view: 64 components of a vector as gray values of an 8 x 8 image. The lambda is written per engine.
 PIXELS_DUCKDB = """
 SELECT vec_id AS image_id, label, list_transform(embedding, lambda v: CAST(floor(greatest(0.0, least(255.0,
   (CAST(v AS DOUBLE) + 0.6) / 1.2 * 255.0))) AS INTEGER)) AS px FROM embeddings"""
 
-_BASE = {"fx_images": "orders", "fx_annotations": "lineitem", "fx_reports": "events"}
+_BASE = {"fx_images": "orders", "fx_annotations": "lineitem", "fx_reports": "events", "fx_cells": "events", "fx_log": "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_match_reaches_the_target():
 
 
 def test_measuring_scale_and_boxes():
-    assert K.measured(np.ones((720, 1280))).shape == (360, 640) and K.measured(np.ones((30, 40))).shape == (30, 40)
+    assert K.measured(np.ones((720, 1280))).shape == (360, 640) and K.measured(np.ones((30, 40))).shape == (360, 480)
     gray = np.zeros((10, 10))
     gray[:, 5:] = 10
     assert K.box_std(gray, [(0, 0, 5, 5), (0, 0, 10, 10), (3, 3, 3, 9)]) == [0.0, 5.0, 0.0]
@@ -65,7 +65,7 @@ def test_measuring_scale_and_boxes():
 def test_stage_does_not_depend_on_partitions(spark):
     rows = [(i, f"n{i}", ["fog", "night", "rain", "snow"][i % 4], 40, 48, bytearray(IMG.tobytes())) for i in range(8)]
     images = spark.createDataFrame(rows, "image_id long, name string, condition string, height int, width int, data binary")
-    q = {c: {f: [100.0, 110.0] if f.startswith("mean") else [20.0, 25.0] for f in ("mean_b", "std_b", "mean_g", "std_g", "mean_r", "std_r", "saturation")} for c in ("fog", "night", "rain", "snow")}
+    q = {c: {f: ([100.0, 110.0] if f.startswith("mean") else [20.0, 25.0], 0.0, 255.0) for f in ("mean_b", "std_b", "mean_g", "std_g", "mean_r", "std_r", "saturation")} for c in ("fog", "night", "rain", "snow")}
     digest = lambda n: sorted(map(repr, I.build_stage(images.repartition(n), "s5b", q).select("image_id", "seed", "attempt", F.sha2("data", 256)).collect()))
     assert digest(1) == digest(5)
     assert I.build_stage(images.limit(0), "s2").count() == 0

@@ -76,10 +76,20 @@ def test_curve_inversion_golden(spark):
 
 
 def test_gate_cases(spark):
-    rows = [("in", True, 0.2, 1.0, 0.5), ("low", True, 0.01, 1.0, 0.5), ("sharp", True, 0.2, 0.4, 0.5), ("rough", False, 0.2, 1.0, 0.5), ("out", True, None, 1.0, 0.5)]
-    fits = spark.createDataFrame([(*r, 0.1, 0.5) for r in rows], "condition string, monotonic boolean, strength double, base double, target double, low double, high double")
-    got = {r.condition: (r.passed, r.strength, r.source) for r in stats.gate(fits).collect()}
-    assert got == {"in": (True, 0.2, "fit"), "low": (True, 0.1, "fit+lower"), "sharp": (False, 0.0, "no-blur"), "rough": (False, 0.3, "provisional"), "out": (False, 0.3, "provisional")}
+    """A fit that passes comes first, then a sharper target on a monotonic curve, then the fallback."""
+    rows = [("in", True, 0.2, 1.0, 0.5), ("low", True, 0.01, 1.0, 0.5), ("high", True, 0.9, 1.0, 0.5), ("sharp", True, None, 0.4, 0.5), ("equal", True, 0.0, 0.5, 0.5), ("rough", False, 0.2, 1.0, 0.5), ("rough and sharp", False, None, 0.4, 0.5), ("out", True, None, 1.0, 0.5)]
+    fits = spark.createDataFrame([(*r, 0.1, 0.5, 0.7) for r in rows], "condition string, monotonic boolean, strength double, base double, target double, low double, high double, fallback double")
+    got = {r.condition: (r.passed, r.strength, r.source, r.bound) for r in stats.gate(fits).collect()}
+    assert got == {
+        "in": (True, 0.2, "fit", None),
+        "low": (True, 0.1, "fit", "lower"),
+        "high": (True, 0.5, "fit", "upper"),
+        "sharp": (False, 0.0, "no-blur", None),
+        "equal": (True, 0.1, "fit", "lower"),
+        "rough": (False, 0.5, "fallback", None),
+        "rough and sharp": (False, 0.5, "fallback", None),
+        "out": (False, 0.5, "fallback", None),
+    }
 
 
 def test_label_text_round_trip_and_bad_lines(spark):
