@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadprep.llm import decontaminate, jaccard, pieces, quality, secrets
 from roadprep.llm.queries import _table, tokenizer
-from roadprep.llm.scratch import settled
+from roadprep.llm.scratch import settled_alone
 
 #: Near duplicates share PERCENT of their runs of SHINGLE words.
 SHINGLE = 5
@@ -34,8 +34,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"), remove=True)
-    return _with_length(found.select(*docs.columns))
+    return _with_length(decontaminate.remove_passages(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`; each but the last is written as Parquet and read again."""
     docs = _table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settled(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

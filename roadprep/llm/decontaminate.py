@@ -256,6 +256,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     return out
 
 
+def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """`docs` with text_col as find_contamination leaves it; rows, order of columns and other values stay, whatever the
+    columns are called."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = find_contamination(docs.toDF(*names), benchmark, names[docs.columns.index(text_col)], window, remove=True)
+    return found.select(*names).toDF(*docs.columns)
+
+
 def hit_words() -> Column:
     return F.aggregate(F.zip_with("_hit_starts", "_hit_ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
 

@@ -4,31 +4,52 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
+_steps: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application in spark.checkpoint.dir; where that is unset, as in tests, one of this machine."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        _roots[app] = f"{base.rstrip('/')}/roadprep-{uuid.uuid4().hex}"
-    return _roots[app]
+    """A folder of this application in spark.checkpoint.dir, or in the context's checkpoint folder; where neither is set,
+    as in tests, one of this machine."""
+    context = spark.sparkContext
+    if context.applicationId not in _roots:
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        _roots[context.applicationId] = f"{base.rstrip('/')}/roadprep-{uuid.uuid4().hex}"
+    return _roots[context.applicationId]
 
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once and kept as a Parquet table that every executor can read."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = "/".join([shared_folder(df.sparkSession), *_steps[-1:], uuid.uuid4().hex])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows as a table; the tables that it settles on its way are deleted once that is written."""
+    step = uuid.uuid4().hex
+    _steps.append(step)
+    try:
+        out = make()
+        _steps.pop()
+        return settled(out)
+    finally:
+        if step in _steps:
+            _steps.remove(step)
+        _delete(spark, f"{shared_folder(spark)}/{step}")
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's tables; results that still read them must have been written before."""
     root = _roots.pop(spark.sparkContext.applicationId, None)
     if root:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, root)

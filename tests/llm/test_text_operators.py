@@ -176,14 +176,38 @@ def test_cascade_verdict_does_not_depend_on_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rules = quality.default_rules()
     names = [r.name for r in rules]
-    words = quality.with_words(docs)
-    a = words.select("doc_id", quality.cascade(rules, names).isNull().alias("k"))
-    b = words.select("doc_id", quality.cascade(rules, names[::-1]).isNull().alias("k"))
-    assert a.exceptAll(b).isEmpty()
+    assert {"length", "repetition"} <= set(names)
+    by = lambda order: docs.select("doc_id", quality.of_text(F.col("text"), lambda f: quality.cascade(rules, order, f).isNull()).alias("k"))
+    assert by(names).exceptAll(by(names[::-1])).isEmpty()
     assert quality.cascade_order([("dear", 4.0, 0.5), ("cheap", 1.0, 0.2), ("idle", 1.0, 0.0), ("also", 4.0, 0.5)]) == ["cheap", "also", "dear", "idle"]
+    measured = {m[0]: m[1:] for m in quality.measure(docs, rules)}
+    assert set(measured) == set(names) and measured["repetition"][0] > measured["length"][0]  # windows cost more than a count
     report = quality.quality_report(docs).filter("kept").select("doc_id")
     assert sorted(r.doc_id for r in quality.keep_good(docs).select("doc_id").collect()) == sorted(r.doc_id for r in report.collect())
-    assert quality.keep_good(empty(spark)).count() == 0 and quality.keep_good(documents(spark)).columns == documents(spark).columns
+    assert quality.keep_good(empty(spark)).count() == 0
+
+
+def clashing(spark):
+    """Documents of the given table with columns named like those that operators use inside, and their values."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 3 = 0")
+    names = ["_text", "_words", "_repeated", "_at", "_sorted", "_windows", "_items", "_n_words", "_hit_starts", "_hit_ends", "c0", "c3", "k", "r", "count", "node", "label", "sig", "token", "n"]
+    return docs.select("*", *(F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names)), names
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    docs, names = clashing(spark)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names), name
+
+
+def test_quality_report_of_clashing_columns(spark):
+    docs, names = clashing(spark)
+    assert quality.quality_report(docs).exceptAll(quality.quality_report(docs.drop(*names))).isEmpty()
 
 
 def test_main_text_by_the_hosts_path(spark):
