@@ -86,12 +86,19 @@ def test_elias_fano_and_trie():
             assert (ef[np.arange(n)] == values).all()
         asked = r.integers(0, universe, 500).astype(np.uint64)
         assert (ef.successor(asked)[0] == np.searchsorted(values, asked)).all()
-    keys, counts = np.unique(r.integers(0, 40, 5000).astype(np.uint64) << np.uint64(32) | r.integers(0, 300, 5000).astype(np.uint64), return_counts=True)
-    asked = np.unique(np.concatenate([keys, r.integers(0, 1 << 63, 200).astype(np.uint64), keys + np.uint64(1)]))
-    codes = elias_fano.NgramTrie(keys, counts).lookup(asked)
-    want = dict(zip(keys.tolist(), elias_fano.quantise(counts).tolist()))
-    assert codes.tolist() == [want.get(k, 0) for k in asked.tolist()]
-    assert not elias_fano.NgramTrie(keys[:0], counts[:0]).lookup(asked).any()
+    pairs, counts = np.unique(np.stack([r.integers(1, 40, 5000), r.integers(0, 300, 5000)]), axis=1, return_counts=True)
+    contexts, sizes = np.unique(pairs[0], return_counts=True)
+    hashed = np.sort(r.integers(0, 1 << 63, 41).astype(np.uint64) * np.uint64(2))
+    whole = np.bincount(pairs[0], counts)
+    p = counts / (whole[pairs[0]] + 2.0)
+    trie = elias_fano.NgramTrie(hashed[contexts], sizes, pairs[1].astype(np.uint64), p)
+    exact = {(c, w): x for c, w, x in zip(*pairs.tolist(), p.tolist())}
+    asked = sorted({(c, w) for c in range(41) for w in r.integers(0, 400, 90).tolist()})
+    codes = trie.lookup(hashed, np.bincount([c for c, _ in asked], minlength=41), np.array([w for _, w in asked], np.uint64))
+    for pair, x in zip(asked, elias_fano.dequantise(codes)):
+        assert x == 0.0 if pair not in exact else abs(x / exact[pair] - 1) < 2e-4
+    none = elias_fano.NgramTrie(hashed[:0], sizes[:0], np.zeros(0, np.uint64), p[:0])
+    assert not none.lookup(hashed[:2], np.array([1, 1]), np.array([1, 2], np.uint64)).any()
 
 
 def test_counts_above_one_byte_survive():
