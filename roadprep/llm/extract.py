@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadprep.llm.scratch import settled
 from roadprep.llm.shards import slices
 
 #: A page's own container is its deepest one that holds this share of its text, and what stands with it (see Page.best).
@@ -19,17 +23,14 @@ DENSE_BLOCK = 80
 VOTES_PER_PATH = 100
 _WHOLE = frozenset(("", "html", "body"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Hosts up to which their paths are broadcast to the pages; beyond it the join is left to a shuffle.
-BROADCAST_HOSTS = 100_000
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|iframe|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
-    r"|</?[a-zA-Z][^>]*>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Paths of all hosts up to which they are broadcast to the pages (12 bytes each); beyond it the join is left to a shuffle.
+BROADCAST_PATHS = 1_000_000
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile(r"[>\"']")
+_COMMENT_END = re.compile(r"--!?>")
+# Fixed values of HTML: elements whose content is no markup.
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "iframe", "textarea", "title")}
 _CLASS = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
@@ -46,6 +47,63 @@ _DROPPED_NAMES = frozenset(
 _KEPT_TAGS = frozenset("html body article main".split())
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, closing, tag, attributes) of each tag and of what is no text, whose tag is None; `raw` for elements
+    whose content goes with them.
+
+    A tag ends at the first > outside quotes, or at the first one at all if there is none. Linear: a place from which
+    quotes run to the end of the page is remembered, so no later tag scans from it again.
+    """
+    last, dead = html.rfind(">"), set()
+
+    def tag_end(at: int) -> int:
+        seen = []
+        while (m := _SPECIAL.search(html, at)) and m.start() not in dead:
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            at = html.find(m[0], m.end()) + 1
+            if not at:
+                break
+        dead.update(seen)
+        return -1
+
+    at = 0
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        if html.startswith("<!--", start):
+            m = _COMMENT_END.search(html, start + 4)
+            at = m.end() if m else len(html)
+            yield start, at, False, None, ""
+            continue
+        if start > last:  # no tag ends any more; comments may begin
+            at = html.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        closing = html.startswith("/", at)
+        name = _NAME.match(html, at + closing)
+        if not name:
+            if closing or html[at : at + 1] in ("!", "?"):
+                at = html.find(">", at) + 1
+                yield start, at, closing, None, ""
+            continue
+        end = tag_end(name.end())
+        if end < 0:
+            end = html.find(">", name.end())
+            if end >= 0:
+                at = end + 1
+                yield start, at, closing, None, ""
+            continue
+        tag, at = name[0].lower(), end + 1
+        if not closing and tag in _RAW:
+            m = _RAW[tag].search(html, at)
+            at = m.end() if m else len(html)
+            yield start, at, False, "raw", ""
+        else:
+            yield start, at, closing, tag, html[name.end() : end]
+
+
 def _names(attributes: str) -> tuple[list[str], str]:
     """The words of class and id, and the role."""
     words: list[str] = []
@@ -77,17 +135,23 @@ def general(tag: str, words: list[str]) -> str:
     return ".".join([tag, *kept])
 
 
+def step(above: bytes, tag: str, words: list[str]) -> bytes:
+    """The digest of a path, from that of the path above it: paths are compared, and of one size however deep."""
+    return blake2b(above + b"/" + general(tag, words).encode(), digest_size=12).digest()
+
+
 class Page:
     """Blocks of text of one page, each with the containers that it stands in."""
 
     def __init__(self, html: str):
-        self.paths: list[str] = [""]  # general path of each container; 0 is the page
+        self.paths: list[bytes] = [b""]  # digest of the general path of each container; 0 is the page
         self.parent: list[int] = [0]
         self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str]] = []
         self.heading: list[bool] = []  # of each block
         element = ""
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
+        open_tags: Counter[str] = Counter()  # of the stack: an end tag without a start is not searched for
         buffer: list[str] = []
         position = 0
 
@@ -102,59 +166,62 @@ class Page:
                     self.blocks.append((stack[-1][1], text))
                     self.heading.append(element in _HEADINGS)
 
-        for m in _TOKEN.finditer(html):
-            start, end = m.span()
+        def push(tag: str, container: int, dropped: bool):
+            stack.append((tag, container, dropped))
+            open_tags[tag] += 1
+
+        def cut(k: int):
+            while len(stack) > k:
+                open_tags[stack.pop()[0]] -= 1
+
+        for start, end, closing, tag, attributes in tokens(html):
             if start > position and not stack[-1][2]:
                 buffer.append(html[position:start])
             position = end
-            tag = m[3]
             if tag is None:
-                if m[1] is not None:
-                    flush()
                 continue
-            tag = tag.lower()
-            if m[2]:
-                if tag in _INLINE:
+            if tag == "raw":
+                flush()
+                continue
+            if closing:
+                inline = tag in _INLINE
+                if not inline:
+                    flush()
+                    element = ""
+                if open_tags[tag]:
                     for k in range(len(stack) - 1, 0, -1):  # an inline element is on the stack only if it is dropped
                         if stack[k][0] == tag:
-                            del stack[k:]
+                            cut(k)
                             break
-                        if stack[k][0] in _CONTAINERS:
+                        if inline and stack[k][0] in _CONTAINERS:
                             break
-                    continue
-                flush()
-                element = ""
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
                 continue
             if tag in _INLINE:
                 if tag == "br":
                     buffer.append(" ")
-                elif m[4] and tag not in _VOID and not m[4].endswith("/"):
-                    words, role = _names(m[4]) if "=" in m[4] else ([], "")
-                    if not stack[-1][2] and _dropped(tag, words, role, m[4]):
-                        stack.append((tag, stack[-1][1], True))
+                elif attributes and tag not in _VOID and not attributes.endswith("/"):
+                    words, role = _names(attributes) if "=" in attributes else ([], "")
+                    if not stack[-1][2] and _dropped(tag, words, role, attributes):
+                        push(tag, stack[-1][1], True)
                 continue
             flush()
             element = tag
             if tag in _VOID:
                 continue
             if stack[-1][0] == "p" or stack[-1][0] == tag == "li":
-                del stack[-1]
-            words, role = _names(m[4]) if m[4] and "=" in m[4] else ([], "")
-            dropped = stack[-1][2] or _dropped(tag, words, role, m[4] or "")
+                cut(len(stack) - 1)
+            words, role = _names(attributes) if "=" in attributes else ([], "")
+            dropped = stack[-1][2] or _dropped(tag, words, role, attributes)
             if tag in _CONTAINERS:
                 container = stack[-1][1]
                 if not dropped:
-                    self.paths.append(f"{self.paths[container]}/{general(tag, words)}")
+                    self.paths.append(step(self.paths[container], tag, words))
                     self.parent.append(container)
                     self.tags.append(tag)
                     container = len(self.paths) - 1
-                stack.append((tag, container, dropped))
+                push(tag, container, dropped)
             elif dropped:
-                stack.append((tag, stack[-1][1], True))
+                push(tag, stack[-1][1], True)
         if position < len(html) and not stack[-1][2]:
             buffer.append(html[position:])
         flush()
@@ -170,12 +237,36 @@ class Page:
 
     def best(self) -> int:
         """The container that core() gives, or an outer one if what that adds is text of the article: an enclosing article
-        or main, headings and blocks right beside the container (in body, long ones), other containers with long blocks."""
-        best = c = self.core()
+        or main, headings and blocks right beside the container (in body, long ones), other containers with long blocks.
+
+        One pass: each block outside the core is counted where its way up meets the core's, by the child it comes from.
+        """
+        core = self.core()
+        above, c = [core], core
         while self.parent[c] != c:
             c = self.parent[c]
-            if self.tags[c] in ("article", "main") or self._adds_text(c, best):
-                best = c
+            above.append(c)
+        on_way = set(above)
+        side = list(range(len(self.paths)))  # the outermost container off the core's way that a container stands in
+        sides: dict[int, dict[int, list[int]]] = {}
+        for c in range(1, len(side)):
+            if c not in on_way and self.parent[c] not in on_way:
+                side[c] = side[self.parent[c]]
+        for (c, text), heading in zip(self.blocks, self.heading):
+            child = c if c in on_way else side[c]
+            outer = c if c in on_way else self.parent[child]
+            if outer != core:
+                seen = sides.setdefault(outer, {}).setdefault(child, [0, 0])
+                seen[0] += max(DENSE_BLOCK, len(text)) if heading else len(text)
+                seen[1] += 1
+        best, below = core, [0, 0]  # below: what lies between the best container and this one
+        for inner, outer in zip(above, above[1:]):
+            found = sides.get(outer, {}) | ({inner: below} if below[1] else {})
+            good = all(total >= DENSE_BLOCK * n or (c == outer and self.tags[c] not in _WHOLE) for c, (total, n) in found.items())
+            if self.tags[outer] in ("article", "main") or (found and good):
+                best, below = outer, [0, 0]
+            else:
+                below = [sum(x[k] for x in found.values()) for k in (0, 1)]
         return best
 
     def core(self) -> int:
@@ -188,18 +279,7 @@ class Page:
                 best = c
         return best
 
-    def _adds_text(self, outer: int, inner: int) -> bool:
-        """Whether all that `outer` has beside `inner` is text of the article (nothing: the inner one is enough)."""
-        sides: dict[int, list[int]] = {}  # lengths of blocks by the child of `outer` that they stand in
-        for (c, text), heading in zip(self.blocks, self.heading):
-            side = c
-            while c not in (outer, inner, 0):
-                c, side = self.parent[c], c
-            if c == outer:
-                sides.setdefault(side, []).append(len(text) if not heading else max(DENSE_BLOCK, len(text)))
-        return bool(sides) and all(sum(n) >= DENSE_BLOCK * len(n) or (c == outer and self.tags[c] not in _WHOLE) for c, n in sides.items())
-
-    def text(self, paths: list[str]) -> str:
+    def text(self, paths: list[bytes]) -> str:
         """Blocks in the page's own container, or in the containers of the one of the host's paths that covers more.
 
         A page none of whose containers holds most of its text (its core is the whole page) is extracted by the path of
@@ -209,7 +289,7 @@ class Page:
         best = self.best()
         whole = self.tags[self.core()] in _WHOLE
         chosen, most = {best}, 0.3 * totals[0] if whole else totals[best]
-        places: dict[str, set[int]] = {}
+        places: dict[bytes, set[int]] = {}
         for c in range(1, len(self.paths)):
             if totals[c] and self.tags[c] not in _WHOLE:
                 places.setdefault(self.paths[c], set()).add(c)
@@ -230,7 +310,7 @@ def host(url):
 
 
 def vote(pages: DataFrame) -> DataFrame:
-    """host, paths: the general paths with a VOTES_PER_PATH-th of the votes on each host, those with most votes first.
+    """host, paths: digests of the general paths with a VOTES_PER_PATH-th of the votes on each host, those with most votes first.
 
     One pass over the pages gives a path for each; votes are counted by host and path, combined before the shuffle, so
     a host with a third of all pages sends one row for each path and task.
@@ -242,10 +322,10 @@ def vote(pages: DataFrame) -> DataFrame:
             for html in part.column("html").to_pylist():
                 page = Page(html or "")
                 best = page.best()
-                found.append("" if page.tags[best] in _WHOLE else page.paths[best])  # a whole page is no container
-            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(found, pa.string())], names=["host", "path"])
+                found.append(None if page.tags[best] in _WHOLE else page.paths[best])  # a whole page is no container
+            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(found, pa.binary())], names=["host", "path"])
 
-    votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(paths, "host string, path string").filter("path <> ''").groupBy("host", "path").count()
+    votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(paths, "host string, path binary").filter("path IS NOT NULL").groupBy("host", "path").count()
     of_host = votes.groupBy("host").agg(F.sum("count").alias("n_votes"))
     votes = votes.join(of_host, "host").filter(F.col("count") * VOTES_PER_PATH >= F.col("n_votes"))
     ranked = votes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "path"))).alias("best"))
@@ -260,16 +340,16 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     vote together as one. Repeated rows stay rows; other columns are not read.
     """
     pages = pages.select("page_id", "url", "html")
-    chosen = vote(pages).persist()
-    n_hosts = chosen.limit(BROADCAST_HOSTS + 1).count()
+    chosen = settled(vote(pages))
+    n_paths = chosen.agg(F.sum(F.size("paths"))).first()[0] or 0
     keyed = pages.withColumn("_host", host(F.col("url")))
     right = chosen.withColumnRenamed("host", "_host")
-    joined = keyed.join(F.broadcast(right) if n_hosts <= BROADCAST_HOSTS else right, "_host", "left")
+    joined = keyed.join(F.broadcast(right) if n_paths <= BROADCAST_PATHS else right, "_host", "left")
 
     def texts(batches):
         for part in slices(batches, "html"):
             rows = zip(part.column("html").to_pylist(), part.column("paths").to_pylist())
-            found = [Page(html).text(paths or []) if html else "" for html, paths in rows]
+            found = [Page(html).text([bytes(p) for p in paths or []]) if html else "" for html, paths in rows]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

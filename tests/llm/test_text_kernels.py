@@ -1,5 +1,6 @@
 """Numpy parts against brute force, without Spark."""
 
+import math
 import random
 import re
 import zlib
@@ -178,7 +179,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_main_text_of_a_page():
     page = extract.Page(PAGE)
-    assert page.paths[page.best()].endswith("div.content.post")
+    assert page.tags[page.best()] == "div" and page.paths[page.best()] == extract.step(page.paths[page.parent[page.best()]], "div", ["content", "post"])
     assert page.text([]) == "T & x\n\nHello world again\n\ntwo <b> bold! end\n\none\n\ntwo"
     assert page.text(["/html/body/none"]) == page.text([])
     for broken in ("", "<", "plain words", "<p", "<div><p>a<div>b", "<script>x", "<!-- open", "</div></p>z", '<a href="x>y'):
@@ -188,3 +189,61 @@ def test_main_text_of_a_page():
 
 def test_crc_rule():
     assert zlib.crc32(b"123456789") == 0xCBF43926  # what crc32() of Spark gives for the same text
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for html in ('<a x="' * 170_000, "<div>" * 100_000 + "text", "<div class=a>" * 100_000 + "<p>text" + "</div>" * 100_000, "<div>" * 50_000 + "</section>" * 50_000, "<!" * 500_000, '<script x="' * 90_000):
+        began = time.perf_counter()
+        extract.Page(html).text([])
+        assert time.perf_counter() - began < 5
+
+
+def test_tags_end_outside_quotes():
+    found = [html[a:b] for html in ['<a t="x>y">1</a><b>2<!-- <i> --><script a="b>c"><p></script >4<c d=">5'] for a, b, *_ in extract.tokens(html)]
+    assert found == ['<a t="x>y">', "</a>", "<b>", "<!-- <i> -->", '<script a="b>c"><p></script >', '<c d=">']
+
+
+def test_main_text_of_made_pages():
+    """Articles of known blocks among menus, adverts, forms and comments, in templates and nestings of all kinds."""
+    import random
+
+    r = random.Random(7)
+    words = "time year people way day man thing woman life child world school state family student group country problem hand part".split()
+    sentence = lambda n: " ".join(r.choice(words) for _ in range(n)).capitalize() + "."
+    for i in range(150):
+        blocks = [sentence(5).rstrip(".")] + [" ".join(sentence(r.randint(12, 30)) for _ in range(r.randint(1, 4))) for _ in range(r.randint(2, 8))]
+        inner = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b.replace(' day ', ' <b>day</b> ')}</p>" for b in blocks[1:])
+        around = r.choice(["<article>{}</article>", "<main><article class='post-{}'>{{}}</article></main>".format(i), "<div class='content'>{}</div>", "<div id=main><div class='body entry'>{}</div></div>", "<section><div><div class=story>{}</div></div></section>"])
+        junk = ["<nav><ul><li><a href=#>Home</a><li>News</ul></nav>", "<div class='sidebar'><p>" + sentence(8) + "</p></div>", "<footer>All rights</footer>", "<form><label>Mail</label><input></form>", "<script>var a = '<p>no</p>';</script>", "<style>p {}</style>", "<div class=cookie-notice>" + sentence(6) + "</div>", "<div id=comments><p>" + sentence(15) + "</p></div>", "<div class='ad'>Buy</div>", "<!-- <p>hidden</p> -->"]
+        r.shuffle(junk)
+        k = r.randint(0, len(junk))
+        html = f"<html><head><title>T</title></head><body>{''.join(junk[:k])}{around.format(inner)}{''.join(junk[k:])}</body></html>"
+        assert extract.Page(html).text([]) == "\n\n".join(blocks), html
+
+
+def test_language_margins_equal_a_dense_solution():
+    r = np.random.default_rng(6)
+    texts, labels = [], []
+    for lang, alphabet in (("a", "abcde"), ("b", "cdefg"), ("c", "efghi")):
+        for _ in range(12):
+            texts.append(" ".join("".join(r.choice(list(alphabet), 4)) for _ in range(10)))
+            labels.append(lang)
+    grams = []
+    for t in texts:
+        out = np.zeros(language.BUCKETS, np.uint8)
+        language.presence(t, out)
+        grams.append(set(np.flatnonzero(out).tolist()))
+    model = language.solve(labels, np.packbits(np.stack([[k in g for k in range(language.BUCKETS)] for g in grams]).astype(np.uint8), axis=1), landmarks_each=12)
+    kernel = np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in grams] for x in grams])
+    # all rows are landmarks: ridge regression in the kernel's own feature space, rows weighted by 1 / rows of the language
+    values, vectors = np.linalg.eigh(kernel)
+    z = vectors[:, values > 1e-6 * values.max()] * np.sqrt(values[values > 1e-6 * values.max()])
+    y = np.array([[1.0 if x == k else -1.0 for k in "abc"] for x in labels])
+    weights = np.linalg.solve(z.T @ z / 12 + language.RIDGE / 3 * np.eye(z.shape[1]), z.T @ y / 12)
+    margins = z @ weights
+    got = model.predict(texts)
+    for i, (lang, score) in enumerate(got):
+        best = int(margins[i].argmax())
+        assert lang == "abc"[best] and abs(score - min(1.0, max(0.0, (margins[i, best] + 1) / 2))) < 1e-3
