@@ -154,10 +154,10 @@ parts AS (
   SELECT *, string_split(host, '.') AS ls, list_filter(string_split(path, '/'), lambda x: x <> '') AS ss FROM p),
 k AS (
   SELECT page_id, url, fetched, 'domain' AS kind, array_to_string(ls[len(ls) - i + 1 :], '.') AS value, i AS weight
-  FROM (SELECT *, unnest(range(1, least(len(ls), 8) + 1)) AS i FROM parts WHERE host IS NOT NULL)
-  UNION ALL SELECT page_id, url, fetched, 'prefix', host || '/' || array_to_string(ss[1 : i], '/'), 100 + i
-  FROM (SELECT *, unnest(range(1, least(len(ss), 8) + 1)) AS i FROM parts WHERE host IS NOT NULL)
-  UNION ALL SELECT page_id, url, fetched, 'url', url, 1000 FROM parts),
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM parts WHERE host IS NOT NULL)
+  UNION ALL SELECT page_id, url, fetched, 'prefix', host || '/' || array_to_string(ss[1 : i], '/'), 536870912 + i
+  FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM parts WHERE host IS NOT NULL)
+  UNION ALL SELECT page_id, url, fetched, 'url', url, 1073741824 FROM parts),
 m AS (
   SELECT page_id, count(*) AS n, min({'w': -weight, 'b': action <> 'allow', 'name': action || ':' || k.kind || ':' || k.value}) AS best
   FROM k JOIN iv ON k.kind = iv.kind AND k.value = iv.value AND fetched >= f AND (t IS NULL OR fetched < t) GROUP BY page_id)
