@@ -346,7 +346,8 @@ def rare_pairs(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT, size:
     that don't link, as each has too many elements of its own, meet nowhere: the number of pairs does not follow the
     square of their group. Under each element only rows outside its most frequent label are compared with the others.
     """
-    each = settled(_of_documents(nodes.select(F.col("node").alias("doc_id")), docs, "tokens", lambda s: s, size).select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token")))
+    # made twice, once to count and once to rank: a table of all elements would take as much disk as either shuffle
+    each = _of_documents(nodes.select(F.col("node").alias("doc_id")), docs, "tokens", lambda s: s, size).select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
     of_node = Window.partitionBy("node", "n")
     # elements that no other set has come first: they need no row, only their number

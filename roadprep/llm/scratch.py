@@ -22,11 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _roots[context.applicationId]
 
 
+#: Rows that go to a Python worker at once, at most: whole texts, of which Spark's usual number takes tens of MB twice.
+BATCH_ROWS = 4_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once and kept as a Parquet table that every executor can read."""
-    path = "/".join([shared_folder(df.sparkSession), *_steps[-1:], uuid.uuid4().hex])
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = "/".join([shared_folder(spark), *_steps[-1:], uuid.uuid4().hex])
+    before = spark.conf.get(_BATCH)
+    try:
+        if not 0 < int(before) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
