@@ -128,12 +128,12 @@ m AS (SELECT condition, field, median(value) AS med FROM l GROUP BY ALL), s AS (
 k AS (SELECT condition, field, med, mad, value, mad = 0 OR abs(value - med) <= 3 * mad AS keep FROM l JOIN s USING (condition, field))
 SELECT condition, field, CAST(count(*) FILTER (keep) AS BIGINT) AS n, round(med, 6) AS median, round(mad, 6) AS mad,
  round(quantile_cont(value, 0.1) FILTER (keep), 4) AS p10, round(quantile_cont(value, 0.9) FILTER (keep), 4) AS p90,
- array_to_string(list_transform(quantile_cont(value, {PROBS}) FILTER (keep), lambda q: printf('%.3f', q)), ' ') AS q,
+ array_to_string(list_transform(quantile_cont(value, {PROBS}) FILTER (keep), lambda q: printf('%.5f', q * 0.7310585786300049)), ' ') AS q,
  CAST(count(*) FILTER (NOT keep) AS BIGINT) AS rejected, CAST(count(*) FILTER (keep AND (value < 30 OR value > 140)) AS BIGINT) AS clipped FROM k GROUP BY condition, field, med, mad""").replace("{PROBS}", str(S.PROBABILITIES)))
 def robust_summary(spark, d):
-    """Every field of the summary; the 33 quantiles as text with three decimals."""
+    """Every field of the summary; the 33 quantiles as text, scaled so that engines don't differ in rounding ties."""
     out = S.robust_summary(_long(spark, d), ["condition", "field"], "value", 30.0, 140.0)
-    q = F.array_join(F.transform("q", lambda x: F.format_string("%.3f", x)), " ")
+    q = F.array_join(F.transform("q", lambda x: F.format_string("%.5f", x * 0.7310585786300049)), " ")
     return out.select("condition", "field", "n", *(F.round(c, 6).alias(c) for c in ("median", "mad")), *(F.round(c, 4).alias(c) for c in ("p10", "p90")), q.alias("q"), "rejected", "clipped")
 
 
