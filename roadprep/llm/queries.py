@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadprep.llm import decontaminate, extract, jaccard, language, lm, pieces, quality, secrets, tokens, urls
+from roadprep.llm import decontaminate, extract, jaccard, language, lm, pieces, quality, resample, secrets, sharding, tokens, urls, variants
+from roadprep.llm.new_sql import OP11, OP12, OP13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +60,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_pieces, op3_decontaminate, op4_lm_scores, op5_main_text, op6_quality, op7_token_counts, op8_url_filter, op9_language, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_secrets, op2_pieces, op3_decontaminate, op4_lm_scores, op5_main_text, op6_quality, op7_token_counts, op8_url_filter, op9_language, op10_jaccard_join, op11_resample, op12_variants, op13_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3, "op6_quality": OP6, "op8_url_filter": OP8, "op10_jaccard_join": OP10}
+    return {"op3_decontaminate": OP3, "op6_quality": OP6, "op8_url_filter": OP8, "op10_jaccard_join": OP10, "op11_resample": OP11, "op12_variants": OP12, "op13_shards": OP13}
 
 
 OP3 = r"""

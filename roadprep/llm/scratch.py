@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +15,15 @@ _steps: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application in spark.checkpoint.dir, or in the context's checkpoint folder; where neither is set,
-    as in tests, one of this machine."""
+    """A folder of this application in spark.checkpoint.dir, or in the context's checkpoint folder. Where neither is set, a
+    local master, as in tests, has one of its machine; on a cluster that is an error, as executors could not read it."""
     context = spark.sparkContext
     if context.applicationId not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="spark-")
         _roots[context.applicationId] = f"{base.rstrip('/')}/roadprep-{uuid.uuid4().hex}"
     return _roots[context.applicationId]
 
@@ -27,17 +33,24 @@ BATCH_ROWS = 4_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of `df`, computed once and kept as a Parquet table that every executor can read."""
-    spark = df.sparkSession
-    path = "/".join([shared_folder(spark), *_steps[-1:], uuid.uuid4().hex])
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside hand Python workers BATCH_ROWS rows at once, at most."""
     before = spark.conf.get(_BATCH)
     try:
         if not 0 < int(before) <= BATCH_ROWS:
             spark.conf.set(_BATCH, str(BATCH_ROWS))
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_BATCH, before)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of `df`, computed once and kept as a Parquet table that every executor can read."""
+    spark = df.sparkSession
+    path = "/".join([shared_folder(spark), *_steps[-1:], uuid.uuid4().hex])
+    with bounded_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
