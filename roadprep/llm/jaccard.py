@@ -454,10 +454,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; rows with a null doc_id stay. Of repeated rows one stays."""
-    groups = jaccard_components(docs, percent, size)
-    first = settled(groups.filter("doc_id = component_id").groupBy("doc_id").count())
-    kept = docs.join(F.broadcast(first) if first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else first, "doc_id", "left_semi")
-    if not first.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    """One row of each component of rows, that with the smallest doc_id, null last; columns stay as they were.
+
+    Rows are what is compared: one id on several texts joins nothing, and copies under any ids are one component.
+    Null and empty texts are alone, so each of their rows stays. Where ids are unique, as they should be, they name the
+    rows; else the rows are written once with numbers of their own.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        first = settled(jaccard_components(docs, percent, size).filter("doc_id = component_id").select("doc_id"))
+        small = first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(first) if small else first, "doc_id", "left_semi").select(*docs.columns)
+    row = next(n for n in (f"row_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = settled(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), percent, size).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    first = rows.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(settled(first), row, "left_semi").select(*docs.columns)
