@@ -26,7 +26,7 @@ def pixels(centre: Column, size: Column, extent: Column) -> tuple[Column, Column
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Intersection over union of two boxes with x, y, w, h; 0 if they don't touch."""
+    """Intersection over union of two boxes with x, y, w, h; 0 if they don't touch, null for two without area."""
     side = lambda p, s: F.greatest(F.lit(0.0), F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]))
     inter = side("x", "w") * side("y", "h")
-    return inter / (a["w"] * a["h"] + b["w"] * b["h"] - inter)
+    return F.try_divide(inter, a["w"] * a["h"] + b["w"] * b["h"] - inter)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadprep.jobs import images, labels, marts, metrics, splits  # noqa: F401
+from roadprep.jobs import images, labels, marts, metrics, records, splits  # noqa: F401
 from roadprep.jobs.registry import QUERIES, SQL
 
 

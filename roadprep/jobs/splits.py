@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from roadprep.functions.classes import CONDITIONS
-from roadprep.functions.order import shuffled
+from roadprep.functions.order import shuffled, with_range_rank
 from roadprep.jobs.labels import index, stratum
 from roadprep.jobs.registry import query, with_parts
 from roadprep.operators import splits as S
@@ -88,15 +87,10 @@ def assign_conditions(spark, d):
 def stage_manifest(spark, d):
     """The A half sorted by name, then the rendered B half sorted by name, with line numbers.
 
-    Lines are counted inside (half, bucket of the name's order) cells with offsets, as no task may hold a half.
+    Lines are counted inside pieces of the order with offsets, as no task may hold a half.
     """
     halves = S.blocks(view(spark, d, "fx_images"), "image_id", ["A", "B"], 42, "halves", "half", floor_first=True).select("file_name", "half")
-    cell = F.substring("file_name", 1, 7)  # a prefix keeps the order of names between cells
-    keyed = halves.withColumn("_cell", cell)
-    before = Window.partitionBy(F.lit(0)).orderBy("half", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("half", "_cell").count().withColumn("_offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    line = F.row_number().over(Window.partitionBy("half", "_cell").orderBy("file_name")) + F.col("_offset")
-    return keyed.join(offsets, ["half", "_cell"]).select("file_name", "half", line.cast("long").alias("line"))
+    return with_range_rank(halves, [], [F.col("half"), F.col("file_name")], "line")
 
 
 @query(with_parts("fx_images") + "SELECT weather, image_id FROM fx_images WHERE split = 'train' QUALIFY row_number() OVER (PARTITION BY weather ORDER BY image_id) <= 50")

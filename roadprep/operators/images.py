@@ -78,7 +78,8 @@ def box_contrast(images: DataFrame, labels: DataFrame, least_area: int = 4) -> D
     """image_id, ann_idx, std of the gray pixels in each box of `labels` (image_id, ann_idx, cx, cy, bw, bh as shares).
 
     Corners are cut to the image and to whole pixels; boxes under `least_area` pixels go. A row of boxes for each image
-    (one image's labels) is joined to it, so the pixels are read once and stay where they are if labels are broadcast.
+    (one image's labels) is joined to it. Tables that are bucketed alike by image_id (sources.bucketed) are joined where
+    they lie; else Spark broadcasts the boxes below its threshold and shuffles the pixels above it.
     """
     boxes = labels.groupBy("image_id").agg(F.collect_list(F.struct("ann_idx", "cx", "cy", "bw", "bh")).alias("boxes"))
 
@@ -193,9 +194,18 @@ COUNTS = ("n_streaks", "n_particles")
 
 def describe(condition: Column, params: Column) -> Column:
     """A line for the audit log: the condition and each parameter in its order, whole numbers as such, others with four
-    decimals; tints by name."""
-    value = lambda e: F.when(e["key"].isin(*COUNTS), e["value"].cast("long").cast("string")).when(e["key"] == "tint", F.when(e["value"] > 0, "warm").otherwise("cool")).otherwise(F.format_string("%.4f", e["value"]))
-    return F.concat_ws(";", condition, F.array_join(F.transform(F.map_entries(params), lambda e: F.concat_ws("=", e["key"], value(e))), ";"))
+    decimals. A tint is named and followed by its shift; a blur is the last part, with its size in pixels and as a share
+    of the short side, and its angle if it has a direction."""
+    number = lambda c, digits: F.format_string(f"%.{digits}f", c)
+    tint = F.concat(F.when(params["tint"] > 0, "warm").otherwise("cool"), F.lit(f";tint_delta={K.TINT:.4f}"))
+    value = lambda e: F.when(e["key"].isin(*COUNTS), e["value"].cast("long").cast("string")).when(e["key"] == "tint", tint).otherwise(number(e["value"], 4))
+    plain = F.filter(F.map_entries(params), lambda e: ~e["key"].startswith("blur_"))
+    line = F.concat_ws(";", condition, F.array_join(F.transform(plain, lambda e: F.concat_ws("=", e["key"], value(e))), ";"))
+    size, share = number(params["blur_px"], 3), number(params["blur_frac"], 6)
+    kind = F.create_map(*(F.lit(x) for c, (k, *_) in K.BLUR.items() for x in (c, k)))[condition]
+    gaussian = F.concat(F.lit(";blur=gaussian(sigma_px="), size, F.lit(",sigma_frac="), share, F.lit(")"))
+    motion = F.concat(F.lit(";blur=motion(length_px="), size, F.lit(",length_frac="), share, F.lit(",angle_deg="), number(F.coalesce(params["slant_deg"], F.lit(0.0)), 3), F.lit(")"))
+    return F.concat(line, F.when(params["blur_frac"].isNull(), "").when(kind == "gaussian", gaussian).when(kind == "motion", motion).otherwise(""))
 
 
 def describe_tone(params: Column) -> Column:

@@ -6,60 +6,136 @@ box keeps its most confident claimant, precision is interpolated at 101 recall l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadprep.functions.boxes import iou
-from roadprep.functions.order import with_running
+from roadprep.functions.order import RangePieces, with_running
 
 #: IoU thresholds in hundredths.
 THRESHOLDS = list(range(50, 100, 5))
-#: Pieces that a class is cut into along confidence.
-PIECES = 256
+#: (image, class) groups with more truth boxes than this meet on a grid. It changes the cost, not the result.
+CROWD = 64
+#: Crowded groups up to which their keys are broadcast.
+BROADCAST_GROUPS = 100_000
+#: Sides of boxes between two levels of the grid, and a cell's side in sides of its level's smallest box.
+LEVEL, CELL = 4, 8
+
+
+def _overlap() -> Column:
+    return iou({c: F.col(f"t_{c}") for c in "xywh"}, {c: F.col(f"d_{c}") for c in "xywh"})
+
+
+def _sides(truth: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    t = truth.select("image_id", "class_id", "ann_idx", *(F.col(c).alias(f"t_{c}") for c in "xywh"))
+    return t, detections.select("image_id", "class_id", "det_idx", "conf", *(F.col(c).alias(f"d_{c}") for c in "xywh"))
+
+
+def _pairs(t: DataFrame, d: DataFrame, keys: list[str], least: float) -> DataFrame:
+    near = (_overlap() >= least) & (F.least("t_w", "t_h", "d_w", "d_h") > 0)
+    same = [t[k] == d[k] for k in keys]
+    return t.join(d, [*same, near]).select(t["image_id"], t["class_id"], "ann_idx", "det_idx", "conf", _overlap().alias("iou"))
+
+
+def _level(side: Column) -> Column:
+    """The level of a side. A logarithm may be off by a bit at a level's end: it is set right by powers, which are exact."""
+    k = F.floor(F.ln(side) / math.log(LEVEL)).cast("int")
+    power = lambda e: F.pow(F.lit(float(LEVEL)), e)
+    return F.when(power(k) > side, k - 1).when(power(k + 1) <= side, k + 1).otherwise(k)
+
+
+def cells_of(truth: DataFrame, detections: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the cells cx and cy in which they meet: one row for a truth box, some for a detection.
+
+    A truth box has the cell of its centre on a grid whose level follows its width and height. Boxes of an IoU of `least`
+    have sides within a factor of `least`, and overlap by that share of either side, so that centres are apart by
+    max(1 - least, (1 / least - 1) / 2) sides of the detection at most: it asks the levels and cells within that reach,
+    for 0.5 about three for each axis.
+    """
+    t, d = _sides(truth.filter("w > 0 AND h > 0"), detections.filter("w > 0 AND h > 0"))
+    reach = max(1 - least, (1 / least - 1) / 2) * 1.000001
+    power = lambda e: F.pow(F.lit(float(LEVEL)), e)
+
+    def cell(centre: Column, level: Column) -> Column:
+        return F.floor(centre / (power(level) * CELL)).cast("int")
+
+    def own(p: str, s: str) -> Column:
+        level = _level(F.col(f"t_{s}"))
+        return F.struct(level.alias("level"), cell(F.col(f"t_{p}") + F.col(f"t_{s}") / 2, level).alias("cell"))
+
+    def asked(p: str, s: str) -> Column:
+        side, centre = F.col(f"d_{s}"), F.col(f"d_{p}") + F.col(f"d_{s}") / 2
+        levels = F.sequence(_level(side * (least * 0.999999)), _level(side * (1.000001 / least)))
+        cells = lambda k: F.sequence(cell(centre - side * reach, k), cell(centre + side * reach, k))
+        return F.flatten(F.transform(levels, lambda k: F.transform(cells(k), lambda c: F.struct(k.alias("level"), c.alias("cell")))))
+
+    t = t.select("*", own("x", "w").alias("cx"), own("y", "h").alias("cy"))
+    return t, d.select("*", F.explode(asked("x", "w")).alias("cx")).select("*", F.explode(asked("y", "h")).alias("cy"))
+
+
+def on_grid(truth: DataFrame, detections: DataFrame, least: float = 0.5) -> DataFrame:
+    """The same pairs as `candidates`, by cells instead of whole (image, class) groups (see cells_of).
+
+    No pair meets twice, as a truth box is in one cell, and what meets in a cell is near: crowds cost what their dense
+    places cost, not the square of the image.
+    """
+    return _pairs(*cells_of(truth, detections, least), ["image_id", "class_id", "cx", "cy"], least)
 
 
 def candidates(truth: DataFrame, detections: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of the same image and class with IoU of at least `least`: image_id, class_id, ann_idx, det_idx, conf, iou.
 
-    An equi-join; the overlap is a condition of the join, so that no pair of boxes apart leaves it.
+    An equi-join; the overlap is a condition of the join, so that no pair of boxes apart leaves it. Groups with more than
+    CROWD truth boxes, where all pairs would be their square, meet on a grid. Boxes without area overlap nothing.
     """
-    t = truth.select("image_id", "class_id", "ann_idx", *(F.col(c).alias(f"t_{c}") for c in "xywh"))
-    d = detections.select("image_id", "class_id", "det_idx", "conf", *(F.col(c).alias(f"d_{c}") for c in "xywh"))
-    overlap = iou({c: F.col(f"t_{c}") for c in "xywh"}, {c: F.col(f"d_{c}") for c in "xywh"})
-    near = (t["image_id"] == d["image_id"]) & (t["class_id"] == d["class_id"]) & (overlap >= least)
-    return t.join(d, near).select(t["image_id"], t["class_id"], "ann_idx", "det_idx", "conf", overlap.alias("iou"))
+    keys = ["image_id", "class_id"]
+    crowded = truth.groupBy(*keys).count().filter(F.col("count") > CROWD).select(*keys)
+    n = crowded.limit(BROADCAST_GROUPS + 1).count()
+    if not n:
+        return _pairs(*_sides(truth, detections), keys, least)
+    crowded = F.broadcast(crowded) if n <= BROADCAST_GROUPS else crowded
+    few = [x.join(crowded, keys, "left_anti") for x in (truth, detections)]
+    many = [x.join(crowded, keys, "left_semi") for x in (truth, detections)]
+    return _pairs(*_sides(*few), keys, least).union(on_grid(*many, least))
 
 
-def one_to_one(pairs: DataFrame, thresholds: list[int] = THRESHOLDS) -> DataFrame:
-    """thr, image_id, class_id, det_idx of true positives. Ranks are taken inside (image, class, threshold)."""
-    thr = F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("iou") >= t / F.lit(100.0)))
-    rows = pairs.select("*", thr.alias("thr"))
-    best = F.row_number().over(Window.partitionBy("image_id", "class_id", "thr", "det_idx").orderBy(F.desc("iou"), "ann_idx"))
-    rows = rows.withColumn("_r", best).filter("_r = 1")
-    claim = F.row_number().over(Window.partitionBy("image_id", "class_id", "thr", "ann_idx").orderBy(F.desc("conf"), "det_idx"))
-    return rows.withColumn("_r", claim).filter("_r = 1").select("thr", "image_id", "class_id", "det_idx")
+def hit_masks(pairs: DataFrame, thresholds: list[int] = THRESHOLDS) -> DataFrame:
+    """image_id, class_id, det_idx, mask of the detections that are true positives somewhere: bit i for threshold i.
 
+    A detection's best box is the same at every threshold that it reaches. Of a box's claimants in falling confidence
+    one counts at the thresholds that it reaches and none before it has reached. So thresholds are no rows.
+    """
+    best = F.row_number().over(Window.partitionBy("image_id", "class_id", "det_idx").orderBy(F.desc("iou"), "ann_idx"))
+    claims = pairs.withColumn("_r", best).filter("_r = 1")
+    before = Window.partitionBy("image_id", "class_id", "ann_idx").orderBy(F.desc("conf"), "det_idx").rowsBetween(Window.unboundedPreceding, -1)
+    claims = claims.withColumn("_before", F.coalesce(F.max("iou").over(before), F.lit(-1.0)))
+    at = [F.lit(t) / F.lit(100.0) for t in thresholds]
+    bits = [F.when((F.col("iou") >= t) & (F.col("_before") < t), F.lit(1 << i)).otherwise(0) for i, t in enumerate(at)]
+    return claims.select("image_id", "class_id", "det_idx", sum(bits[1:], bits[0]).alias("mask")).filter("mask <> 0")
 
-def hit_masks(pairs: DataFrame, thresholds: list[int] = THRESHOLDS) -> DataFrame:
-    """image_id, class_id, det_idx, mask of the detections that are true positives somewhere: bit i for threshold i."""
-    bit = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(thresholds) for x in (t, 1 << i))), F.col("thr"))
-    return one_to_one(pairs, thresholds).groupBy("image_id", "class_id", "det_idx").agg(F.bit_or(bit).alias("mask"))
+
+def one_to_one(pairs: DataFrame, thresholds: list[int] = THRESHOLDS) -> DataFrame:
+    """thr, image_id, class_id, det_idx of true positives."""
+    each = F.filter(F.array(*(F.struct(F.lit(t).alias("thr"), F.shiftright("mask", i).bitwiseAND(1).alias("hit")) for i, t in enumerate(thresholds))), lambda x: x["hit"] == 1)
+    return hit_masks(pairs, thresholds).select(F.explode(each.getField("thr")).alias("thr"), "image_id", "class_id", "det_idx")
 
 
 def curve(truth: DataFrame, detections: DataFrame, groups: list[str], thresholds: list[int] = THRESHOLDS, hits: DataFrame | None = None) -> DataFrame:
     """One row for each detection with n, its place in its group by falling confidence, tp_<threshold>, the running true
     positives at each threshold, mask and n_truth. All thresholds are columns of one window, not rows.
 
-    `hits` are the masks of the detections where these are counted in several groups; else they are made here.
+    `hits` are the masks of the detections where these are counted in several groups; else they are made here. Pieces
+    along the order are cut by a sample, so that a single confidence that most detections share is many tasks.
     """
     hits = hit_masks(candidates(truth, detections), thresholds) if hits is None else hits
     rows = detections.select("image_id", "det_idx", "class_id", "conf", *[g for g in groups if g != "class_id"])
     rows = rows.join(hits, ["image_id", "class_id", "det_idx"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     rows = rows.withColumns({"_one": F.lit(1), **{f"_{t}": F.shiftright("mask", i).bitwiseAND(1) for i, t in enumerate(thresholds)}})
-    piece = F.floor((1 - F.col("conf")) * PIECES)
-    order = [F.desc("conf"), F.col("image_id"), F.col("det_idx")]
-    out = with_running(rows, groups, piece, order, {"_one": "n", **{f"_{t}": f"tp_{t}" for t in thresholds}})
+    order = [-F.col("conf"), F.col("image_id"), F.col("det_idx")]
+    out = with_running(rows, groups, RangePieces(detections, order).of(), order, {"_one": "n", **{f"_{t}": f"tp_{t}" for t in thresholds}})
     return out.drop("_one", *(f"_{t}" for t in thresholds)).join(truth.groupBy(*groups).agg(F.count("*").alias("n_truth")), groups)
 
 

@@ -2,64 +2,196 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Probabilities of the stored quantiles: 33 from 0.01 to 0.99.
 PROBABILITIES = [0.01 + 0.98 * i / 32 for i in range(33)]
 
 
-#: Bins for each factor of e of a value's size: neighbours in a bin differ by a thousandth.
+#: Bins for each factor of e of a value's size: values of a bin differ by a thousandth of their size.
 BINS = 1000
+#: What a robust summary multiplies the median distance with, and how many of these a kept value may be off.
+SCALE, FAR = 1.4826, 3
+
+
+def sketch(values: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """groups, bin, c, lo, hi: how many finite values of each group lie in each logarithmic bin, the least and the greatest.
+
+    Bins rise with the value and need no look at the data, so sketches merge (merge_sketches): of partitions, of days, of
+    shards. A group has as many rows as it has sizes of values, a few thousand, however many values; ranks are exact to
+    the bin, values to 1 / BINS of their size.
+    """
+    rows = _finite(values, groups, value)
+    return rows.groupBy(*groups, _bin(F.col("_v")).alias("bin")).agg(F.count("*").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+
+
+def merge_sketches(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    return sketches.groupBy(*groups, "bin").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _finite(values: DataFrame, groups: list[str], value: str) -> DataFrame:
+    v = F.col(value).cast("double")
+    return values.select(*groups, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf")))
+
+
+def _bin(v: Column) -> Column:
+    size = F.floor((F.ln(F.abs(v)) + 746) * BINS)  # positive for every double but 0
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("long")
+
+
+def _whole(groups: list[str]):
+    return Window.partitionBy(*(groups or [F.lit(0)]))
+
+
+def _ranks(p: float, n: str) -> tuple[str, str]:
+    """The ranks, from 0, between which the quantile p of n values lies, as SQL: dozens of them are one text each."""
+    return f"floor({p!r}D * ({n} - 1))", f"ceil({p!r}D * ({n} - 1))"
+
+
+def _refined(values: DataFrame, groups: list[str], value: str, bins: DataFrame) -> DataFrame:
+    """groups, v, c: the values of the bins that are marked `need`, each with its count, and the others' bins as one value.
+
+    The second and last reading of the values. Bins that hold a single value need none.
+    """
+    need = bins.filter("need AND lo < hi").select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("bin").alias("_b"))
+    rows = _finite(values, groups, value)
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
+    exact = rows.join(need, [*same, _bin(F.col("_v")) == F.col("_b")], "left_semi").groupBy(*groups, F.col("_v").alias("v")).agg(F.count("*").alias("c"))
+    rest = bins.filter("NOT (need AND lo < hi)").select(*groups, ((F.col("lo") + F.col("hi")) / 2).alias("v"), "c")
+    return exact.union(rest)
+
+
+def _at(rank: str, value: str = "v") -> Column:
+    """The value at a rank, of rows with their first (`_from`) and last rank (`_to` - 1): an aggregate."""
+    return F.expr(f"max(CASE WHEN {rank} >= _from AND {rank} < _to THEN {value} END)")
 
 
-def quantiles(values: DataFrame, groups: list[str], value: str, probabilities: list[float], out: str = "q") -> DataFrame:
-    """groups, `out` (an array): exact quantiles of the non-null values of each group, linear between neighbours.
+def _sides(probabilities: list[float], n: str) -> list[Column]:
+    """Columns _<i>a and _<i>b: the values on both sides of each quantile."""
+    return [_at(k).alias(f"_{i}{s}") for i, p in enumerate(probabilities) for s, k in zip("ab", _ranks(p, n))]
 
-    Counts of logarithmic bins, which rise with the value and need no look at the data, tell which bins hold the wanted
-    ranks. Only the distinct values of those bins are ordered, each bin in a task of its own: no task holds a group, and
-    repeated values are one row.
+
+def _between(i: int, p: float, n: str) -> str:
+    return f"_{i}a + (_{i}b - _{i}a) * ({p!r}D * ({n} - 1) - floor({p!r}D * ({n} - 1)))"
+
+
+def _placed(rows: DataFrame, groups: list[str], order: list, count: str = "c", n: str = "_n") -> DataFrame:
+    """_from, _to and the number of values `n`, by running counts."""
+    running = F.sum(count).over(_whole(groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumns({"_from": running - F.col(count), "_to": running, n: F.sum(count).over(_whole(groups))})
+
+
+def _quantiles_of(rows: DataFrame, groups: list[str], probabilities: list[float]) -> DataFrame:
+    """groups, q of weighted values (groups, v, c)."""
+    one = _placed(rows, groups, ["v"]).groupBy(*groups).agg(F.first("_n").alias("_n"), *_sides(probabilities, "_n"))
+    return one.select(*groups, F.expr(f"array({', '.join(_between(i, p, '_n') for i, p in enumerate(probabilities))})").alias("q"))
+
+
+def quantiles(values: DataFrame, groups: list[str], value: str, probabilities: list[float], out: str = "q", exact: bool = True) -> DataFrame:
+    """groups, `out` (an array): quantiles of the finite values of each group, linear between neighbours.
+
+    The sketch tells which bins hold the wanted ranks; a second reading takes those bins' values alone, distinct ones with
+    their counts. So no task holds a group. Without `exact` the sketch stands for the values, which are then off by half
+    of 1 / BINS of their size at most, and the values are read once.
     """
-    rows = values.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    size = F.floor((F.ln(F.abs("_v")) + 746) * BINS)  # positive for every double but 0
-    rows = rows.withColumn("_bin", F.when(F.col("_v") == 0, F.lit(0)).otherwise(F.signum("_v") * size).cast("long"))
-    whole = Window.partitionBy(*groups)
-    bins = rows.groupBy(*groups, "_bin").agg(F.count("*").alias("_c")).withColumns({"_to": F.sum("_c").over(whole.orderBy("_bin")), "_n": F.sum("_c").over(whole)}).withColumn("_from", F.col("_to") - F.col("_c"))
-    position = lambda p: F.lit(p) * (F.col("_n") - 1)
-    ranks = F.array(*(F.struct(F.lit(i).alias("i"), side.cast("long").alias("k"), (position(p) - F.floor(position(p))).alias("part"), F.lit(at).alias("side")) for i, p in enumerate(probabilities) for at, side in enumerate((F.floor(position(p)), F.ceil(position(p))))))
-    wanted = bins.select(*groups, "_bin", "_from", F.explode(F.filter(ranks, lambda r: (r["k"] >= F.col("_from")) & (r["k"] < F.col("_to")))).alias("_r"))
-    near = rows.join(wanted.select(*groups, "_bin").distinct(), [*groups, "_bin"], "left_semi").groupBy(*groups, "_bin", "_v").agg(F.count("*").alias("_c"))
-    near = near.withColumn("_to", F.sum("_c").over(Window.partitionBy(*groups, "_bin").orderBy("_v")))
-    wanted = wanted.select(*groups, "_bin", "_r", (F.col("_r.k") - F.col("_from")).alias("_rank"))
-    found = near.join(wanted, [*groups, "_bin"]).filter((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
-    low, high = (F.max(F.when(F.col("_r.side") == k, F.col("_v"))) for k in (0, 1))
-    each = found.groupBy(*groups, F.col("_r.i").alias("_i")).agg(low.alias("_a"), high.alias("_b"), F.first("_r.part").alias("_part"))
-    each = each.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part"))
-    return each.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("_i", "_q"))).alias("_all")).select(*groups, F.col("_all._q").alias(out))
-
-
-def medians(values: DataFrame, groups: list[str], value: str, out: str = "median") -> DataFrame:
-    """groups, `out`: the exact median of each group (see quantiles)."""
-    return quantiles(values, groups, value, [0.5], "_q").select(*groups, F.col("_q")[0].alias(out))
-
-
-def robust_summary(values: DataFrame, groups: list[str], value: str, low: float, high: float) -> DataFrame:
+    bins = sketch(values, groups, value)
+    if exact:
+        placed = _placed(bins, groups, ["bin"])
+        need = " OR ".join(f"{b} >= _from AND {a} < _to" for a, b in (_ranks(p, "_n") for p in probabilities))
+        rows = _refined(values, groups, value, placed.withColumn("need", F.expr(need)))
+    else:
+        rows = bins.select(*groups, ((F.col("lo") + F.col("hi")) / 2).alias("v"), "c")
+    return _quantiles_of(rows, groups, probabilities).withColumnRenamed("q", out)
+
+
+def medians(values: DataFrame, groups: list[str], value: str, out: str = "median", exact: bool = True) -> DataFrame:
+    """groups, `out`: the median of each group (see quantiles)."""
+    return quantiles(values, groups, value, [0.5], "_q", exact).select(*groups, F.col("_q")[0].alias(out))
+
+
+def _at_rank(values: np.ndarray, counts: np.ndarray, rank: int) -> float:
+    order = np.argsort(values, kind="stable")
+    return float(values[order][np.searchsorted(np.cumsum(counts[order]), rank, "right")])
+
+
+def _needed(bins: pd.DataFrame, probabilities: list[float], low: float, high: float) -> np.ndarray:
+    """Which bins of a group's sketch a robust summary must know the values of.
+
+    The sketch bounds the median by its bin's ends, so each bin's distance to it, the median distance by the ranks of
+    the least and of the greatest distances, the limit of what is kept, and how many values below the kept ones are
+    rejected; a wanted rank lies in one of the few bins between these bounds. Bins with the range's ends count as well.
+    """
+    c, lo, hi = (bins[k].to_numpy() for k in ("c", "lo", "hi"))
+    last = np.cumsum(c) - 1
+    first, n = last - c + 1, int(c.sum())
+    k1, k2 = (n - 1) // 2, n // 2
+    need = (k2 >= first) & (k1 <= last)
+    mlo, mhi = lo[need].min(), hi[need].max()
+    near, far = np.maximum(0, np.maximum(lo - mhi, mlo - hi)), np.maximum(hi - mlo, mhi - lo)
+    dlo, dhi = _at_rank(near, c, k1), _at_rank(far, c, k2)
+    # a millionth aside: products are rounded
+    kept = (far <= dlo * SCALE * FAR * (1 - 1e-6)) | (dhi == 0)
+    gone = (near > dhi * SCALE * FAR * (1 + 1e-6)) & (dlo > 0)
+    below = hi < mlo
+    k_min, k_max, r_min, r_max = (int(c[x].sum()) for x in (kept, ~gone, gone & below, ~kept & below))
+    need = need | (near <= dhi) & (far >= dlo) | ~kept & ~gone
+    for p in probabilities:
+        need |= (r_max + math.ceil(p * (k_max - 1)) >= first) & (r_min + math.floor(p * max(k_min - 1, 0)) <= last)
+    for end in (low, high):
+        need |= (lo <= end) & (hi >= end)
+    return need
+
+
+def _marked(bins: DataFrame, groups: list[str], probabilities: list[float], low: float, high: float) -> DataFrame:
+    """bins with `need`. A group's sketch is bounded by the sizes that numbers have, not by its values."""
+
+    def mark(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("bin", ignore_index=True)
+        return frame.assign(need=_needed(frame, probabilities, low, high))
+
+    schema = StructType([*bins.schema.fields, StructField("need", BooleanType())])
+    return bins.groupBy(*groups).applyInPandas(mark, schema)
+
+
+def robust_summary(values: DataFrame, groups: list[str], value: str, low: float, high: float, exact: bool = True) -> DataFrame:
     """n, median, mad, p10, p90, q, rejected, clipped of the finite values of each group.
 
     Median and MAD (times 1.4826) are of all finite values; then values further than 3 MAD from the median are
     rejected, none if the MAD is 0. Quantiles are of what is kept, as it is; `clipped` counts what of it lies outside
     [low, high]: a value is cut to that range when it is drawn.
+
+    The values are read twice: for the sketch, and for the values of the few bins on which the result depends. Without
+    `exact` they are read once and every value stands in its bin's middle, so that median and quantiles are off by half
+    of 1 / BINS of their size, and counts by what lies in the bins at the limits.
     """
-    finite = values.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))).select(*groups, F.col(value).cast("double").alias("_x"))
-    off = finite.join(medians(finite, groups, "_x"), groups).withColumn("_off", F.abs(F.col("_x") - F.col("median")))
-    mad = medians(off, groups, "_off", "_mad").select(*groups, (F.col("_mad") * 1.4826).alias("mad"))
-    rows = off.join(mad, groups).withColumn("_kept", F.when((F.col("mad") == 0) | (F.col("_off") <= 3 * F.col("mad")), F.col("_x")))
-    counts = rows.groupBy(*groups, "median", "mad").agg(
-        F.count("_kept").alias("n"), F.count_if(F.col("_kept").isNull()).alias("rejected"), F.count_if((F.col("_kept") < low) | (F.col("_kept") > high)).alias("clipped")
-    )
-    out = counts.join(quantiles(rows, groups, "_kept", [0.1, 0.9, *PROBABILITIES], "_q"), groups)
-    return out.select(*groups, "n", "median", "mad", F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p90"), F.slice("_q", 3, 33).alias("q"), "rejected", "clipped")
+    bins = sketch(values, groups, value)
+    probabilities = [0.1, 0.9, *PROBABILITIES]
+    if exact:
+        rows = _refined(values, groups, value, _marked(bins, groups, probabilities, low, high))
+    else:
+        rows = bins.select(*groups, ((F.col("lo") + F.col("hi")) / 2).alias("v"), "c")
+    over = _whole(groups)
+
+    def with_middle(rows: DataFrame, order: str, name: str, scale: float = 1.0) -> DataFrame:
+        a, b = (_at(k, order).over(over) for k in _ranks(0.5, "_n"))
+        return _placed(rows, groups, [order]).withColumn(name, (a + b) / 2 * scale)
+
+    rows = with_middle(rows, "v", "median")
+    rows = with_middle(rows.withColumn("_off", F.abs(F.col("v") - F.col("median"))), "_off", "mad", SCALE)
+    kept = (F.col("mad") == 0) | (F.col("_off") <= FAR * F.col("mad"))
+    rows = _placed(rows.withColumn("_w", F.when(kept, F.col("c")).otherwise(0)), groups, ["v"], "_w", "_k")
+    outside = (F.col("v") < low) | (F.col("v") > high)
+    counts = [F.sum(F.col("c") - F.col("_w")).alias("rejected"), F.sum(F.when(outside, F.col("_w")).otherwise(0)).alias("clipped")]
+    one = rows.groupBy(*groups).agg(*(F.first(c).alias(n) for c, n in (("_k", "n"), ("median", "median"), ("mad", "mad"))), *counts, *_sides(probabilities, "_k"))
+    q = [_between(i, p, "n") for i, p in enumerate(probabilities)]
+    return one.select(*groups, "n", "median", "mad", F.expr(q[0]).alias("p10"), F.expr(q[1]).alias("p90"), F.expr(f"array({', '.join(q[2:])})").alias("q"), "rejected", "clipped")
 
 
 def fold_summary(values: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -80,20 +212,24 @@ def class_position(name: Column, order: list[str]) -> Column:
     return F.when(place > 0, place - 1).otherwise(F.lit(len(order))).cast("int")
 
 
-def per_class_table(cells: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """experiment, eval, weather, class, position, `value`, its _std and _n: the table of reports, four decimals.
+def per_class_table(cells: DataFrame, values: str | list[str], order: list[str]) -> DataFrame:
+    """experiment, eval, weather, class, position, and each value, its _std and _n: the table of reports, four decimals.
 
-    `cells` (run, weather, class, `value`) has one row for each report's cell. Folds of a run are averaged as 5-fold;
-    its official run, and the first of its other runs by name, stand as they are, without std and n.
+    `cells` (run, weather, class and the values, one metric or several) has one row for each report's cell. Folds of a run
+    are averaged as 5-fold; its official run, and the first of its other runs by name, stand as they are, without std
+    and n. All metrics are columns of one aggregate.
     """
+    values = [values] if isinstance(values, str) else values
     rows = cells.withColumns(run_parts(F.col("run")))
-    folded = fold_summary(rows.filter("fold IS NOT NULL"), ["base", "weather", "class"], value)
-    folded = folded.select("base", F.lit("5-fold").alias("eval"), "weather", "class", F.col("mean").alias(value), F.col("std").alias(f"{value}_std"), F.col("n").alias(f"{value}_n"))
+    state = lambda v: [F.avg(v).alias(v), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias(f"{v}_std"), F.count(v).alias(f"{v}_n")]
+    folded = rows.filter("fold IS NOT NULL").groupBy("base", F.lit("5-fold").alias("eval"), "weather", "class").agg(*(c for v in values for c in state(v)))
     others = rows.filter("fold IS NULL").withColumn("eval", F.when(F.col("official"), "official").otherwise("single"))
     first = others.groupBy("base", "eval").agg(F.min("run").alias("run"))
-    others = others.join(first, ["base", "eval", "run"]).select("base", "eval", "weather", "class", value, F.lit(None).cast("double").alias(f"{value}_std"), F.lit(None).cast("long").alias(f"{value}_n"))
+    alone = lambda v: [F.col(v), F.lit(None).cast("double").alias(f"{v}_std"), F.lit(None).cast("long").alias(f"{v}_n")]
+    others = others.join(first, ["base", "eval", "run"]).select("base", "eval", "weather", "class", *(c for v in values for c in alone(v)))
     out = folded.union(others).withColumn("position", class_position(F.col("class"), order))
-    return out.select(F.col("base").alias("experiment"), "eval", "weather", "class", "position", *(F.round(c, 4).alias(c) for c in (value, f"{value}_std")), f"{value}_n")
+    each = lambda v: [F.round(v, 4).alias(v), F.round(f"{v}_std", 4).alias(f"{v}_std"), F.col(f"{v}_n")]
+    return out.select(F.col("base").alias("experiment"), "eval", "weather", "class", "position", *(c for v in values for c in each(v)))
 
 
 def best_epochs(log: DataFrame, metric: str) -> DataFrame:
@@ -167,6 +303,23 @@ def gate(fits: DataFrame) -> DataFrame:
     return fits.select("condition", passed.alias("passed"), strength.alias("strength"), source.alias("source"), bound.alias("bound"))
 
 
+def gate_report(fits: DataFrame) -> DataFrame:
+    """The gate's rows with what they are decided by: reason, monotonic, in_range, clipped, and the primary metric of the
+    base and of the target. `fits` as for `gate`."""
+    rows = gate(fits).join(fits.select("condition", "monotonic", F.col("strength").alias("_at"), "base", "target"), "condition")
+    monotonic, in_range = F.coalesce(F.col("monotonic"), F.lit(False)), F.col("_at").isNotNull()
+    reason = F.when(F.col("source") == "no-blur", "target sharper than base").when(~monotonic, "curve not monotonic").when(~in_range, "target outside the curve").when(F.col("bound").isNotNull(), F.concat("bound", F.lit(" bound reached"))).otherwise("ok")
+    return rows.select("condition", "passed", "strength", "source", "bound", reason.alias("reason"), monotonic.alias("monotonic"), in_range.alias("in_range"), F.col("bound").isNotNull().alias("clipped"), F.col("base").alias("base_primary"), F.col("target").alias("target_primary"))
+
+
+def closed_loop_ratios(measured: DataFrame, reference: float | Column) -> DataFrame:
+    """measured (condition, base_primary, target_primary, measured_primary) with the metric of a reference sample, the
+    ratio of each to it and the absolute error against the target; ratios are null where the reference is 0."""
+    ratios = [F.try_divide(F.col(f"{n}_primary"), F.col("reference_primary")).alias(f"{n}_ratio") for n in ("base", "target", "measured")]
+    rows = measured.withColumn("reference_primary", reference if isinstance(reference, Column) else F.lit(float(reference)))
+    return rows.select("*", *ratios, F.abs(F.col("measured_primary") - F.col("target_primary")).alias("abs_err"))
+
+
 def effective(fits: DataFrame, ranges: DataFrame) -> DataFrame:
     """condition, kind, frac, source for each row of `ranges` (condition, kind, low, high) by `fits` (condition, value, source).
 
