@@ -36,15 +36,21 @@ _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|sty
 
 # Fixed values of HTML: elements that hold no text, inline elements, elements that are no part of an article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img br".split())
+_FORMULA = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle mpadded mphantom semantics annotation annotation-xml"
+_INLINE = frozenset(f"{_FORMULA} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img br".split())
 _CONTAINERS = frozenset("html body div article main section center table tbody tr td th ul ol dl blockquote figure details fieldset nav header footer aside form menu dialog pre".split())
-_DROPPED_TAGS = frozenset("nav header footer aside form menu dialog head noscript template svg math object select button".split())
+_DROPPED_TAGS = frozenset("nav header footer aside form menu dialog head noscript template svg annotation annotation-xml object select button".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _DROPPED_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead banner ad ads adv advert adverts advertisement sponsor sponsored promo promotion "
     "notice notices cookie cookies consent gdpr popup modal newsletter subscribe signup comment comments respond replies disqus discussion related recommended share sharing social pagination pager toolbar widget".split()
 )
 _KEPT_TAGS = frozenset("html body article main".split())
+#: Names that mean a part of the article as well as what stands beside it: inside article or main such an element is
+#: dropped only if it is no prose (see Page.settle).
+_DOUBTFUL_NAMES = frozenset("header related discussion recommended banner notice notices aside promotion toolbar widget".split())
+#: Share of a doubtful element's text inside links from which it is a list of links.
+LINKS = 0.3
 
 
 def tokens(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
@@ -117,16 +123,20 @@ def _names(attributes: str) -> tuple[list[str], str]:
     return words, role
 
 
-def _dropped(tag: str, words: list[str], role: str, attributes: str) -> bool:
+def _dropped(tag: str, words: list[str], role: str, attributes: str) -> int:
+    """2 for an element that is no part of the article, 1 if its name says so that can name a part of it, too, else 0."""
     if tag in _KEPT_TAGS:
-        return False
+        return 0
     if tag in _DROPPED_TAGS or role in _DROPPED_ROLES or (attributes and _HIDDEN.search(attributes)):
-        return True
+        return 2
+    found = 0
     for word in words:
-        parts = re.split(r"[-_\d]+", word)
-        if not {"with", "has", "no", "without"} & set(parts) and (_DROPPED_NAMES & set(parts)):
-            return True
-    return False
+        parts = set(re.split(r"[-_\d]+", word))
+        names = _DROPPED_NAMES & parts
+        if names and not {"with", "has", "no", "without"} & parts:
+            # a name alone is what it says; with other words it can be a part of an article about it
+            found = max(found, 1 if names <= _DOUBTFUL_NAMES and len(parts - {""}) > 1 else 2)
+    return found
 
 
 def general(tag: str, words: list[str]) -> str:
@@ -149,8 +159,12 @@ class Page:
         self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str]] = []
         self.heading: list[bool] = []  # of each block
+        self.doubt: list[int] = []  # of each block: the number of the doubtful element that it stands in, 0 for none
+        self.linked: Counter[int] = Counter()  # characters inside links by doubtful element
         element = ""
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
+        doubts: list[tuple[int, int]] = []  # doubtful elements that are open: depth on the stack, number
+        n_doubts = links = 0
         open_tags: Counter[str] = Counter()  # of the stack: an end tag without a start is not searched for
         buffer: list[str] = []
         position = 0
@@ -165,6 +179,7 @@ class Page:
                 if text:
                     self.blocks.append((stack[-1][1], text))
                     self.heading.append(element in _HEADINGS)
+                    self.doubt.append(doubts[0][1] if doubts else 0)
 
         def push(tag: str, container: int, dropped: bool):
             stack.append((tag, container, dropped))
@@ -173,16 +188,32 @@ class Page:
         def cut(k: int):
             while len(stack) > k:
                 open_tags[stack.pop()[0]] -= 1
+            while doubts and doubts[-1][0] >= len(stack):
+                doubts.pop()
+
+        def judged(tag: str, words: list[str], role: str, attributes: str) -> bool:
+            """Whether an element goes at once; a doubtful one inside an article is open for judgement."""
+            nonlocal n_doubts
+            found = _dropped(tag, words, role, attributes)
+            if found == 1 and tag in _CONTAINERS and (open_tags["article"] or open_tags["main"]):
+                n_doubts += 1
+                doubts.append((len(stack), n_doubts))
+                return False
+            return found > 0
 
         for start, end, closing, tag, attributes in tokens(html):
             if start > position and not stack[-1][2]:
                 buffer.append(html[position:start])
+                if links and doubts:
+                    self.linked[doubts[0][1]] += start - position
             position = end
             if tag is None:
                 continue
             if tag == "raw":
                 flush()
                 continue
+            if tag == "a":
+                links = 0 if closing else 1
             if closing:
                 inline = tag in _INLINE
                 if not inline:
@@ -203,6 +234,8 @@ class Page:
                     words, role = _names(attributes) if "=" in attributes else ([], "")
                     if not stack[-1][2] and _dropped(tag, words, role, attributes):
                         push(tag, stack[-1][1], True)
+                elif tag in _DROPPED_TAGS:
+                    push(tag, stack[-1][1], True)
                 continue
             flush()
             element = tag
@@ -211,7 +244,7 @@ class Page:
             if stack[-1][0] == "p" or stack[-1][0] == tag == "li":
                 cut(len(stack) - 1)
             words, role = _names(attributes) if "=" in attributes else ([], "")
-            dropped = stack[-1][2] or _dropped(tag, words, role, attributes)
+            dropped = stack[-1][2] or judged(tag, words, role, attributes)
             if tag in _CONTAINERS:
                 container = stack[-1][1]
                 if not dropped:
@@ -225,6 +258,22 @@ class Page:
         if position < len(html) and not stack[-1][2]:
             buffer.append(html[position:])
         flush()
+        self.settle()
+
+    def settle(self) -> None:
+        """Blocks of doubtful elements stay where the element is prose: text outside links, in blocks of some length or
+        with a heading; a list of links, or short labels, goes."""
+        size, number, headed = Counter(), Counter(), set()
+        for (_, text), heading, d in zip(self.blocks, self.heading, self.doubt):
+            if d:
+                size[d] += len(text)
+                number[d] += 1
+                if heading:
+                    headed.add(d)
+        bad = {d for d in size if self.linked[d] >= LINKS * size[d] or (d not in headed and size[d] < DENSE_BLOCK * number[d])}
+        if bad:
+            kept = [k for k, d in enumerate(self.doubt) if d not in bad]
+            self.blocks, self.heading = [self.blocks[k] for k in kept], [self.heading[k] for k in kept]
 
     def totals(self) -> list[int]:
         """Characters of text inside each container."""
@@ -282,8 +331,9 @@ class Page:
     def text(self, paths: list[bytes]) -> str:
         """Blocks in the page's own container, or in the containers of the one of the host's paths that covers more.
 
-        A page none of whose containers holds most of its text (its core is the whole page) is extracted by the path of
-        these that covers most of it, if that is 30 % at least.
+        A page none of whose containers holds most of its text (its core is the whole page) takes the path of these that
+        covers most of it, if that is 30 % at least, and all blocks of DENSE_BLOCK characters beside it: what goes is
+        short. Without such a path the whole page stays.
         """
         totals = self.totals()
         best = self.best()
@@ -301,7 +351,8 @@ class Page:
         inside = [False] * len(self.paths)
         for c in range(len(self.paths)):
             inside[c] = c in chosen or (c > 0 and inside[self.parent[c]])
-        return "\n\n".join(text for c, text in self.blocks if inside[c])
+        beside = whole and best not in chosen
+        return "\n\n".join(text for c, text in self.blocks if inside[c] or (beside and len(text) >= DENSE_BLOCK))
 
 
 def host(url):
