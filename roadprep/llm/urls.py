@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from roadprep.llm.scratch import settled
+
 #: Intervals up to which the list is broadcast; beyond it the join shuffles both sides by key (skewed keys are split by AQE).
 BROADCAST_INTERVALS = 200_000
 #: What is added to the number of a prefix's segments, and the weight of a URL: more than a host has labels or a path segments.
@@ -82,9 +84,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
 
     `matched` is "action:kind:value" of the decisive entry: the most specific one, 'allow' before 'block' of equal ones,
     then the smallest value; null if none matches. `allowed` is false if that entry blocks. A null URL or time matches
-    nothing and is allowed. id_col identifies a capture; repeated rows give equal rows. `entries` as for `intervals`.
+    nothing and is allowed. A capture is its id, URL and time, nulls included; repeated rows give equal rows, no captures
+    none; other columns are not read. `entries` as for `intervals`.
     """
-    lists = intervals(entries).persist()
+    lists = settled(intervals(entries))
     small = lists.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_time"))
     keyed = rows.filter("_url IS NOT NULL AND _time IS NOT NULL").distinct().select("*", F.explode(keys_of(F.col("_url"), *longest_entries(lists))).alias("k")).select("_id", "_url", "_time", "k.kind", "k.value", "k.weight")
@@ -93,7 +96,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     name = F.concat_ws(":", "action", "kind", "value")
     best = F.struct((-F.col("weight")).alias("w"), (F.col("action") != "allow").alias("b"), name.alias("name"))
     verdict = hits.groupBy("_id", "_url", "_time").agg(F.count("*").alias("n"), F.min(best).alias("best"))
-    joined = rows.join(verdict, ["_id", "_url", "_time"], "left")
+    verdict = verdict.toDF("_i", "_u", "_t", "n", "best")
+    joined = rows.join(verdict, rows["_id"].eqNullSafe(verdict["_i"]) & (rows["_url"] == verdict["_u"]) & (rows["_time"] == verdict["_t"]), "left")
     return joined.select(
         F.col("_id").alias(id_col),
         F.col("_url").alias("url"),
