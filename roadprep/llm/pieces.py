@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +54,13 @@ class PieceCodec:
         self.follows: dict[tuple[str, str], bool] = {}
         self.places: dict[str, int] = {}
         self.reset()
+        self.library = model
+        # whether words can be encoded alone, and whether this kind of model merges pairs: on words made of its pieces
+        plain = sorted(p[1:] for p in self.ids if re.fullmatch(f"{MARK}[^{MARK}\n]+", p))[:: max(1, len(self.ids) // 2_000)]
+        words = sorted({MARK + a + b for a, b in zip(plain, plain[1:])})
+        flat: list[int] = []
+        self.splits = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.ids)
+        self.splits = self.splits and bool(self.encode_sorted(words, flat)) and flat == [i for w in words for i in model.encode(w[1:])]
 
     def reset(self) -> None:
         self.places.clear()
@@ -125,6 +134,9 @@ class PieceCodec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text begins in it and the last ends."""
+        if not self.splits:  # words of this vocabulary can't be encoded alone: the library does
+            each = [np.array(self.library.encode(t) if t else [], np.int32) for t in texts]
+            return np.concatenate(each) if each else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
         per_text = [WordCounter.words(t) if t else [] for t in texts]
         distinct = set()
         for words in per_text:
@@ -167,7 +179,8 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     `exact` says that the decoded ids are the text again (with U+2581, which the model writes for a space, as a space).
     A null or empty text has no ids and is exact. Repeated rows stay rows; other columns are not read. Map-only; memory
-    is bounded by a slice of texts, or one longer text, and the two memos.
+    is bounded by a slice of texts, or one longer text, and the two memos. A model that does not merge pairs, or whose
+    pieces reach over the start of a word, is found out when a worker loads it, and the library encodes whole texts.
     """
 
     def run(batches):
