@@ -75,28 +75,35 @@ class RangePieces:
         most = pieces * SAMPLE_A_PIECE
         # three standard deviations more than asked for are left to the fraction; the limit bounds the driver
         picked = sample if n <= most else sample.sample(fraction=min(1.0, most / n), seed=seed).limit(2 * most)
-        self.kinds = [f.dataType for f in picked.schema.fields]
-        ordered = picked.orderBy(*picked.columns).collect()
-        at = sorted({len(ordered) * i // pieces for i in range(1, pieces)} - {0})
-        cuts = list(dict.fromkeys(tuple(ordered[i]) for i in at if i < len(ordered)))
-        side = max(1, math.isqrt(len(cuts)))
-        self.blocks = [cuts[i : i + side] for i in range(0, len(cuts), side)]
-
-    def _key(self, values) -> Column:
-        return F.struct(*(v.alias(f"k{i}") for i, v in enumerate(values)))
+        # cuts as JSON, one literal of the plan whatever the keys' types, by each number of leading keys
+        heads = [picked.columns[:k] for k in range(1, len(keys) + 1)]
+        rows = picked.orderBy(*picked.columns).select(F.to_json(F.array("k0")), *(F.to_json(F.struct(*h)) for h in heads[1:])).collect()
+        at = [k for k in sorted({len(rows) * k // pieces for k in range(1, pieces)} - {0}) if k < len(rows)]
+        # as many keys as it takes to tell the cuts apart: one, unless many rows share its value
+        n = next((k for k in range(len(keys)) if len({rows[i][k] for i in at}) == len(at)), len(keys) - 1)
+        cuts = list(dict.fromkeys(rows[i][n] for i in at))
+        self.leading, kinds = heads[n], [f.dataType.simpleString() for f in picked.schema.fields]
+        if n:
+            self.kind = f"struct<{','.join(f'k{k}:{kinds[k]}' for k in range(n + 1))}>"
+        else:  # plain values, which are compared sooner than structs of one
+            self.kind, cuts = kinds[0], [c[1:-1] for c in cuts]
+        self.side = max(1, math.isqrt(len(cuts)))
+        self.blocks = [cuts[i : i + self.side] for i in range(0, len(cuts), self.side)]
 
     def of(self) -> Column:
         """The number of the piece: cuts at or before the row, looked up in blocks of them."""
         if not self.blocks:
             return F.lit(0)
-        key = self._key(self.keys)
-        cut = lambda c: self._key([F.lit(v).cast(k) for v, k in zip(c, self.kinds)])
-        before = lambda cuts: F.size(F.filter(cuts, lambda c: c <= key))
-        heads = F.array(*(cut(b[0]) for b in self.blocks))
-        blocks = F.array(*(F.array(*(cut(c) for c in b)) for b in self.blocks))
-        size = len(self.blocks[0])
-        block = F.greatest(before(heads) - 1, F.lit(0))
-        return block * size + before(F.get(blocks, block))
+        heads = F.from_json(F.lit(f"[{','.join(b[0] for b in self.blocks)}]"), f"array<{self.kind}>")
+        blocks = F.from_json(F.lit(f"[{','.join(f'[{','.join(b)}]' for b in self.blocks)}]"), f"array<array<{self.kind}>>")
+        key = self.keys[0] if len(self.leading) == 1 else F.struct(*(v.alias(n) for n, v in zip(self.leading, self.keys)))
+
+        def number(key: Column) -> Column:
+            before = lambda cuts: F.size(F.filter(cuts, lambda c: c <= key))
+            inside = lambda block: block * self.side + before(F.get(blocks, block))
+            return F.get(F.transform(F.array(F.greatest(before(heads) - 1, F.lit(0))), inside), F.lit(0))
+
+        return F.get(F.transform(F.array(key), number), F.lit(0))  # the key is made once for all comparisons
 
 
 def with_range_rank(df: DataFrame, groups: list[str], keys: list[Column], out: str = "rank", pieces: int = PIECES) -> DataFrame:

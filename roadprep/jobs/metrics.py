@@ -52,7 +52,9 @@ def scoped(rows, spark, d):
 def precisions(spark, d, thresholds=M.THRESHOLDS):
     t, p = truth(spark, d), detections(spark, d)
     ts, groups = scoped(t, spark, d), ["scope", "class_id"]
-    rows = M.curve(ts, scoped(p, spark, d), groups, thresholds, M.hit_masks(M.candidates(t, p), thresholds))
+    # masks come first: a detection is joined once, not once for each scope
+    masked = M.with_masks(p.select("image_id", "det_idx", "class_id", "conf"), M.hit_masks(M.candidates(t, p), thresholds))
+    rows = M.curve(ts, scoped(masked, spark, d), groups, thresholds, pieces=M.along_confidence(p))
     return M.average_precision(rows, ts, groups, thresholds)
 
 
@@ -111,7 +113,7 @@ def sensitivity_curve(spark, d):
     ts, ps = t.join(at, "image_id"), p.join(at, "image_id").filter((F.col("image_id") * 31 + F.col("det_idx")) % 10 >= 2 * F.col("level"))
     # detections are matched once, before a scenario leaves some of them out
     hits = M.hit_masks(M.candidates(t, p))
-    ap = M.average_precision(M.curve(ts, ps, groups, hits=hits), ts, groups)
+    ap = M.average_precision(M.curve(ts, ps, groups, hits=hits, pieces=M.along_confidence(p)), ts, groups)
     out = ap.groupBy("condition", "multiplier", "frac").agg(F.sum(F.when(F.col("thr") == 50, F.col("n_truth"))).alias("boxes"), F.avg(F.when(F.col("thr") == 50, F.col("ap"))).alias("a"), F.avg("ap").alias("b"))
     return out.select("condition", "multiplier", "frac", "boxes", F.round("a", 6).alias("map50"), F.round("b", 6).alias("map50_95"))
 

@@ -123,19 +123,29 @@ def one_to_one(pairs: DataFrame, thresholds: list[int] = THRESHOLDS) -> DataFram
     return hit_masks(pairs, thresholds).select(F.explode(each.getField("thr")).alias("thr"), "image_id", "class_id", "det_idx")
 
 
-def curve(truth: DataFrame, detections: DataFrame, groups: list[str], thresholds: list[int] = THRESHOLDS, hits: DataFrame | None = None) -> DataFrame:
+def along_confidence(detections: DataFrame) -> RangePieces:
+    """Even pieces of detections (image_id, det_idx, conf) by falling confidence."""
+    return RangePieces(detections, [-F.col("conf"), F.col("image_id"), F.col("det_idx")])
+
+
+def with_masks(detections: DataFrame, hits: DataFrame) -> DataFrame:
+    """detections with mask, 0 where they are true positives nowhere."""
+    return detections.join(hits, ["image_id", "class_id", "det_idx"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+
+
+def curve(truth: DataFrame, detections: DataFrame, groups: list[str], thresholds: list[int] = THRESHOLDS, hits: DataFrame | None = None, pieces: RangePieces | None = None) -> DataFrame:
     """One row for each detection with n, its place in its group by falling confidence, tp_<threshold>, the running true
     positives at each threshold, mask and n_truth. All thresholds are columns of one window, not rows.
 
-    `hits` are the masks of the detections where these are counted in several groups; else they are made here. Pieces
-    along the order are cut by a sample, so that a single confidence that most detections share is many tasks.
+    `hits` are the masks of the detections where these are counted in several groups, unless detections have them as a
+    column; else they are made here. `pieces` cut the order of detections, so that a single confidence that most share is
+    many tasks; they are sampled from the detections where they are not given.
     """
-    hits = hit_masks(candidates(truth, detections), thresholds) if hits is None else hits
-    rows = detections.select("image_id", "det_idx", "class_id", "conf", *[g for g in groups if g != "class_id"])
-    rows = rows.join(hits, ["image_id", "class_id", "det_idx"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    rows = detections if "mask" in detections.columns else with_masks(detections, hit_masks(candidates(truth, detections), thresholds) if hits is None else hits)
+    rows = rows.select("image_id", "det_idx", "class_id", "conf", "mask", *[g for g in groups if g != "class_id"])
     rows = rows.withColumns({"_one": F.lit(1), **{f"_{t}": F.shiftright("mask", i).bitwiseAND(1) for i, t in enumerate(thresholds)}})
-    order = [-F.col("conf"), F.col("image_id"), F.col("det_idx")]
-    out = with_running(rows, groups, RangePieces(detections, order).of(), order, {"_one": "n", **{f"_{t}": f"tp_{t}" for t in thresholds}})
+    pieces = along_confidence(detections) if pieces is None else pieces
+    out = with_running(rows, groups, pieces.of(), pieces.keys, {"_one": "n", **{f"_{t}": f"tp_{t}" for t in thresholds}})
     return out.drop("_one", *(f"_{t}" for t in thresholds)).join(truth.groupBy(*groups).agg(F.count("*").alias("n_truth")), groups)
 
 
