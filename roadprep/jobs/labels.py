@@ -223,3 +223,23 @@ def geometry_profile(spark, d):
     rows = view(spark, d, "fx_annotations").select("category_id", F.when(F.expr("ann_idx % 4 IN (1, 2)"), F.col("x")).alias("box2d"), F.when(F.expr("ann_idx % 4 = 3"), F.col("x")).alias("poly2d"))
     kind = F.when(F.col("box2d").isNotNull(), "box2d").when(F.col("poly2d").isNotNull(), "poly2d").otherwise("none")
     return rows.groupBy(kind.alias("kind"), "category_id").agg(F.count("*").alias("n"))
+
+
+def _line(class_id: str, cx: str = "cx") -> str:
+    return f"string_agg({class_id} || ' ' || {cx} || ' ' || cy || ' ' || bw || ' ' || bh || chr(10), '' ORDER BY ann_idx)"
+
+
+@query(TEXT + f""", tx AS (SELECT image_id, sha256({_line("class_id")}) AS a, sha256({_line("CASE WHEN image_id % 11 = 0 THEN class_id + 1 ELSE class_id END", "CASE WHEN image_id % 17 = 3 AND ann_idx = 1 THEN '0.5' ELSE cx END")}) AS b FROM lb GROUP BY image_id)
+SELECT weather, CAST(count(*) AS BIGINT) AS labels, CAST(count(*) FILTER (a <> b) AS BIGINT) AS changed FROM tx JOIN fx_images USING (image_id) GROUP BY weather""")
+def label_invariance(spark, d):
+    """Label files of a rendered stage against those of its source, by the hash of their text: some have another class,
+    some another first number."""
+    source = _text(spark, d).select("image_id", F.sha2("text", 256).alias("a"))
+    boxes = L.to_yolo(view(spark, d, "fx_annotations"), F.lit(WIDTH), F.lit(HEIGHT))
+    other = L.label_text(boxes.withColumn("class_id", F.col("class_id") + (F.col("image_id") % 11 == 0).cast("int")))
+    first = F.regexp_replace("text", r"^(\d+) [0-9.]+", "$1 0.5")
+    # the first line is box 1's unless that box has no label
+    has_first = boxes.filter("ann_idx = 1 AND image_id % 17 = 3").select("image_id", F.lit(True).alias("first"))
+    other = other.join(has_first, "image_id", "left").select("image_id", F.sha2(F.when(F.col("first"), first).otherwise(F.col("text")), 256).alias("b"))
+    images = view(spark, d, "fx_images").select("image_id", "weather")
+    return source.join(other, "image_id").join(images, "image_id").groupBy("weather").agg(F.count("*").alias("labels"), F.count_if(F.col("a") != F.col("b")).alias("changed"))

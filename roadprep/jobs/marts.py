@@ -183,20 +183,6 @@ def identical_images(spark, d):
     return a.join(b, "image_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("identical"))
 
 
-@query(with_parts("yolo", "fx_images") + """, a AS (SELECT image_id, sum(class_id + ann_idx) AS h FROM yolo GROUP BY image_id), b AS (SELECT image_id, sum(class_id + ann_idx + CASE WHEN image_id % 11 = 0 THEN 1 ELSE 0 END) AS h FROM yolo GROUP BY image_id)
-SELECT weather, CAST(count(*) AS BIGINT) AS labels, CAST(count(*) FILTER (a.h <> b.h) AS BIGINT) AS changed FROM a JOIN b USING (image_id) JOIN fx_images USING (image_id) GROUP BY weather""")
-def label_invariance(spark, d):
-    """Synthetic labels against source labels, compared by hash of their text."""
-    from roadprep.jobs.labels import yolo
-    from roadprep.operators.labels import label_text
-
-    source = yolo(spark, d)
-    other = source.withColumn("class_id", F.col("class_id") + (F.col("image_id") % 11 == 0).cast("int"))
-    a, b = (label_text(x).select("image_id", F.sha2("text", 256).alias(n)) for x, n in ((source, "a"), (other, "b")))
-    images = view(spark, d, "fx_images").select("image_id", "weather")
-    return a.join(b, "image_id").join(images, "image_id").groupBy("weather").agg(F.count("*").alias("labels"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
-
-
 @query(with_parts("fx_images") + """SELECT weather, CAST(count(*) AS BIGINT) AS images, CAST(count(*) FILTER (image_id % 13 = 0 OR image_id % 17 = 0) AS BIGINT) AS mismatches FROM fx_images GROUP BY weather""")
 def condition_parity(spark, d):
     """Conditions of two stages by source; a missing partner is a mismatch."""

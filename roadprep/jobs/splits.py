@@ -37,6 +37,28 @@ def allocate_strata(spark, d):
     return S.allocate_splits(counts, N_TRAIN, N_VAL).select("stratum", "size", F.col("n_train").cast("long"), F.col("n_val").cast("long"))
 
 
+_TIGHT = with_parts("idx") + """, c AS (SELECT coalesce(nullif(rare, ''), 'none') AS stratum, count(*) AS size FROM idx GROUP BY 1),
+n AS (SELECT sum(size) AS n, sum(size) // 3 AS v, sum(size) - sum(size) // 3 AS t FROM c),
+f AS (SELECT c.*, n.*, (t * size) // n AS f1, (t * size) % n AS r1, (v * size) // n AS f2, (v * size) % n AS r2 FROM c, n),
+a AS (SELECT *, f1 + CASE WHEN row_number() OVER (ORDER BY r1 DESC, stratum) <= t - sum(f1) OVER () THEN 1 ELSE 0 END AS tr, f2 + CASE WHEN row_number() OVER (ORDER BY r2 DESC, stratum) <= v - sum(f2) OVER () THEN 1 ELSE 0 END AS va FROM f),
+k AS (SELECT *, least(va, size) AS v1, least(tr, size - least(va, size)) AS t1 FROM a),
+rv AS (SELECT *, size - t1 - v1 AS room, greatest(0, v - sum(v1) OVER ()) AS need FROM k),
+v2 AS (SELECT *, v1 + greatest(0, least(room, need - coalesce(sum(room) OVER (ORDER BY room DESC, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS vv FROM rv),
+rt AS (SELECT * EXCLUDE (room, need), size - t1 - vv AS room, greatest(0, t - sum(t1) OVER ()) AS need FROM v2),
+t2 AS (SELECT *, t1 + greatest(0, least(room, need - coalesce(sum(room) OVER (ORDER BY room DESC, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS tt FROM rt)
+SELECT stratum, CAST(size AS BIGINT) AS size, CAST(tt AS BIGINT) AS n_train, CAST(vv AS BIGINT) AS n_val, tr + va > size AS over FROM t2"""
+
+
+@query(_TIGHT)
+def allocate_tight(spark, d):
+    """All images are wanted, two thirds and one third: rounding gives some strata more than they have, and repair deals
+    it out again. `over` says where."""
+    counts = stratified_rows(spark, d).groupBy("stratum").agg(F.count("*").alias("size"))
+    n = view(spark, d, "fx_images").count()
+    plain = S.allocate(S.allocate(counts, n - n // 3, "t"), n // 3, "v").select("stratum", (F.col("t") + F.col("v") > F.col("size")).alias("over"))
+    return S.allocate_splits(counts, n - n // 3, n // 3).join(plain, "stratum").select("stratum", "size", "n_train", "n_val", "over")
+
+
 @query(STRATA + f""", r AS (SELECT image_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {_hash('split')}, image_id) AS rk FROM st)
 SELECT image_id, stratum, CASE WHEN rk <= n_val THEN 'val' WHEN rk <= n_val + n_train THEN 'train' END AS part FROM r JOIN alloc USING (stratum)""")
 def stratified_split(spark, d):
