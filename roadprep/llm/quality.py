@@ -175,10 +175,9 @@ def base_failed(f: Features) -> Column:
 def quality_report(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept for each row.
 
-    Null texts have no words. `kept` is true if no rule of the cascade rejects; the
-    cascade's order comes from `measure` and changes the cost, not the verdict. What the report returns
-    is computed once for each text, and rules read it; only what no column holds is computed as far as the cascade
-    gets. An empty table gives no rows; repeated rows stay rows; other columns are not read. Narrow: no shuffle.
+    Null texts have no words. `kept` is true if no rule of the cascade rejects; the cascade's order comes from `measure`
+    and changes the cost, not the verdict. What the report returns is computed once for each text, and rules read it;
+    only what no column holds is computed as far as the cascade gets. An empty table gives no rows; repeated rows stay rows; other columns are not read. Narrow: no shuffle.
     """
     rules = default_rules() if rules is None else rules
     order = cascade_order(measure(docs, rules)) if rules else []
