@@ -50,9 +50,10 @@ def with_running(df: DataFrame, groups: list[str], cell: Column, order: list[Col
     totals = cells.groupBy(*keys).agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     totals = totals.select(*keys, *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = cells.join(totals, keys)
-    for c, name in sums.items():
-        out = out.withColumn(name, F.sum(c).over(inside) + F.col(f"_before_{c}"))
+    # all sums in one call: one window, where as many calls would stack windows. The few totals are joined after it, so that
+    # rows are sorted once
+    out = cells.withColumns({name: F.sum(c).over(inside) for c, name in sums.items()}).join(totals, keys)
+    out = out.withColumns({name: F.col(name) + F.col(f"_before_{c}") for c, name in sums.items()})
     return out.drop("_cell", *(f"_before_{c}" for c in sums))
 
 
