@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from roadprep.llm.scratch import settled
 
-#: Intervals up to which the list is broadcast; beyond it the join shuffles both sides by key (skewed keys are split by AQE).
+#: Intervals up to which the list is broadcast; beyond it the join shuffles both sides by key, hot keys apart (see shuffled_hits).
 BROADCAST_INTERVALS = 200_000
+#: A key of more than one in HOT_KEYS captures is hot: at most HOT_KEYS times the keys of one capture are. Its captures and
+#: intervals are dealt over SALTS tasks.
+HOT_KEYS, SALTS = 1_000, 256
 #: What is added to the number of a prefix's segments, and the weight of a URL: more than a host has labels or a path segments.
 PREFIX_WEIGHT = 1 << 29
 URL_WEIGHT = 1 << 30
@@ -79,6 +82,24 @@ def longest_entries(lists: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
+def shuffled_hits(keyed: DataFrame, lists: DataFrame, captures: int) -> DataFrame:
+    """keyed joined to lists by kind and value where neither side can be broadcast.
+
+    Hot keys are counted (combined before the shuffle) and looked up in the list. Captures of those without an entry, as
+    `com` mostly is, go before the join; those with one are salted, and their intervals repeated for each salt. Only the
+    hot keys are broadcast, whose number HOT_KEYS bounds.
+    """
+    keys = ["kind", "value"]
+    hot = keyed.groupBy(*keys).count().filter(F.col("count") * HOT_KEYS > captures).select(*keys)
+    held = lists.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys).agg(F.lit(True).alias("_held"))
+    hot = settled(hot.join(held, keys, "left").select(*keys, F.coalesce("_held", F.lit(False)).alias("_held")))
+    salt = F.pmod(F.xxhash64("_id", "_url", "_time"), F.lit(SALTS)).cast("int")
+    left = keyed.join(F.broadcast(hot), keys, "left").filter("_held IS NULL OR _held").withColumn("_salt", F.when(F.col("_held"), salt).otherwise(0)).drop("_held")
+    salts = F.when(F.col("_held"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = lists.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_held")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """id_col, url, fetched, n_matches, allowed, matched for each capture, by the entries valid when it was fetched.
 
@@ -91,8 +112,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     small = lists.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_time"))
     keyed = rows.filter("_url IS NOT NULL AND _time IS NOT NULL").distinct().select("*", F.explode(keys_of(F.col("_url"), *longest_entries(lists))).alias("k")).select("_id", "_url", "_time", "k.kind", "k.value", "k.weight")
-    right = F.broadcast(lists) if small else lists
-    hits = keyed.join(right, ["kind", "value"]).filter((F.col("_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to"))))
+    hits = keyed.join(F.broadcast(lists), ["kind", "value"]) if small else shuffled_hits(keyed, lists, rows.count())
+    hits = hits.filter((F.col("_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to"))))
     name = F.concat_ws(":", "action", "kind", "value")
     best = F.struct((-F.col("weight")).alias("w"), (F.col("action") != "allow").alias("b"), name.alias("name"))
     verdict = hits.groupBy("_id", "_url", "_time").agg(F.count("*").alias("n"), F.min(best).alias("best"))

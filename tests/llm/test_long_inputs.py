@@ -72,6 +72,23 @@ def test_captures_without_an_id_with_other_columns_and_none(spark):
     assert urls.filter_captures(captures.limit(0), lists).count() == 0 and urls.filter_captures(captures, lists.limit(0)).filter("NOT allowed").isEmpty()
 
 
+def test_hot_keys_of_a_list_that_is_not_broadcast(spark, monkeypatch):
+    urls_ = [f"http://{h}.example.{z}/{p}/{i % 7}" for i in range(150) for h, z, p in [("abc"[i % 3], "com" if i % 4 else "net", "pq"[i % 2])]]
+    rows = [(i, u, f"2024-0{1 + i % 9}-15") for i, u in enumerate(urls_)] + [(None, urls_[0], "2024-03-01"), (3, None, "2024-03-01")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched string")
+    entries = [("l", "block", "domain", "example.com", f"2024-0{m}-01", c) for m, c in ((2, "add"), (4, "remove"), (6, "add"))]
+    entries += [("l", "allow", "prefix", "a.example.com/p", "2024-01-01", "add"), ("m", "block", "domain", "b.example.net", "2024-05-01", "add"), ("m", "block", "domain", "none.org", "2024-05-01", "add")]
+    lists = spark.createDataFrame(entries, LISTS)
+    want = sorted(map(tuple, urls.filter_captures(captures, lists).collect()), key=repr)
+    assert 20 < sum(not w[4] for w in want) < 130
+    monkeypatch.setattr(urls, "BROADCAST_INTERVALS", 0)
+    monkeypatch.setattr(urls, "SALTS", 5)
+    for hot in (1_000, 4, 1):  # every key, some, none but those that several keys of a capture share
+        monkeypatch.setattr(urls, "HOT_KEYS", hot)
+        assert sorted(map(tuple, urls.filter_captures(captures, lists).collect()), key=repr) == want
+    assert urls.filter_captures(captures.limit(0), lists).count() == 0
+
+
 def test_a_model_that_merges_no_pairs_is_found_out():
     codec = pieces.PieceCodec(Q.tokenizer())
     assert codec.splits
