@@ -84,6 +84,7 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm, "BATCH_BYTES", 2_000)
     monkeypatch.setattr(lm, "SHARD_BYTES", 3_000)
     monkeypatch.setattr(lm, "SPLIT_TOKENS", 7)  # frequent contexts lie in several shards
+    monkeypatch.setattr(lm, "CONTEXT_TOKENS", 250)  # two words are a context from four training tokens on
     texts = [" ".join(shuffled_words(i, 30 + i, 20)) for i in range(40)] + [None, "", "A  b\ta"]
     rows = {r.doc_id: r for r in lm.lm_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
@@ -91,22 +92,39 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
     single = Counter(w for h, t in zip(held, toks) if not h for w in t)
     pairs = Counter(p for h, t in zip(held, toks) if not h for p in zip(["<s>", *t], t))
     n, v = sum(single.values()), len(single)
+    triples = Counter(p for h, t in zip(held, toks) if not h for p in zip(["<s>", *t], t, t[1:]))
     before = Counter(single) + Counter({"<s>": sum(not h for h in held)})
+    least, low, high = n // 250, lm.PRIORS[lm.PAIRS], lm.PRIORS[lm.TRIPLES]
+    assert least > 2 and 20 < sum(c >= least for c in pairs.values()) < len(pairs)
 
-    def model(a, b, u):  # the maximum of a posterior with two counts of the unigram model
-        return (pairs[a, b] + 2 * u) / (before[a] + 2)
+    def model(a, b, u):  # the maximum of a posterior with counts of the unigram model
+        return (pairs[a, b] + low * u) / (before[a] + low)
+
+    def wide(a, b, c, u):
+        p = model(b, c, u)
+        return (triples[a, b, c] + high * p) / (pairs[a, b] + high) if a and pairs[a, b] >= least else p
 
     unigram = {w: (c + 0.5) / (n + 0.5 * (v + 1)) for w, c in single.items()}
     for a in before.keys() - {"</s>"}:  # all words and one unknown
         assert sum(model(a, w, u) for w, u in unigram.items()) + model(a, None, 0.5 / (n + 0.5 * (v + 1))) == pytest.approx(1.0)
+    for a, b in [p for p, c in pairs.items() if c >= least and p[1] != "</s>"]:
+        assert sum(wide(a, b, w, u) for w, u in unigram.items()) + wide(a, b, None, 0.5 / (n + 0.5 * (v + 1))) == pytest.approx(1.0)
     for i, t in enumerate(toks):
         base = [(single[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
-        score = sum(math.log10(model(a, b, u)) for a, b, u in zip(["<s>", *t], t, base))
+        score = sum(math.log10(wide(a, b, c, u)) for a, b, c, u in zip([None, "<s>", *t], ["<s>", *t], t, base))
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(single[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(map(math.log10, base))) and r.score == pytest.approx(score, rel=2e-4, abs=1e-3)
 
 
+def test_contexts_help_on_held_out_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lambda: lm.lm_report(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    three, base = held()
+    monkeypatch.setattr(lm, "CONTEXT_TOKENS", 1)  # no two words are a context
+    assert three > held()[0] > base
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.language_report(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang_pred <> 'und'")
