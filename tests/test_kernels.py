@@ -71,3 +71,36 @@ def test_stage_does_not_depend_on_partitions(spark):
     assert I.build_stage(images.limit(0), "s2").count() == 0
     black = images.withColumn("data", F.unhex(F.lit("00" * (40 * 48 * 3))))
     assert {r.attempt for r in I.build_stage(black, "s3").collect()} == {0}  # no new draws for a source that can't be used
+
+
+@pytest.mark.parametrize("shape", [(16, 16), (20, 24), (64, 64)])
+def test_stacks_are_measured_without_enlarging_each_image(shape, monkeypatch):
+    stack = np.random.default_rng(3).integers(0, 256, (5, *shape, 3)).astype(np.uint8)
+    names = K.METRICS if shape != (64, 64) else K.METRICS[:2]
+    cases = [(kind, s) for kind in ("gaussian", "motion") for s in K.strengths(kind)[::5]]
+    wanted = [[K.sharpness(K.blur(g, kind, s)) for g in K.gray(stack)] for kind, s in cases]
+    monkeypatch.setattr(K, "measured", None)  # it enlarges one image
+    for (kind, s), each in zip(cases, wanted):
+        got = K.sharpness_many(K.blur_many(K.gray(stack), kind, s), names)
+        assert list(got) == list(names)
+        for n in names:
+            assert got[n] == pytest.approx([e[n] for e in each], rel=3e-5)
+
+
+def test_large_stacks_and_mixed_tables_are_measured_alike(spark):
+    rng = np.random.default_rng(4)
+    big = rng.integers(0, 256, (2, 40, 48, 3)).astype(np.uint8)
+    assert K.sharpness_many(K.gray(big))["hf_energy_ratio"].tolist() == [K.sharpness(g)["hf_energy_ratio"] for g in K.gray(big)]
+    sizes, names = [(8, 8), (40, 48), (8, 12)], ["fog", "rain", "night", "snow"]
+    images = [rng.integers(0, 256, (*sizes[i % 3], 3)).astype(np.uint8) for i in range(12)]
+    rows = [(i, f"n{i}", names[i % 4], *x.shape[:2], bytearray(x.tobytes())) for i, x in enumerate(images)]
+    frame = spark.createDataFrame(rows, "image_id long, name string, condition string, height int, width int, data binary")
+    for r in I.sharpness_stats(frame).collect():
+        assert [r[n] for n in K.METRICS] == pytest.approx([K.sharpness(K.gray(images[r.image_id]))[n] for n in K.METRICS], rel=3e-5)
+    for r in I.appearance_stats(frame).collect():
+        assert r.luma == pytest.approx(K.appearance(images[r.image_id])["luma"], abs=1e-9) and r.condition == names[r.image_id % 4]
+    grid = I.strength_grid(frame, ("normalized_laplacian",)).collect()
+    assert len(grid) == 9 * 16 and {r.image_id for r in grid} == {i for i in range(12) if i % 4 != 2}
+    for r in grid[::7]:
+        g = K.blur(K.gray(images[r.image_id]), K.BLUR[r.condition][0], r.strength)
+        assert r.normalized_laplacian == pytest.approx(K.sharpness(g)["normalized_laplacian"], rel=3e-5)
