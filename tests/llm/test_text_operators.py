@@ -324,6 +324,16 @@ def test_training_windows_come_from_all_documents(spark, monkeypatch):
     assert (seen[0][0] == seen[1][0]).all()
 
 
+def test_network_learns_from_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE_WINDOWS", 700)
+    texts = [f"file week-{i}/report-{i}.html" for i in range(3_300)] + [f"token = Yb3kQ9xTr2Lm{i:04d}" for i in range(3_300)] + ["token = Yb3kQ9xTr2Lm0000"] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, two = (secrets.fit(docs.repartition(n)) for n in (2, 7))
+    assert one.seen == two.seen == 6_600 and min(one.measured) > 0.95
+    assert (one.kernel == two.kernel).all() and one.thresholds == two.thresholds
+    assert secrets.fit(docs.filter("doc_id >= 6500")).seen == 480  # 100 findings; the other label and 140 are made up
+
+
 def test_round_trip_of_ids(spark):
     docs = documents(spark, extra=False)
     encoded = pieces.encode_texts(docs, Q.tokenizer())
