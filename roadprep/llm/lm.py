@@ -21,9 +21,11 @@ WORDS, PAIRS, TRIPLES = 1, 2, 3
 PRIORS = {PAIRS: 128.0, TRIPLES: 64.0}
 #: Tokens of a context for each part that its successors are dealt into: no shard holds a frequent word's successors.
 SPLIT_TOKENS = 1 << 18
-#: The two words before a token are a context where the training texts hold them at least twice, and once in so many tokens:
-#: the third level has at most that many contexts, with all of their successors. Other tokens keep the second level's value.
-CONTEXT_TOKENS = 1 << 19
+#: The two words before a token are a context where the training texts hold them so often, however large the corpus is. Other
+#: tokens keep the second level's value.
+CONTEXT_COUNT = 2
+#: If set, a context is also needed once in so many training tokens: a smaller model, whose contexts depend on the corpus' size.
+CONTEXT_TOKENS: int | None = None
 
 _LOWER = ascii_lower_table()
 _WORD_BYTE = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -52,6 +54,10 @@ class Batch:
         self.before[self.starts] = _START
         self.successors = self.words >> _U(64 - WORD_BITS)
 
+    def after_two(self) -> np.ndarray:
+        """The successors with 32 bits: two words have few each, and there are most of these."""
+        return self.successors & ~_U(255)
+
     def two_before(self) -> np.ndarray:
         """The two words before each token as one hash; a text's first token has no two, what stands there means nothing."""
         return np.concatenate([[_START], mix(self.before[:-1]) + self.words[:-1]]) if len(self.words) else self.words
@@ -108,7 +114,7 @@ class Pairs:
         columns: dict[str, list] = {n: [] for n in _PAIRS.names}
         for s in np.flatnonzero(np.diff(self.starts)).tolist():
             (c, d), (e, f) = ((x[s], x[s + 1]) for x in (self.starts, self.word_starts))
-            values = (batch, s, self.contexts[c:d].tobytes(), small_counts(self.totals[c:d]), small_counts(self.sizes[c:d]), pack(self.words[e:f]), small_counts(counts[e:f]))
+            values = (batch, s, pack_rising(self.contexts[c:d]), small_counts(self.totals[c:d]), small_counts(self.sizes[c:d]), pack(self.words[e:f]), small_counts(counts[e:f]))
             for n, v in zip(_PAIRS.names, values):
                 columns[n].append(v)
         return pa.table(columns, schema=_PAIRS)
@@ -124,13 +130,27 @@ def _of_level(told: pa.Table, level: int) -> pa.Table:
 
 
 def pack(words: np.ndarray) -> bytes:
-    """WORD_BITS of each word: the upper 8 and the lower 32."""
-    return (words >> _U(32)).astype(np.uint8).tobytes() + words.astype(np.uint32).tobytes()
+    """WORD_BITS of each word: the lower 8, which take no room in a compressed shuffle where they are 0, and the upper 32."""
+    return words.astype(np.uint8).tobytes() + (words >> _U(8)).astype(np.uint32).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     n = len(data) // 5
-    return np.frombuffer(data, np.uint8, n).astype(_U) << _U(32) | np.frombuffer(data, np.uint32, n, n)
+    return np.frombuffer(data, np.uint32, n, n).astype(_U) << _U(8) | np.frombuffer(data, np.uint8, n)
+
+
+def pack_rising(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys: how many bytes the largest step between two takes, the first key, and that many of each step."""
+    steps = np.diff(keys)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width if width else 0, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(len(steps), width)
+    return np.cumsum(np.concatenate([np.frombuffer(data, _U, 1, 1), steps.view(_U).ravel()]), dtype=_U)
 
 
 _WORDS = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
@@ -218,7 +238,7 @@ def _ask_triples(n_shards: int, texts: int, split: int, least: int):
         n_before = _word_counts(batch, told, n_shards, texts)[1]
         code = Pairs(batch.before, n_before, batch.successors, n_shards, split).told(told, PAIRS)
         at, held = _wide(batch, n_before, code, least)
-        return Pairs(batch.two_before()[at], held, batch.successors[at], n_shards, split).asked(key[0].as_py(), batch.train[at])
+        return Pairs(batch.two_before()[at], held, batch.after_two()[at], n_shards, split).asked(key[0].as_py(), batch.train[at])
 
     return run
 
@@ -236,7 +256,7 @@ def _tell_pairs(level: int):
 
     def run(key, table):
         rows = table.to_pydict()
-        contexts = [np.frombuffer(c, _U) for c in rows["contexts"]]
+        contexts = [unpack_rising(c) for c in rows["contexts"]]
         sizes = [read_counts(x, len(c)) for x, c in zip(rows["sizes"], contexts)]
         successors = [unpack(x) for x in rows["successors"]]
         counts = np.concatenate([read_counts(x, len(w)) for x, w in zip(rows["counts"], successors)])
@@ -285,7 +305,7 @@ def _scores(n_shards: int, texts: int, split: int, least: int, totals: tuple[int
         alone = unigram(n, *totals)
         model = after(code, n_before, alone, PRIORS[PAIRS])
         at, held = _wide(batch, n_before, code, least)
-        triples = Pairs(batch.two_before()[at], held, batch.successors[at], n_shards, split)
+        triples = Pairs(batch.two_before()[at], held, batch.after_two()[at], n_shards, split)
         model[at] = after(triples.told(told, TRIPLES), held, model[at], PRIORS[TRIPLES])
         sums = [np.add.reduceat(x, batch.starts) for x in ((n > 0).astype(np.int64), np.log10(alone), np.log10(model))]
         return pa.table([docs.column("doc_id"), docs.column("held_out"), batch.sizes, sums[0], np.full(len(batch.sizes), totals[0]), sums[1], sums[2]], schema=schema)
@@ -298,7 +318,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
 
     Tokens are words (runs of characters other than space and U+0009 to U+000D, A-Z lower-cased) and an end. The model
     learns from the rows where `held_out` is false, in three levels: p(w) with half a count for each; after a word v,
-    (n(v, w) + a * p(w)) / (n(v) + a); after the two words u, v, where these are a context (CONTEXT_TOKENS),
+    (n(v, w) + a * p(w)) / (n(v) + a); after the two words u, v, where these are a context (CONTEXT_COUNT),
     (n(u, v, w) + b * p(w | v)) / (n(u, v) + b), elsewhere p(w | v); PRIORS holds a and b. The tries' parts are quantised;
     over all words and one unknown each level adds up to 1 but for that. A null or empty text is an end alone; repeated
     rows count and are scored each; with no training rows all tokens are unknown. Other columns are not read.
@@ -321,7 +341,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     totals = words.select("shard", "tokens", "types").distinct().agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     pairs = docs.groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_ask_pairs(n_shards, texts, SPLIT_TOKENS), ddl(_PAIRS))
     told = words.union(pairs.groupBy("shard").applyInArrow(_tell_pairs(PAIRS), ddl(_TOLD)))
-    least = max(2, totals[0] // CONTEXT_TOKENS)
+    least = CONTEXT_COUNT if CONTEXT_TOKENS is None else max(CONTEXT_COUNT, totals[0] // CONTEXT_TOKENS)
     triples = docs.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_ask_triples(n_shards, texts, SPLIT_TOKENS, least), ddl(_PAIRS))
     told = told.union(triples.groupBy("shard").applyInArrow(_tell_pairs(TRIPLES), ddl(_TOLD)))
     from pyspark.sql.pandas.types import to_arrow_type

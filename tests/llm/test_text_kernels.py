@@ -105,6 +105,9 @@ def test_elias_fano_and_trie():
 def test_counts_above_one_byte_survive():
     counts = np.array([0, 1, 254, 255, 256, 10**9])
     assert (lm.read_counts(lm.small_counts(counts), len(counts)) == counts).all()
+    for keys in ([5], [0, 1], [3, 1 << 40, (1 << 64) - 1], range(7, 10**6, 999)):
+        keys = np.array(list(keys), np.uint64)
+        assert (lm.unpack_rising(lm.pack_rising(keys)) == keys).all()
 
 
 @pytest.mark.parametrize("shared, n_docs", [(0.0, 1000), (0.05, 10**6), (0.5, 10**5)])

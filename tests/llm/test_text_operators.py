@@ -117,6 +117,27 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
         assert r.base_score == pytest.approx(sum(map(math.log10, base))) and r.score == pytest.approx(score, rel=2e-4, abs=1e-3)
 
 
+def test_contexts_do_not_depend_on_the_size(spark):
+    few = ["one two three", "one two three", "four one two five"]
+    more = [" ".join(f"w{i % 60}x{j}" for j in range(3_000)) for i in range(600)]  # none of these words is in `few`
+    held = F.col("doc_id") < 1
+    for texts in (few, few + more):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three", *texts])], "doc_id long, text string")
+        r = lm.score_documents(docs, held).filter(held).first()
+        toks = [t.split() + ["</s>"] for t in texts]
+        single = Counter(w for t in toks for w in t) + Counter({"<s>": len(texts)})
+        pairs, triples = (Counter(p for t in toks for p in zip(*(["<s>", *t][k:] for k in range(n)))) for n in (2, 3))
+        n, v, own, score = sum(map(len, toks)), len(single) - 1, ["<s>", "one", "two", "three", "</s>"], 0.0
+        for k in range(1, 5):
+            p = (single[own[k]] + 0.5) / (n + 0.5 * (v + 1))
+            a, b = (own[k - 2], own[k - 1]) if k > 1 else (None, own[0])
+            p = (pairs[b, own[k]] + lm.PRIORS[lm.PAIRS] * p) / (single[b] + lm.PRIORS[lm.PAIRS])
+            if pairs[a, b] >= 2:
+                p = (triples[a, b, own[k]] + lm.PRIORS[lm.TRIPLES] * p) / (pairs[a, b] + lm.PRIORS[lm.TRIPLES])
+            score += math.log10(p)
+        assert r.train_tokens == n and r.score == pytest.approx(score, rel=2e-4, abs=1e-3)
+
+
 def test_contexts_help_on_held_out_rows(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = lambda: lm.lm_report(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
