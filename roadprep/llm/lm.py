@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from roadprep.llm.elias_fano import WORD_BITS, NgramTrie, dequantise
+from roadprep.llm.elias_fano import WORD_BITS, NgramTrie, dequantise, quantise
 from roadprep.llm.scratch import settled
 from roadprep.llm.shards import ascii_lower_table, hash_spans, joined, mix, slices, word_spans
 
 #: Text bytes of one batch of documents, and of the corpus for each shard of the model.
 BATCH_BYTES = 12 << 20
 SHARD_BYTES = 12 << 20
+#: What a document adds to its text's bytes there, and batches that a file of the table of tokens holds at most.
+ROW_BYTES, FILE_BATCHES = 32, 8
 #: Levels of the model, as answers name them.
 WORDS, PAIRS, TRIPLES = 1, 2, 3
 #: What the lower order counts for beside a context's own count; chosen on training documents held back from training
@@ -30,37 +36,131 @@ CONTEXT_TOKENS: int | None = None
 _LOWER = ascii_lower_table()
 _WORD_BYTE = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _U = np.uint64
-#: Stand for the end and the start of a text; hashes of words are as likely to equal them as each other.
+#: The answer to a batch that alone has a pair: its own count is the count. No probability has this code.
+SOLE = 65535
+_ZSTD = pa.Codec("zstd", 1)
+#: Contexts are hashes of 56 bits: the steps between sorted ones take a byte less.
+_CONTEXT = ~_U(255)
+#: Stand for the end and the start of a text; hashes of words, or of their numbers, are as likely to equal them as each other.
 _END, _START = _U(0x1D8E4E27C47D124F), _U(0xEB44ACCAB455D165)
 
 
+def _tokens_schema(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("batch", pa.int64()), ("bytes", pa.int64()), ("texts", pa.int64()), ("ids", pa.list_(kind)), ("held", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("ranks", pa.binary()), ("places", pa.binary())])
+
+
+def _encode(kind: pa.DataType):
+    """Cuts a partition into batches of nearly equal size, about BATCH_BYTES at most but for one long text: a row for each, with
+    its distinct words as rising 64-bit hashes, their ranks by frequency, and the rank of each token's word."""
+    schema = _tokens_schema(kind)
+
+    def row(parts, number):
+        words, place = distinct(np.concatenate([p[3] for p in parts]))
+        order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ids = pa.concat_arrays([p[0].cast(kind) for p in parts])
+        held, sizes = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        values = (number, sum(p[4] for p in parts), int((~held).sum()), np.packbits(held).tobytes(), pack(sizes), pack_rising(words), pack(rank), pack(rank[place]))
+        columns = [pa.array([v], t) for v, t in zip(values, [f.type for f in schema if f.name != "ids"])]
+        columns.insert(3, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches):
+        number, parts, held = TaskContext.get().partitionId() << 32, [], 0
+        for part in chain(slices(batches), [None]):
+            if part is not None:
+                data, bounds = joined([(t or "").encode() for t in part.column("text").to_pylist()], _LOWER)
+                starts, ends = word_spans(data, _WORD_BYTE)
+                first = np.searchsorted(starts, bounds)
+                hashes = np.insert(hash_spans(data, starts, ends), first[1:], _END)
+                size = len(data) + ROW_BYTES * part.num_rows
+                parts.append((part.column("doc_id"), np.array(part.column("held_out").to_pylist(), bool), np.diff(first) + 1, hashes, size))
+                held += size
+            while parts and (part is None or held >= 2 * BATCH_BYTES):
+                limit, taken, now = held / (-(-held // BATCH_BYTES)), 0, 0
+                while taken < len(parts) and (not taken or now + parts[taken][4] / 2 <= limit):
+                    now, taken = now + parts[taken][4], taken + 1
+                yield row(parts[:taken], number)
+                number, parts, held = number + 1, parts[taken:], held - now
+
+    return run
+
+
 class Batch:
-    """The tokens of a batch of documents as 64-bit hashes, with an end after each text."""
+    """The tokens of a batch of documents, with an end after each text. Words stand for themselves by mixed numbers from the
+    shards' answers; one that no other batch has is `sole`, with a number of its own here."""
 
     def __init__(self, table: pa.Table):
-        hashes, sizes = [], []
-        for part in slices(table.combine_chunks().to_batches()):
-            data, bounds = joined([(t or "").encode() for t in part.column("text").to_pylist()], _LOWER)
-            starts, ends = word_spans(data, _WORD_BYTE)
-            words = hash_spans(data, starts, ends)
-            first = np.searchsorted(starts, bounds)
-            hashes.append(np.insert(words, first[1:], _END))
-            sizes.append(np.diff(first) + 1)
-        self.words = np.concatenate(hashes) if hashes else np.zeros(0, _U)
-        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        row = table.slice(0, 1)
+        cell = {n: row.column(n)[0].as_py() for n in ("batch", "held", "sizes", "ranks", "places")}
+        self.number, self.ids = cell["batch"], row.column("ids").combine_chunks().flatten()
+        self.sizes = unpack(cell["sizes"]).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.train = np.repeat(~np.array(table.column("held_out").to_pylist(), bool), self.sizes)
-        self.before = np.concatenate([[_START], self.words[:-1]]) if len(self.words) else self.words
-        self.before[self.starts] = _START
-        self.successors = self.words >> _U(64 - WORD_BITS)
-
-    def after_two(self) -> np.ndarray:
-        """The successors with 32 bits: two words have few each, and there are most of these."""
-        return self.successors & ~_U(255)
-
-    def two_before(self) -> np.ndarray:
-        """The two words before each token as one hash; a text's first token has no two, what stands there means nothing."""
-        return np.concatenate([[_START], mix(self.before[:-1]) + self.words[:-1]]) if len(self.words) else self.words
+        self.held_out = np.unpackbits(np.frombuffer(cell["held"], np.uint8), count=len(self.sizes)).astype(bool)
+        self.train = np.repeat(~self.held_out, self.sizes)
+        ranks = unpack(cell["ranks"]).astype(np.int64)
+        known = np.empty(len(ranks), np.int32)
+        known[ranks] = np.arange(len(ranks))
+        self.place = known[unpack(cell["places"]).astype(np.int32)]  # of each token's word among the rising hashes
+
+    def learn(self, told: pa.Table, texts: int) -> None:
+        """From the shards' answers: training counts of each token's word and of the word before it, `texts` for the start of
+        a text; the number of each token's word, and whether it or the word before it is sole. Shards are ranges of hashes."""
+        rows = _of_level(told, WORDS)
+        counts, numbers = (np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("data", "ids"))
+        sole = numbers == 0
+        numbers[sole] = _U(1 << (WORD_BITS - 1)) + np.flatnonzero(sole).astype(_U)
+        self.n, self.successors, self.words = counts.astype(np.int64)[self.place], numbers[self.place], mix(numbers)[self.place]
+        self.n_before = self._moved(self.n, texts)
+        self.before = self._moved(self.words, _START)
+        self.sole = sole[self.place]
+        self.sole |= self._moved(self.sole, False)
+
+    def _moved(self, values: np.ndarray, first) -> np.ndarray:
+        """Each token's value from the token before it; `first` at the start of a text."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts] = first
+        return out
+
+    def pairs(self, n_shards: int, split: int) -> Level:
+        return Level(self, np.arange(len(self.words)), self.before, self.n_before, self.sole, n_shards, split)
+
+    def triples(self, code: np.ndarray, sole: np.ndarray, least: int, n_shards: int, split: int) -> Level:
+        """The tokens whose two words before are a context, with its count: that of the pair that ends one token earlier.
+
+        The count is taken from the pair's code, which every batch has alike: exact below some thousands, then as near as codes
+        are. Three words of which two neighbours are no other batch's are none of its either.
+        """
+        held = self._moved(np.rint(dequantise(code) * (self.n_before + PRIORS[PAIRS])).astype(np.int64), 0)
+        at = np.flatnonzero(held >= least)
+        return Level(self, at, self._moved(mix(self.before) + self.words, _START)[at], held[at], (sole | self._moved(sole, False))[at], n_shards, split)
+
+
+class Level:
+    """The tokens `at` after their contexts: what is asked of the shards, and what is this batch's alone and counted here."""
+
+    def __init__(self, batch: Batch, at: np.ndarray, before: np.ndarray, n_before: np.ndarray, sole: np.ndarray, n_shards: int, split: int):
+        self.batch, self.at, self.before, self.n_before, self.sole = batch, at, before, n_before, sole
+        shared = ~sole
+        self.pairs = Pairs(before[shared], n_before[shared], batch.words[at[shared]], batch.successors[at[shared]], n_shards, split)
+
+    def asked(self) -> pa.Table:
+        return self.pairs.asked(self.batch.number, self.batch.train[self.at[~self.sole]])
+
+    def told(self, table: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each token, and whether no other batch has its pair."""
+        code, sole = np.zeros(len(self.at), np.uint16), self.sole.copy()
+        code[~sole] = self.pairs.told(table, level)
+        sole |= code == SOLE
+        own = np.flatnonzero(sole)
+        known, place = distinct(mix(self.before[own]) + self.batch.words[self.at[own]])
+        counts = np.bincount(place[self.batch.train[self.at[own]]], minlength=len(known))[place]
+        code[own] = 0
+        own, counts = own[counts > 0], counts[counts > 0]
+        code[own] = coded(counts, self.n_before[own], PRIORS[level])
+        return code, sole
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,11 +173,10 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], place
 
 
-def dealt(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys by shard (keys rise within a shard) and the start of each shard in it."""
-    shard = (mix(keys) % _U(n_shards)).astype(np.int64)
-    order = np.argsort(shard.astype(np.uint16) if n_shards < 1 << 16 else shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(n_shards + 1))
+def ranges(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    """Where each shard's range of rising 64-bit keys begins, and the end."""
+    bounds = np.arange(1, n_shards, dtype=_U) * _U((1 << 64) // n_shards - (n_shards == 1))
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
 def small_counts(counts: np.ndarray) -> bytes:
@@ -93,69 +192,92 @@ def read_counts(data: bytes, n: int) -> np.ndarray:
 
 class Pairs:
     """The distinct (context, successor) pairs of a batch. A context with many tokens is cut into parts by ranges of its
-    successors' hashes; parts are contexts of their own. They rise in the order of shards, successors in each of them."""
+    successors' hashes; parts are contexts of their own. They rise in the order of shards, numbers of successors in each."""
 
-    def __init__(self, before: np.ndarray, n_before: np.ndarray, successors: np.ndarray, n_shards: int, split: int):
+    def __init__(self, before: np.ndarray, n_before: np.ndarray, words: np.ndarray, successors: np.ndarray, n_shards: int, split: int):
         parts = (n_before // split + 1).astype(_U)
-        part = (successors >> _U(8)) * parts >> _U(WORD_BITS - 8)
-        contexts, number = distinct(mix(mix(before) + part * _U(0x9E3779B97F4A7C15)))
+        keys, many = mix(before), np.flatnonzero(parts > 1)
+        keys[many] += ((words[many] >> _U(32)) * parts[many] >> _U(32)) * _U(0x9E3779B97F4A7C15)
+        contexts, number = distinct(mix(keys) & _CONTEXT)
         key, self.place = distinct(number.astype(_U) << _U(WORD_BITS) | successors)  # less than 2^24 contexts in a batch
         self.contexts, self.words = contexts, key & _U((1 << WORD_BITS) - 1)
         self.sizes = np.bincount((key >> _U(WORD_BITS)).astype(np.int64), minlength=len(contexts))
         self.totals = np.zeros(len(contexts), np.int64)
         self.totals[number] = n_before
-        bounds = np.arange(1, n_shards, dtype=_U) * _U((1 << 64) // n_shards - (n_shards == 1))
-        self.starts = np.concatenate([[0], np.searchsorted(contexts, bounds), [len(contexts)]])  # of each shard's contexts
+        self.starts = ranges(contexts, n_shards)  # of each shard's contexts
         self.word_starts = np.concatenate([[0], np.cumsum(self.sizes)])[self.starts]
 
     def asked(self, batch: int, train: np.ndarray) -> pa.Table:
         """A row for each shard with contexts: what is asked of it and told to it, counts from the tokens of `train`."""
-        counts = np.bincount(self.place[train], minlength=len(self.words))
+        counts, words = np.bincount(self.place[train], minlength=len(self.words)), steps(self.words, self.sizes)
         columns: dict[str, list] = {n: [] for n in _PAIRS.names}
         for s in np.flatnonzero(np.diff(self.starts)).tolist():
             (c, d), (e, f) = ((x[s], x[s + 1]) for x in (self.starts, self.word_starts))
-            values = (batch, s, pack_rising(self.contexts[c:d]), small_counts(self.totals[c:d]), small_counts(self.sizes[c:d]), pack(self.words[e:f]), small_counts(counts[e:f]))
+            values = (batch, s, pack_rising(self.contexts[c:d]), pack(self.totals[c:d]), pack(self.sizes[c:d]), pack(words[e:f]), pack(counts[e:f]))
             for n, v in zip(_PAIRS.names, values):
                 columns[n].append(v)
         return pa.table(columns, schema=_PAIRS)
 
     def told(self, table: pa.Table, level: int) -> np.ndarray:
         """The code of each token from the shards' answers. Shards are ranges of contexts: their order is that of pairs."""
-        codes = _of_level(table, level).column("data").to_pylist()
-        return np.frombuffer(b"".join(codes), np.uint16)[self.place]
+        codes = [unpack(x) for x in _of_level(table, level).column("data").to_pylist()]
+        return (np.concatenate(codes).astype(np.uint16) if codes else np.zeros(0, np.uint16))[self.place]
 
 
 def _of_level(told: pa.Table, level: int) -> pa.Table:
     return told.filter(pa.compute.equal(told.column("level"), level)).sort_by("shard")
 
 
-def pack(words: np.ndarray) -> bytes:
-    """WORD_BITS of each word: the lower 8, which take no room in a compressed shuffle where they are 0, and the upper 32."""
-    return words.astype(np.uint8).tobytes() + (words >> _U(8)).astype(np.uint32).tobytes()
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on: how many, then the planes of their bytes, lowest first, as many as the largest takes, each
+    compressed where that is shorter. Small and frequent numbers take little room."""
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    out = [len(values).to_bytes(4, "little")]
+    for plane in np.ascontiguousarray(values.astype(_U).view(np.uint8).reshape(-1, 8)[:, :width].T):
+        raw = plane.tobytes()
+        small = _ZSTD.compress(raw, asbytes=True) if len(raw) > 32 else raw
+        small = min(raw, small, key=len)  # what is as long as before is not compressed
+        out += [len(small).to_bytes(4, "little"), small]
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, np.uint32, n, n).astype(_U) << _U(8) | np.frombuffer(data, np.uint8, n)
+    n, at, k = int.from_bytes(data[:4], "little"), 4, 0
+    out = np.zeros((n, 8), np.uint8)
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        plane = data[at + 4 : end]
+        out[:, k] = np.frombuffer(plane if len(plane) == n else _ZSTD.decompress(plane, n, asbytes=True), np.uint8)
+        at, k = end, k + 1
+    return out.view(_U).ravel()
 
 
 def pack_rising(keys: np.ndarray) -> bytes:
-    """Rising 64-bit keys: how many bytes the largest step between two takes, the first key, and that many of each step."""
-    steps = np.diff(keys)
-    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
-    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Rising 64-bit keys: the first, and the steps between two."""
+    return keys[:1].tobytes() + pack(np.diff(keys))
 
 
 def unpack_rising(data: bytes) -> np.ndarray:
-    width = data[0]
-    steps = np.zeros(((len(data) - 9) // width if width else 0, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(len(steps), width)
-    return np.cumsum(np.concatenate([np.frombuffer(data, _U, 1, 1), steps.view(_U).ravel()]), dtype=_U)
+    return np.cumsum(np.concatenate([np.frombuffer(data, _U, 1), unpack(data[8:])]), dtype=_U)
+
+
+def steps(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words that rise in each context, as steps from the one before; a context's first stays."""
+    first = np.cumsum(sizes) - sizes
+    out = np.diff(words, prepend=_U(0))
+    out[first] = words[first]
+    return out
+
+
+def from_steps(out: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    first = np.cumsum(sizes) - sizes
+    sums = np.cumsum(out, dtype=_U)
+    return sums - np.repeat(sums[first] - out[first], sizes)
 
 
 _WORDS = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
 _PAIRS = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("contexts", pa.binary()), ("totals", pa.binary()), ("sizes", pa.binary()), ("successors", pa.binary()), ("counts", pa.binary())])
-_TOLD = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("level", pa.int64()), ("data", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
+_TOLD = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("level", pa.int64()), ("data", pa.binary()), ("ids", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -166,41 +288,41 @@ def ddl(schema: pa.Schema) -> str:
 def _ask_words(n_shards: int):
     """A batch's distinct words with their training counts: a row for each shard that it has words for."""
 
-    def run(key, table):
-        batch = Batch(table)
-        known, place = distinct(batch.words)
-        counts = np.bincount(place[batch.train], minlength=len(known))
-        order, starts = dealt(known, n_shards)
-        known, counts, rows = known[order], counts[order], np.flatnonzero(np.diff(starts)).tolist()
-        return pa.table(
-            {"batch": [key[0].as_py()] * len(rows), "shard": rows, "words": [known[starts[s] : starts[s + 1]].tobytes() for s in rows], "counts": [small_counts(counts[starts[s] : starts[s + 1]]) for s in rows]},
+    def ask(table):
+        batch, known = Batch(table), unpack_rising(table.column("words")[0].as_py())
+        counts = np.bincount(batch.place[batch.train], minlength=len(known))
+        starts = ranges(known, n_shards)
+        rows = np.flatnonzero(np.diff(starts)).tolist()
+        return pa.RecordBatch.from_pydict(
+            {"batch": [batch.number] * len(rows), "shard": rows, "words": [pack_rising(known[starts[s] : starts[s + 1]]) for s in rows], "counts": [small_counts(counts[starts[s] : starts[s + 1]]) for s in rows]},
             schema=_WORDS,
         )
 
+    def run(batches):
+        for part in batches:
+            for i in range(part.num_rows):
+                yield ask(pa.table(part.slice(i, 1)))
+
     return run
 
 
-def _tell_words(key, table):
-    """The sums of all batches' counts, to each batch in the order asked."""
-    rows = table.to_pydict()
-    each = [np.frombuffer(k, _U) for k in rows["words"]]
-    known, total, place = _merged(each, [read_counts(c, len(k)) for k, c in zip(each, rows["counts"])])
-    data = [small_counts(x) for x in np.split(total[place], np.cumsum([len(k) for k in each])[:-1])]
-    n = len(rows["batch"])
-    return pa.table({"batch": rows["batch"], "shard": rows["shard"], "level": [WORDS] * n, "data": data, "types": [int((total > 0).sum())] * n, "tokens": [int(total.sum())] * n}, schema=_TOLD)
+def _tell_words(n_shards: int):
+    """The sums of all batches' counts, and a number from 1 on for each word, small for frequent ones, to each batch in the
+    order asked; 0 for a word that one batch alone has."""
 
+    def run(key, table):
+        rows = table.to_pydict()
+        each = [unpack_rising(k) for k in rows["words"]]
+        known, total, place = _merged(each, [read_counts(c, len(k)) for k, c in zip(each, rows["counts"])])
+        number = np.empty(len(known), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(known)) * n_shards + key[0].as_py() + 1
+        number[np.bincount(place, minlength=len(known)) == 1] = 0
+        ends = np.cumsum([len(k) for k in each])[:-1]
+        data, ids = ([pack(x) for x in np.split(y[place], ends)] for y in (total, number))
+        n = len(rows["batch"])
+        return pa.table({"batch": rows["batch"], "shard": rows["shard"], "level": [WORDS] * n, "data": data, "ids": ids, "types": [int((total > 0).sum())] * n, "tokens": [int(total.sum())] * n}, schema=_TOLD)
 
-def _word_counts(batch: Batch, told: pa.Table, n_shards: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts of each token and of the word before it; `texts` for the start of a text."""
-    rows = _of_level(told, WORDS).to_pydict()
-    known, place = distinct(batch.words)
-    order, starts = dealt(known, n_shards)
-    n = np.empty(len(known), np.int64)
-    n[order] = np.concatenate([read_counts(x, int(starts[s + 1] - starts[s])) for s, x in zip(rows["shard"], rows["data"])])
-    n = n[place]
-    before = np.concatenate([[0], n[:-1]])
-    before[batch.starts] = texts
-    return n, before
+    return run
 
 
 def _ask_pairs(n_shards: int, texts: int, split: int):
@@ -210,24 +332,12 @@ def _ask_pairs(n_shards: int, texts: int, split: int):
         if not table.num_rows:
             return _PAIRS.empty_table()
         batch = Batch(table)
-        pairs = Pairs(batch.before, _word_counts(batch, told, n_shards, texts)[1], batch.successors, n_shards, split)
-        return pairs.asked(key[0].as_py(), batch.train)
+        batch.learn(told, texts)
+        return batch.pairs(n_shards, split).asked()
 
     return run
 
 
-def _wide(batch: Batch, n_before: np.ndarray, code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens whose two words before are a context, and its count: that of the pair that ends one token earlier.
-
-    The count is taken from the pair's code, which every batch has alike: exact below some thousands, then as near as codes are.
-    """
-    n_pair = np.rint(dequantise(code) * (n_before + PRIORS[PAIRS])).astype(np.int64)
-    n = np.concatenate([[0], n_pair[:-1]])
-    n[batch.starts] = 0
-    at = np.flatnonzero(n >= least)
-    return at, n[at]
-
-
 def _ask_triples(n_shards: int, texts: int, split: int, least: int):
     """As _ask_pairs, where the context is the two words before and has `least` training tokens."""
 
@@ -235,10 +345,9 @@ def _ask_triples(n_shards: int, texts: int, split: int, least: int):
         if not table.num_rows:
             return _PAIRS.empty_table()
         batch = Batch(table)
-        n_before = _word_counts(batch, told, n_shards, texts)[1]
-        code = Pairs(batch.before, n_before, batch.successors, n_shards, split).told(told, PAIRS)
-        at, held = _wide(batch, n_before, code, least)
-        return Pairs(batch.two_before()[at], held, batch.after_two()[at], n_shards, split).asked(key[0].as_py(), batch.train[at])
+        batch.learn(told, texts)
+        code, sole = batch.pairs(n_shards, split).told(told, PAIRS)
+        return batch.triples(code, sole, least, n_shards, split).asked()
 
     return run
 
@@ -252,27 +361,28 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _tell_pairs(level: int):
-    """Builds a shard of the model and looks up in it what each batch asked for."""
+    """Builds a shard of the model and looks up in it what each batch asked for; SOLE for what it alone asked for."""
 
     def run(key, table):
         rows = table.to_pydict()
         contexts = [unpack_rising(c) for c in rows["contexts"]]
-        sizes = [read_counts(x, len(c)) for x, c in zip(rows["sizes"], contexts)]
-        successors = [unpack(x) for x in rows["successors"]]
-        counts = np.concatenate([read_counts(x, len(w)) for x, w in zip(rows["counts"], successors)])
+        sizes = [unpack(x).astype(np.int64) for x in rows["sizes"]]
+        successors = [from_steps(unpack(x), n) for x, n in zip(rows["successors"], sizes)]
+        counts = np.concatenate([unpack(x) for x in rows["counts"]]).astype(np.int64)
         every, number = distinct(np.concatenate(contexts))
         whole = np.zeros(len(every), np.int64)
-        whole[number] = np.concatenate([read_counts(x, len(c)) for x, c in zip(rows["totals"], contexts)])  # the same from every batch
+        whole[number] = np.concatenate([unpack(x) for x in rows["totals"]])  # the same from every batch
         pair, place = distinct(np.repeat(number, np.concatenate(sizes)).astype(_U) << _U(WORD_BITS) | np.concatenate(successors))
         total = np.bincount(place, counts, len(pair)).astype(np.int64)
         own, word = (pair >> _U(WORD_BITS)).astype(np.int64), pair & _U((1 << WORD_BITS) - 1)
         seen = total > 0
         held = np.bincount(own[seen], minlength=len(every))
         trie = NgramTrie(every[held > 0], held[held > 0], word[seen], smoothed(total[seen], whole[own[seen]], PRIORS[level]))
-        codes = trie.lookup(every, np.bincount(own, minlength=len(every)), word)
-        data = [x.tobytes() for x in np.split(codes[place], np.cumsum([len(w) for w in successors])[:-1])]
+        codes = np.minimum(trie.lookup(every, np.bincount(own, minlength=len(every)), word), SOLE - 1)
+        codes[np.bincount(place, minlength=len(pair)) == 1] = SOLE
+        data = [pack(x) for x in np.split(codes[place], np.cumsum([len(w) for w in successors])[:-1])]
         n = len(data)
-        return pa.table({"batch": rows["batch"], "shard": rows["shard"], "level": [level] * n, "data": data, "types": [0] * n, "tokens": [0] * n}, schema=_TOLD)
+        return pa.table({"batch": rows["batch"], "shard": rows["shard"], "level": [level] * n, "data": data, "ids": [b""] * n, "types": [0] * n, "tokens": [0] * n}, schema=_TOLD)
 
     return run
 
@@ -282,6 +392,11 @@ def smoothed(n_pair: np.ndarray, n_before: np.ndarray, prior: float) -> np.ndarr
     return n_pair / (n_before + prior)
 
 
+def coded(n_pair: np.ndarray, n_before: np.ndarray, prior: float) -> np.ndarray:
+    """Codes of counts above 0, as a shard's trie would give them."""
+    return np.minimum(quantise(smoothed(n_pair, n_before, prior)), SOLE - 1)
+
+
 def unigram(n: np.ndarray, tokens: int, types: int) -> np.ndarray:
     """Probability with half a count for each type and one unknown."""
     return (n + 0.5) / (tokens + 0.5 * (types + 1))
@@ -300,15 +415,15 @@ def _scores(n_shards: int, texts: int, split: int, least: int, totals: tuple[int
         if not docs.num_rows:
             return schema.empty_table()
         batch = Batch(docs)
-        n, n_before = _word_counts(batch, told, n_shards, texts)
-        code = Pairs(batch.before, n_before, batch.successors, n_shards, split).told(told, PAIRS)
+        batch.learn(told, texts)
+        n, n_before = batch.n, batch.n_before
+        code, sole = batch.pairs(n_shards, split).told(told, PAIRS)
         alone = unigram(n, *totals)
         model = after(code, n_before, alone, PRIORS[PAIRS])
-        at, held = _wide(batch, n_before, code, least)
-        triples = Pairs(batch.two_before()[at], held, batch.after_two()[at], n_shards, split)
-        model[at] = after(triples.told(told, TRIPLES), held, model[at], PRIORS[TRIPLES])
+        triples = batch.triples(code, sole, least, n_shards, split)
+        model[triples.at] = after(triples.told(told, TRIPLES)[0], triples.n_before, model[triples.at], PRIORS[TRIPLES])
         sums = [np.add.reduceat(x, batch.starts) for x in ((n > 0).astype(np.int64), np.log10(alone), np.log10(model))]
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), batch.sizes, sums[0], np.full(len(batch.sizes), totals[0]), sums[1], sums[2]], schema=schema)
+        return pa.table([batch.ids.cast(kind), batch.held_out, batch.sizes, sums[0], np.full(len(batch.sizes), totals[0]), sums[1], sums[2]], schema=schema)
 
     return run
 
@@ -323,29 +438,30 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     over all words and one unknown each level adds up to 1 but for that. A null or empty text is an end alone; repeated
     rows count and are scored each; with no training rows all tokens are unknown. Other columns are not read.
 
-    Documents fall into batches by a hash. A batch asks for the training counts of its distinct words; with these for the
-    probabilities of its distinct pairs; with these for those of its distinct triples. Shards of contexts add the counts
-    of all batches up, build their tries and answer in the order asked, two bytes for each. So a frequent word costs one
-    entry for each batch; a frequent context is dealt over several shards by its successors; a shard that a batch has
-    nothing for gets no row. What is shuffled is the texts, for the first job and again for the result's, packed keys and
-    answers. Tasks hold one batch or one shard, whose numbers grow with the corpus; all repetitions of one row are in one.
+    The rows of each partition form batches, read once: ranks of words in place of texts lie in a table. A batch asks for the
+    training counts of its distinct words; with these for the probabilities of its distinct pairs; with these for those of its
+    distinct triples. Shards of hashes add the counts of all batches up, build their tries and answer in the order asked. Words
+    get numbers by frequency, which stand for them in what is asked. What one batch alone has is not asked about again: a pair
+    with a word, or a triple with a pair, that no other batch holds is counted where it is. So a frequent word costs one entry
+    for each batch; a frequent context is dealt over several shards by its successors; a shard that a batch has nothing for
+    gets no row. Shuffled are ranks, once, packed questions and answers. Tasks hold one batch or one shard, whose numbers grow
+    with the corpus.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    size, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    n_batches, n_shards = 1 + size // BATCH_BYTES, 1 + size // SHARD_BYTES
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)))
     kind = docs.schema["doc_id"].dataType
-    docs = docs.repartition(n_batches, "batch")
-    words = docs.groupBy("batch").applyInArrow(_ask_words(n_shards), ddl(_WORDS))
-    words = settled(words.groupBy("shard").applyInArrow(_tell_words, ddl(_TOLD)))
+    tokens = f"batch long, bytes long, texts long, ids array<{kind.simpleString()}>, held binary, sizes binary, words binary, ranks binary, places binary"
+    docs = settled(docs.mapInArrow(_encode(to_arrow_type(kind)), tokens), maxRecordsPerFile=FILE_BATCHES)
+    n_batches, size, texts = docs.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "texts"))).first()
+    n_batches, n_shards = max(1, n_batches), 1 + size // SHARD_BYTES
+    words = docs.mapInArrow(_ask_words(n_shards), ddl(_WORDS))
+    words = settled(words.groupBy("shard").applyInArrow(_tell_words(n_shards), ddl(_TOLD)))
     totals = words.select("shard", "tokens", "types").distinct().agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    docs, words = docs.drop("words").repartition(n_batches, "batch"), words.repartition(n_batches, "batch")
     pairs = docs.groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(_ask_pairs(n_shards, texts, SPLIT_TOKENS), ddl(_PAIRS))
-    told = words.union(pairs.groupBy("shard").applyInArrow(_tell_pairs(PAIRS), ddl(_TOLD)))
+    told = words.union(pairs.groupBy("shard").applyInArrow(_tell_pairs(PAIRS), ddl(_TOLD)).repartition(n_batches, "batch"))
     least = CONTEXT_COUNT if CONTEXT_TOKENS is None else max(CONTEXT_COUNT, totals[0] // CONTEXT_TOKENS)
     triples = docs.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_ask_triples(n_shards, texts, SPLIT_TOKENS, least), ddl(_PAIRS))
-    told = told.union(triples.groupBy("shard").applyInArrow(_tell_pairs(TRIPLES), ddl(_TOLD)))
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    told = told.union(triples.groupBy("shard").applyInArrow(_tell_pairs(TRIPLES), ddl(_TOLD)).repartition(n_batches, "batch"))
     out = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return docs.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_scores(n_shards, texts, SPLIT_TOKENS, least, tuple(totals), to_arrow_type(kind)), out)
 

@@ -110,6 +110,17 @@ def test_counts_above_one_byte_survive():
         assert (lm.unpack_rising(lm.pack_rising(keys)) == keys).all()
 
 
+def test_packed_numbers_survive_and_are_small():
+    r = np.random.default_rng(1)
+    for values in ([], [0], [0, 0, 0], [1, 255, 256, 1 << 40], [(1 << 64) - 1, 0], r.integers(0, 1 << 63, 500), r.zipf(1.5, 5_000)):
+        values = np.array(list(values), np.uint64)
+        assert (lm.unpack(lm.pack(values)) == values).all()
+    sizes = np.array([3, 1, 1_000, 2])
+    words = np.concatenate([np.sort(r.choice(5_000, n, replace=False)) for n in sizes]).astype(np.uint64)
+    assert (lm.from_steps(lm.steps(words, sizes), sizes) == words).all()
+    assert len(lm.pack(lm.steps(words, sizes))) < 1.2 * len(words)
+
+
 @pytest.mark.parametrize("shared, n_docs", [(0.0, 1000), (0.05, 10**6), (0.5, 10**5)])
 def test_linked_sets_share_an_entry(shared, n_docs):
     r = np.random.default_rng(5)

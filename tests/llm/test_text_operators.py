@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import re
 import unicodedata
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from duck import check
 from helpers import TRICKY, documents, empty, shuffled_words
@@ -138,6 +140,33 @@ def test_contexts_do_not_depend_on_the_size(spark):
         assert r.train_tokens == n and r.score == pytest.approx(score, rel=2e-4, abs=1e-3)
 
 
+def test_lm_scores_shuffle_less_than_their_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    files = lambda: {f"{d}/{n}" for r in roots for d, _, names in os.walk(r) for n in names if n.startswith("shuffle")}
+    roots = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    before = files()
+    lm.lm_report(docs).write.format("noop").mode("overwrite").save()
+    assert 0 < sum(map(os.path.getsize, files() - before)) < 2.5 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_batches_of_tokens_hold_all_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_BYTES", 300_000)
+    texts = [" ".join(shuffled_words(i, 20_000, 4_000)) for i in range(30)] + [None, "", "x" * 900_000]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(33)), "held_out": [i % 3 == 0 for i in range(33)], "text": texts})
+    monkeypatch.setattr(lm, "TaskContext", type("Task", (), {"get": lambda: type("", (), {"partitionId": lambda self: 2})()}))
+    encoded = list(lm._encode(pa.int64())(rows.slice(i, 1) for i in range(33)))
+    batches = [lm.Batch(pa.table(r)) for r in encoded]
+    assert [b.number for b in batches] == [(2 << 32) + k for k in range(len(batches))] and len(batches) > 5
+    assert [i for b in batches for i in b.ids.to_pylist()] == list(range(33))
+    assert [h for b in batches for h in b.held_out.tolist()] == [i % 3 == 0 for i in range(33)]
+    assert [n for b in batches for n in b.sizes.tolist()] == [len((t or "").split()) + 1 for t in texts]
+    counts = Counter(w for t in texts for w in (t or "").split()) + Counter({"": len(texts)})  # an end for each
+    found = Counter()
+    for b, r in zip(batches, encoded):
+        found.update(lm.unpack_rising(r.column("words")[0].as_py())[b.place].tolist())
+    assert sorted(found.values()) == sorted(counts.values())
+
+
 def test_contexts_help_on_held_out_rows(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = lambda: lm.lm_report(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
